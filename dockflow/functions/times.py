@@ -95,7 +95,7 @@ def utc_text(instant: Column) -> Column:
 def sortable(df, column) -> Column:
     """A BIGINT that orders like the timestamp, so newest-first fits in an ascending struct."""
     if isinstance(df.schema[column].dataType, T.TimestampNTZType):
-        day = F.unix_date(F.to_date(column)) * F.lit(86400000000)
         second = F.expr(f"CAST(extract(SECOND FROM `{column}`) * 1000000 AS BIGINT)")
-        return day + F.hour(column) * F.lit(3600000000) + F.minute(column) * F.lit(60000000) + second
+        minutes = F.unix_date(F.to_date(column)).cast("long") * 1440 + F.hour(column) * 60 + F.minute(column)
+        return minutes * 60000000 + second
     return F.unix_micros(column)
