@@ -1,12 +1,12 @@
 """Rebalancing: feasible ends, integer needs, and the greedy assignment per snapshot."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockflow.functions.status import usable
-from dockflow.schemas import EARTH_RADIUS_M, MAX_STATIONS
+from dockflow.operators.greedy import OUTPUT, SOURCE, TARGET, assign_batches
+from dockflow.operators.quality import named_counts
+from dockflow.schemas import MAX_STATIONS
 
 ENDS = (
     "station_id", "role", "bikes", "docks", "lat", "lon", "need", "supply", "source_safe", "target_safe", "expires_at",
@@ -75,74 +75,49 @@ def oversized_snapshots(ends, snapshot="snapshot_at", limit=MAX_STATIONS):
     return ends.groupBy(snapshot).agg(F.count("*").alias("stations")).where(F.col("stations") > limit)
 
 
-def _metres(lat, lon, lats, lons):
-    """Haversine distance from one point to many, in the engine's own operation order."""
-    half_lat = np.sin(np.radians(lats - lat) / 2)
-    half_lon = np.sin(np.radians(lons - lon) / 2)
-    chord = half_lat * half_lat + np.cos(np.radians(lat)) * np.cos(np.radians(lats)) * half_lon * half_lon
-    return EARTH_RADIUS_M * 2 * np.arctan2(np.sqrt(chord), np.sqrt(1 - chord))
-
-
-_OUTPUT = ("from_station_id", "to_station_id", "move_bikes", "from_surplus", "to_deficit",
-           "distance_meters", "priority", "expires_at")
-
-
-def _assign(ends: pd.DataFrame, snapshot) -> pd.DataFrame:
-    """Greedy moves of one snapshot: neediest target first, nearest source first."""
-    targets = ends[ends.role == "target"].sort_values(["need", "station_id"], ascending=[False, True])
-    sources = ends[ends.role == "source"].sort_values("station_id").reset_index(drop=True)
-    # A source gives at most the least of its three balances and each move lowers all three
-    # alike, so one remaining amount stands for them; the same holds for a target.
-    left = np.minimum.reduce([sources.supply, sources.source_safe, sources.bikes]).astype(np.int64)
-    surplus = sources.supply.to_numpy(np.int64).copy()
-    lats, lons = sources.lat.to_numpy(float), sources.lon.to_numpy(float)
-    moves = []
-    for t in targets.itertuples(index=False):
-        wanted, deficit = min(t.need, t.docks, t.target_safe), t.need
-        open_sources = np.flatnonzero(left)
-        if wanted <= 0 or not len(open_sources):
-            continue
-        metres = _metres(t.lat, t.lon, lats[open_sources], lons[open_sources])
-        # Stable sort over id-ordered sources: equal distances fall back to the id.
-        for at in np.argsort(metres, kind="stable"):
-            s = open_sources[at]
-            bikes = int(min(left[s], wanted))
-            rounded = int(np.floor(metres[at] + 0.5))
-            expiry = min(sources.expires_at[s], t.expires_at)
-            moves.append(
-                (sources.station_id[s], t.station_id, bikes, int(surplus[s]), int(deficit), rounded, len(moves) + 1, expiry)
-            )
-            left[s] -= bikes
-            surplus[s] -= bikes
-            wanted -= bikes
-            deficit -= bikes
-            if wanted == 0:
-                break
-    out = pd.DataFrame(moves, columns=list(_OUTPUT))
-    out.insert(0, snapshot, ends[snapshot].iloc[0])
-    return out
+def snapshot_sides(ends, snapshot="snapshot_at"):
+    """One row per snapshot that has both sides, with its targets and sources as ordered arrays.
+
+    Spark groups, orders and filters; a snapshot without a counterpart never
+    reaches Python. The arrays hold `active_ends` only, and the batch gate bounds
+    a snapshot by the 5,000-station contract.
+    """
+    target, source = F.col("role") == "target", F.col("role") == "source"
+    rows = active_ends(ends).withColumns(
+        {
+            "room": F.when(target, F.least("need", "docks", "target_safe")).otherwise(F.least("supply", "bikes", "source_safe")),
+            "rank": F.when(target, -F.col("need")).otherwise(0),
+        }
+    )
+    fields = ("rank", "station_id", "need", "supply", "room", "lat", "lon", "expires_at")
+    packed = F.struct(*fields)
+    sides = rows.groupBy(snapshot).agg(
+        F.array_sort(F.collect_list(F.when(target, packed))).alias("targets"),
+        F.array_sort(F.collect_list(F.when(source, packed))).alias("sources"),
+    )
+    both = sides.where((F.size("targets") > 0) & (F.size("sources") > 0))
+    return both.select(
+        snapshot,
+        *[F.col(f"targets.{n}").alias(f"t_{n}") for n in TARGET],
+        *[F.col(f"sources.{n}").alias(f"s_{n}") for n in SOURCE],
+    )
 
 
 def rebalance(ends, snapshot="snapshot_at"):
     """Suggested moves with global priority per snapshot.
 
     The greedy rule is sequential inside a snapshot and independent across
-    snapshots, so snapshots are the unit of parallelism. A group holds only
-    `active_ends`, which the batch gate bounds by the 5,000-station contract; no
-    pair of stations is ever materialised as a row.
+    snapshots, so snapshots are the unit of parallelism; no pair of stations is
+    ever materialised as a row.
     """
     kinds = {f.name: f.dataType for f in ends.schema.fields}
     schema = T.StructType(
         [T.StructField(snapshot, kinds[snapshot])]
-        + [T.StructField(n, T.StringType()) for n in _OUTPUT[:2]]
-        + [T.StructField(n, T.IntegerType()) for n in _OUTPUT[2:7]]
+        + [T.StructField(n, T.StringType()) for n in OUTPUT[:2]]
+        + [T.StructField(n, T.IntegerType()) for n in OUTPUT[2:7]]
         + [T.StructField("expires_at", kinds["expires_at"])]
     )
-    return (
-        active_ends(ends)
-        .groupBy(snapshot)
-        .applyInPandas(lambda group: _assign(group, snapshot), schema)
-    )
+    return snapshot_sides(ends, snapshot).mapInPandas(lambda batches: assign_batches(batches, snapshot), schema)
 
 
 def with_suggestion_id(suggestions, snapshot_id="snapshot_id"):
@@ -150,35 +125,55 @@ def with_suggestion_id(suggestions, snapshot_id="snapshot_id"):
 
 
 def suggestion_breaches(suggestions, ends, snapshot="snapshot_at"):
-    """Counts of broken promises per rule; all zero for a correct assignment."""
-    given = suggestions.groupBy(snapshot, F.col("from_station_id").alias("station_id")).agg(
-        F.sum("move_bikes").alias("moved")
+    """Counts of broken promises per rule; all zero for a correct assignment.
+
+    Each suggestion is unfolded into the five things it must be consistent with
+    (source, target, pair, rank, snapshot), so the solver runs once.
+    """
+
+    def part(kind, first=None, second=None):
+        nothing = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(kind).alias("role"),
+            (F.col(first).cast("string") if first else nothing).alias("station_id"),
+            (F.col(second) if second else nothing).alias("other"),
+        )
+
+    parts = F.array(
+        part("source", "from_station_id"),
+        part("target", "to_station_id"),
+        part("pair", "from_station_id", "to_station_id"),
+        part("rank", "priority"),
+        part("snapshot"),
     )
-    taken = suggestions.groupBy(snapshot, F.col("to_station_id").alias("station_id")).agg(
-        F.sum("move_bikes").alias("moved")
+    folded = (
+        suggestions.select(snapshot, "move_bikes", "priority", F.inline(parts))
+        .groupBy(snapshot, "role", "station_id", "other")
+        .agg(
+            F.sum("move_bikes").alias("moved"),
+            F.count("*").alias("rows"),
+            F.count_if(F.col("move_bikes") <= 0).alias("not_positive"),
+            F.min("priority").alias("low"),
+            F.max("priority").alias("high"),
+        )
     )
-    sources = given.join(ends.where("role = 'source'"), [snapshot, "station_id"], "left")
-    targets = taken.join(ends.where("role = 'target'"), [snapshot, "station_id"], "left")
-    pairs = suggestions.groupBy(snapshot, "from_station_id", "to_station_id").agg(F.count("*").alias("rows"))
-    ranks = suggestions.groupBy(snapshot).agg(
-        F.count("*").alias("rows"), F.min("priority").alias("low"), F.max("priority").alias("high"),
-        F.count_distinct("priority").alias("ranks"),
+    limits = ends.select(
+        snapshot, "role", "station_id",
+        F.when(F.col("role") == "source", F.least("supply", "source_safe", "bikes"))
+        .otherwise(F.least("need", "target_safe", "docks")).alias("limit"),
     )
-
-    def check(name, df, broken):
-        return df.agg(F.lit(name).alias("rule"), F.count_if(broken).alias("violations"))
-
-    parts = [
-        check("positive_move", suggestions, F.col("move_bikes") <= 0),
-        check("unique_pair", pairs, F.col("rows") > 1),
-        check("source_limit", sources, F.col("supply").isNull() | (F.col("moved") > F.least("supply", "source_safe", "bikes"))),
-        check("target_limit", targets, F.col("need").isNull() | (F.col("moved") > F.least("need", "target_safe", "docks"))),
-        check("priority_sequence", ranks, (F.col("low") != 1) | (F.col("high") != F.col("rows")) | (F.col("ranks") != F.col("rows"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    checked = folded.join(limits, [snapshot, "role", "station_id"], "left")
+    role = F.col("role")
+    beyond = F.col("limit").isNull() | (F.col("moved") > F.col("limit"))
+    rules = {
+        "positive_move": (role == "pair") & (F.col("not_positive") > 0),
+        "unique_pair": (role == "pair") & (F.col("rows") > 1),
+        "source_limit": (role == "source") & beyond,
+        "target_limit": (role == "target") & beyond,
+        "priority_sequence": ((role == "rank") & (F.col("rows") > 1))
+        | ((role == "snapshot") & ((F.col("low") != 1) | (F.col("high") != F.col("rows")))),
+    }
+    return named_counts(checked, rules, "rule", "violations")
 
 
 def usable_suggestions(suggestions, risk_now, as_of, snapshot="snapshot_at"):

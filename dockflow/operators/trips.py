@@ -22,12 +22,19 @@ class GateError(ValueError):
     """A whole batch was refused."""
 
 
-def rejected_rows(raw):
-    """Rows whose required text is blank, or whose critical times parse to nothing."""
+def gate_reason():
+    """Why a row breaks the batch: blank required text, or a critical time that parses to nothing."""
     blank = reduce(or_, [is_blank(F.col(name)) for name in REQUIRED_TRIP_FIELDS])
     unparsed = reduce(or_, [F.col(f"{name}_local").isNull() for name in TRIP_TIME_FIELDS])
-    reason = F.when(blank, "BLANK_REQUIRED_FIELD").when(unparsed, "UNPARSED_TIME")
-    return raw.withColumn("gate_reason", reason).where("gate_reason IS NOT NULL")
+    return F.when(blank, "BLANK_REQUIRED_FIELD").when(unparsed, "UNPARSED_TIME")
+
+
+def rejected_rows(typed):
+    return typed.withColumn("gate_reason", gate_reason()).where("gate_reason IS NOT NULL")
+
+
+def accepted_rows(typed):
+    return typed.where(gate_reason().isNull())
 
 
 def source_gate(typed):

@@ -294,17 +294,14 @@ def gate_rejections(spark, sf):
 
 @query
 def dwd_trips(spark, sf):
-    """The trip table end to end, over every row that passes the gate."""
-    typed = _typed(spark, sf)
-    bad = trips.rejected_rows(typed).select("source_row_number")
-    passed = typed.join(bad, "source_row_number", "left_anti").withColumn("ingest_batch_id", F.lit(DATASET))
-    return _int(trips.build_dwd(passed), "start_hour", "day_of_week")
+    """The trip table end to end, rows that the gate would refuse included."""
+    typed = _typed(spark, sf).withColumn("ingest_batch_id", F.lit(DATASET))
+    return _int(trips.build_dwd(typed), "start_hour", "day_of_week")
 
 
 @query
 def quality_summary(spark, sf):
-    passed = _typed(spark, sf).where("started_at_local IS NOT NULL AND ended_at_local IS NOT NULL")
-    flagged = trips.flag_first_seen(passed, "ride_id", ("source_year", "source_month", "source_file", "source_row_number"))
+    flagged = trips.flag_first_seen(_typed(spark, sf), "ride_id", ("source_year", "source_month", "source_file", "source_row_number"))
     return trips.quality_summary(flagged.withColumn("is_valid_station_trip", trips.valid_trip()))
 
 

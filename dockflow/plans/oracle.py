@@ -114,7 +114,6 @@ STEPS = {
   try_strptime(started_at, {_FORMATS}) AS started_at_local, try_strptime(ended_at, {_FORMATS}) AS ended_at_local,
   nullif(trim(start_station_id), '') AS start_station_id, nullif(trim(end_station_id), '') AS end_station_id, nullif(trim(start_station_name), '') AS start_station_name, nullif(trim(end_station_name), '') AS end_station_name,
   {_coord('start_lat', 90)} AS start_lat, {_coord('start_lng', 180)} AS start_lng, {_coord('end_lat', 90)} AS end_lat, {_coord('end_lng', 180)} AS end_lng FROM data_v""",
-    "passed_v": f"SELECT * FROM typed_v WHERE NOT {_blank('rideable_type')} AND started_at_local IS NOT NULL AND ended_at_local IS NOT NULL",
     "flagged_v": f"""SELECT *, CAST(floor(date_diff('microsecond', started_at_local, ended_at_local) / 1000000.0) AS BIGINT) AS duration_seconds, dup AS is_duplicate_ride, NOT dup AND coalesce({_OK}, false) AS is_valid_station_trip
   FROM (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY source_year, source_month, source_file, source_row_number) > 1 AS dup FROM SRC) f""",
     "snap_v": "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_at, station_id ORDER BY event_id DESC) AS rn FROM obs_v) s WHERE rn = 1",
@@ -365,13 +364,13 @@ def _queries():
             f"""SELECT ride_id, rideable_type, started_at_local, ended_at_local, duration_seconds, start_station_id, start_station_name, start_lat, start_lng, end_station_id, end_station_name, end_lat, end_lng, member_casual,
  CAST(started_at_local AS DATE) AS service_date, CAST(hour(started_at_local) AS INTEGER) AS start_hour, CAST(isodow(started_at_local) AS INTEGER) AS day_of_week, isodow(started_at_local) > 5 AS is_weekend,
  '{DATASET}' AS ingest_batch_id, source_file, source_row_number, is_duplicate_ride, is_valid_station_trip, source_year, source_month FROM dwd_flags""",
-            dwd_flags=flagged.replace("SRC", "passed_v"),
+            dwd_flags=flagged.replace("SRC", "typed_v"),
         ),
         "quality_summary": sql(
             """SELECT count(*) AS dwd, count(*) FILTER (is_valid_station_trip) AS valid, count(*) FILTER (NOT is_valid_station_trip) AS invalid, count(*) FILTER (is_duplicate_ride) AS duplicate,
  count(*) - count(start_station_id) AS missing_start_station, count(*) - count(end_station_id) AS missing_end_station, count(*) FILTER (start_lat IS NULL OR start_lng IS NULL) AS missing_or_invalid_start_coordinate,
  count(*) FILTER (end_lat IS NULL OR end_lng IS NULL) AS missing_or_invalid_end_coordinate, count(*) FILTER (duration_seconds <= 0) AS non_positive_duration FROM sum_flags""",
-            sum_flags=flagged.replace("SRC", "typed_v WHERE started_at_local IS NOT NULL AND ended_at_local IS NOT NULL"),
+            sum_flags=flagged.replace("SRC", "typed_v"),
         ),
         "dedup_flags": "SELECT ride_id, l_shipdate, l_partkey, l_suppkey, row_number() OVER (PARTITION BY ride_id ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, content) > 1 AS is_duplicate FROM dup_v",
         "dedup_conflicts": """SELECT count(*) FILTER (rn > 1) AS duplicates, count(*) FILTER (rn > 1 AND content <> winner) AS duplicate_conflict FROM (SELECT *, row_number() OVER w AS rn, first_value(content) OVER w AS winner FROM dup_v

@@ -27,19 +27,22 @@ def documents(df, raw="raw"):
     return df.withColumn("doc", F.try_parse_json(raw))
 
 
-def kind(value):
-    """JSON type of a variant: object, array, string, integer, number, boolean or null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), "missing")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
-        .when(name.startswith("DECIMAL") | name.isin("DOUBLE", "FLOAT"), "number")
-        .when(name == "BOOLEAN", "boolean")
-        .otherwise("null")
-    )
+# JSON kinds as the names that `schema_of_variant` gives them.
+_KINDS = {
+    "object": "OBJECT.*",
+    "array": "ARRAY.*",
+    "string": "STRING",
+    "integer": "BIGINT|INT|SMALLINT|TINYINT",
+    "number": "DECIMAL.*|DOUBLE|FLOAT",
+    "boolean": "BOOLEAN",
+    "null": "VOID",
+}
+
+
+def is_kind(value, *kinds):
+    """The variant has one of the JSON kinds; false for an absent value unless `missing` is listed."""
+    named = "|".join(_KINDS[k] for k in kinds if k != "missing")
+    return F.coalesce(F.schema_of_variant(value).rlike(f"^(?:{named})$"), F.lit("missing" in kinds))
 
 
 def member(document, path, target="variant"):
@@ -48,21 +51,19 @@ def member(document, path, target="variant"):
 
 def integer(document, path):
     """The value as BIGINT when it is a JSON integer; fractions and text are NULL."""
-    raw = member(document, path)
-    return F.when(kind(raw) == "integer", F.try_variant_get(document, path, "bigint"))
+    return F.when(is_kind(member(document, path), "integer"), F.try_variant_get(document, path, "bigint"))
 
 
 def flag(document, path):
     """Boolean, or 0/1 as boolean; anything else is NULL."""
-    raw = member(document, path)
-    number = integer(document, path)
-    return F.when(kind(raw) == "boolean", F.try_variant_get(document, path, "boolean")).when(
-        number.isin(0, 1), number == 1
+    number = F.try_variant_get(document, path, "bigint")
+    return F.when(is_kind(member(document, path), "boolean"), F.try_variant_get(document, path, "boolean")).when(
+        is_kind(member(document, path), "integer") & number.isin(0, 1), number == 1
     )
 
 
 def string(document, path):
-    return F.when(kind(member(document, path)) == "string", F.try_variant_get(document, path, "string"))
+    return F.when(is_kind(member(document, path), "string"), F.try_variant_get(document, path, "string"))
 
 
 def feed_rows(docs, array, *keep):
@@ -93,11 +94,11 @@ def envelope_rules(array):
     """Document-level rules of a data feed."""
     doc = F.col("doc")
     return [
-        Rule("json", doc.isNull() | (kind(doc) != "object")),
+        Rule("json", ~is_kind(doc, "object")),
         Rule("version", ~string(doc, "$.version").eqNullSafe(FEED_VERSION)),
         Rule("last_updated", ~F.coalesce(integer(doc, "$.last_updated") >= 0, F.lit(False))),
         Rule("ttl", ~F.coalesce(integer(doc, "$.ttl") >= 0, F.lit(False))),
-        Rule("rows", kind(member(doc, f"$.data.{array}")) != "array"),
+        Rule("rows", ~is_kind(member(doc, f"$.data.{array}"), "array")),
     ]
 
 
@@ -110,14 +111,13 @@ def status_rules():
     """Row rules of the status feed."""
     item = F.col("item")
     rules = [_text_rule("station_id")]
-    bikes = kind(member(item, "$.num_bikes_available"))
-    rules.append(Rule("num_bikes_available", bikes != "integer"))
+    rules.append(Rule("num_bikes_available", ~is_kind(member(item, "$.num_bikes_available"), "integer")))
     for name in INVENTORY[1:]:
-        rules.append(Rule(name, ~kind(member(item, f"$.{name}")).isin("missing", "null", "integer")))
+        rules.append(Rule(name, ~is_kind(member(item, f"$.{name}"), "missing", "null", "integer")))
     for name in FLAGS:
         rules.append(Rule(name, flag(item, f"$.{name}").isNull()))
     rules.append(Rule("last_reported", ~F.coalesce(integer(item, "$.last_reported") >= 0, F.lit(False))))
-    rules.append(Rule("vehicle_types_available", kind(member(item, "$.vehicle_types_available")) != "array"))
+    rules.append(Rule("vehicle_types_available", ~is_kind(member(item, "$.vehicle_types_available"), "array")))
     vehicles = F.try_variant_get("item", "$.vehicle_types_available", "array<variant>")
     bad_vehicle = F.exists(
         vehicles,
@@ -135,13 +135,13 @@ def information_rules():
     item = F.col("item")
     rules = [_text_rule("station_id"), Rule("name", string(item, "$.name").isNull())]
     for name, limit in (("lat", 90), ("lon", 180)):
-        numeric = kind(member(item, f"$.{name}")).isin("integer", "number")
+        numeric = is_kind(member(item, f"$.{name}"), "integer", "number")
         rules.append(Rule(name, ~numeric))
         rules.append(Rule(f"{name}_range", F.abs(member(item, f"$.{name}", "double")) > limit, "warning"))
     rules.append(
         Rule(
             "capacity",
-            ~kind(member(item, "$.capacity")).isin("missing", "null", "integer") | (integer(item, "$.capacity") <= 0),
+            ~is_kind(member(item, "$.capacity"), "missing", "null", "integer") | (integer(item, "$.capacity") <= 0),
             "warning",
         )
     )
@@ -152,8 +152,8 @@ def vehicle_type_rules():
     """Row rules of the vehicle types feed."""
     item = F.col("item")
     rules = [_text_rule(name) for name in ("vehicle_type_id", "form_factor", "propulsion_type")]
-    rules.append(Rule("name", ~kind(member(item, "$.name")).isin("missing", "null", "string")))
-    rules.append(Rule("max_range_meters", ~kind(member(item, "$.max_range_meters")).isin("missing", "null", "integer", "number")))
+    rules.append(Rule("name", ~is_kind(member(item, "$.name"), "missing", "null", "string")))
+    rules.append(Rule("max_range_meters", ~is_kind(member(item, "$.max_range_meters"), "missing", "null", "integer", "number")))
     return rules
 
 
@@ -162,7 +162,7 @@ def information_table(rows):
     item = F.col("item")
 
     def number(name):
-        return F.when(kind(member(item, f"$.{name}")).isin("integer", "number"), member(item, f"$.{name}", "double"))
+        return F.when(is_kind(member(item, f"$.{name}"), "integer", "number"), member(item, f"$.{name}", "double"))
 
     return rows.withColumns(
         {
