@@ -46,9 +46,16 @@ def matched_pattern(text: Column) -> Column:
     return F.when(parse_wall_clock(text, "ntz").isNotNull(), chain)
 
 
-def elapsed_seconds(start: Column, end: Column) -> Column:
-    """Whole seconds between two timestamps of one kind, rounded down also below zero."""
-    seconds = (end - start).cast(T.DayTimeIntervalType(3, 3)).cast("decimal(20,6)")
+def elapsed_seconds(df, start, end) -> Column:
+    """Whole seconds between two timestamp columns, rounded down also below zero.
+
+    Zone-free columns differ by their wall clocks; subtracting zoned ones would do
+    the same, so those are compared as instants.
+    """
+    if isinstance(df.schema[start].dataType, T.TimestampNTZType):
+        seconds = (F.col(end) - F.col(start)).cast(T.DayTimeIntervalType(3, 3)).cast("decimal(20,6)")
+    else:
+        seconds = (F.unix_micros(end) - F.unix_micros(start)) / 1000000
     return F.floor(seconds).cast("long")
 
 

@@ -81,7 +81,7 @@ def clean_fields(df):
 
 
 def with_trip_calendar(df):
-    df = df.withColumn("duration_seconds", elapsed_seconds(F.col("started_at_local"), F.col("ended_at_local")))
+    df = df.withColumn("duration_seconds", elapsed_seconds(df, "started_at_local", "ended_at_local"))
     return with_calendar(df, "started_at_local")
 
 

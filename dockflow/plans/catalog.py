@@ -39,7 +39,7 @@ def _trips(spark, sf):
 
 def _dwd(spark, sf):
     trip = _trips(spark, sf)
-    seconds = times.elapsed_seconds(F.col("started_at_local"), F.col("ended_at_local"))
+    seconds = times.elapsed_seconds(trip, "started_at_local", "ended_at_local")
     return trip.withColumns({"is_valid_station_trip": trips.valid_trip(), "duration_seconds": seconds})
 
 
