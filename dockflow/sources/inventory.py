@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 
 def inventory(spark, path, pattern="*.csv", digest=True):
-    """Name, size and content digest of every file below a path; one task reads one file."""
+    """Name, size and content digest of every file below a path; one task reads one file.
+
+    Spark skips files of zero bytes, so those count as absent; a trip file has a header at least.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     files = reader.load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("filename")

@@ -25,17 +25,30 @@ ENVELOPE = T.StructType(
 _UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|\+00:00)$"
 
 
-def read_ndjson(spark, path, stream=False, max_files=None):
-    """Records of replay files, in file order; blank lines are skipped."""
-    reader = spark.readStream if stream else spark.read
-    if stream and max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(path).where(F.trim("value") != "")
-    parsed = lines.select(
-        F.from_json("value", ENVELOPE).alias("record"),
+def read_ndjson(spark, path):
+    """Records of NDJSON files; blank lines are skipped."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("text"),
         F.col("_metadata.file_name").alias("feed_file"),
         F.monotonically_increasing_id().alias("position"),
     )
+    return _envelopes(lines)
+
+
+def stream_ndjson(spark, path, max_files=1):
+    """Replay files as a stream in file order.
+
+    A replay file is one batch, so it is read whole and unfolded with line numbers;
+    the order of its lines is what the gate works on.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("feed_file"))
+    lines = files.select("feed_file", F.posexplode(F.split("value", r"\r?\n")).alias("position", "text"))
+    return _envelopes(lines.withColumn("position", F.col("position").cast("long")))
+
+
+def _envelopes(lines):
+    parsed = lines.where(F.trim("text") != "").withColumn("record", F.from_json("text", ENVELOPE))
     return parsed.select("record.*", F.lit("replay").alias("feed"), F.struct("feed_file", "position").alias("offset"))
 
 

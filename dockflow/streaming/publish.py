@@ -10,6 +10,20 @@ from dockflow.schemas import MAX_SUGGESTIONS, STATION_EVENT
 from dockflow.sinks.release import open_release, point_to, pointer
 
 POINTER = "live_release"
+# A snapshot may be empty, so readers do not infer these.
+RISK_TABLE = (
+    "station_id string, metadata_version string, data_origin string, snapshot_at timestamp, last_reported_at timestamp,"
+    " ingested_at timestamp, received_at timestamp, bikes int, docks int, is_installed boolean, is_renting boolean,"
+    " is_returning boolean, clock_mode string, as_of timestamp, station_name string, capacity int, lat double, lon double,"
+    " current_reason string, expires_at timestamp, serviceable bigint, fill_ratio double, current_status string,"
+    " sample_days bigint, forecast_reason string, forecast_status string, expected_inbound_1h double,"
+    " expected_outbound_1h double, expected_net_flow_1h double, projected_bikes_1h double, forecast_for timestamp,"
+    " snapshot_id string"
+)
+SUGGESTION_TABLE = (
+    "from_station_id string, to_station_id string, move_bikes int, from_surplus int, to_deficit int, distance_meters int,"
+    " priority int, expires_at timestamp, suggestion_id string, generated_at timestamp, snapshot_id string"
+)
 
 
 def batch_observations(gate_rows, now):
@@ -89,8 +103,8 @@ def live_snapshot(spark, root):
     if release is None:
         return None
     picked = F.col("snapshot_id") == release["snapshot_id"]
-    found = spark.read.parquet(f"{root}/live/ads_station_current_risk").where(picked)
-    moves = spark.read.parquet(f"{root}/live/ads_rebalance_suggestion").where(picked)
+    found = spark.read.schema(RISK_TABLE).parquet(f"{root}/live/ads_station_current_risk").where(picked)
+    moves = spark.read.schema(SUGGESTION_TABLE).parquet(f"{root}/live/ads_rebalance_suggestion").where(picked)
     return release, found, bounded(moves, MAX_SUGGESTIONS, "suggestions")
 
 
