@@ -1,5 +1,8 @@
 """Station identity: canonical mapping, attributes, dimension and lookups."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from dockflow.functions.text import clean_identifier
@@ -26,19 +29,35 @@ def endpoint_candidates(dwd):
     return dwd.select(F.inline(sides), "source_file", "source_row_number").where("station_id IS NOT NULL")
 
 
-def latest_attributes(candidates):
+def _timed(candidates):
+    """Sightings without a time lose to every timed one."""
+    return candidates.withColumn("at", F.coalesce(sortable(candidates, "event_time"), F.lit(-(2**63))))
+
+
+def newest_times(candidates):
+    """Newest time per station at which each attribute is known: a hash aggregate of three numbers."""
+    return _timed(candidates).groupBy("station_id").agg(
+        *[F.max(F.when(F.col(name).isNotNull(), F.col("at"))).alias(f"{name}_at") for name in ATTRIBUTES]
+    )
+
+
+def latest_attributes(candidates, newest=None):
     """Newest non-null value of each attribute per station, each taken on its own.
 
-    `min_by` over (newest first, file, row, side) keeps one value per station and
-    map task, so a station with most of the trips costs no more than any other.
-    Sightings without a time lose to every timed one.
+    Only the sightings at the newest times are ordered by file, row and side. A
+    station with most of the trips is reduced in every task before both shuffles.
+    A job that wrote `newest_times` to a table passes it as `newest`, so that the
+    join is planned by its real size.
     """
-    newest = F.coalesce(-sortable(candidates, "event_time"), F.lit(2**63 - 1))
-    order = F.struct(newest, F.col("source_file"), F.col("source_row_number"), F.col("side"))
-    best = [
-        F.min_by(F.col(name), F.when(F.col(name).isNotNull(), order)).alias(name) for name in ATTRIBUTES
-    ]
-    return candidates.groupBy("station_id").agg(*best)
+    if newest is None:
+        newest = newest_times(candidates)
+    is_newest = {name: F.col(name).isNotNull() & (F.col("at") == F.col(f"{name}_at")) for name in ATTRIBUTES}
+    near = _timed(candidates).join(newest, "station_id").where(reduce(or_, is_newest.values()))
+    order = F.struct("source_file", "source_row_number", "side")
+    picked = near.groupBy("station_id").agg(
+        *[F.min_by(F.col(name), F.when(is_newest[name], order)).alias(name) for name in ATTRIBUTES]
+    )
+    return newest.select("station_id").join(picked, "station_id", "left")
 
 
 def station_dim(metadata, historical, built_at):

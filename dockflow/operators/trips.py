@@ -85,28 +85,37 @@ def with_trip_calendar(df):
     return with_calendar(df, "started_at_local")
 
 
-def repeated_keys(df, key, order, signature=None):
-    """Keys that occur more than once, with their first row's order values (and signature).
+def repeated_keys(df, key):
+    """Keys that occur more than once.
 
-    A partial aggregate on (key, order), so a key that owns most of the rows is
-    reduced on the map side before anything is shuffled.
+    A counting hash aggregate over the key column alone: a key that owns most of
+    the rows is one row per task before anything is shuffled.
     """
-    first = F.struct(*order, *([signature] if signature else []))
-    return (
-        df.groupBy(key)
-        .agg(F.count("*").alias("key_rows"), F.min(first).alias("first_row"))
-        .where("key_rows > 1")
-    )
+    return df.groupBy(key).agg(F.count("*").alias("key_rows")).where("key_rows > 1").select(key)
+
+
+def first_rows(df, key, order, *extra, repeated=None):
+    """First row of every repeated key: its order values and the named extra columns.
+
+    Only rows of repeated keys are ordered, and they too are reduced in each task
+    before the shuffle.
+    """
+    keys = repeated_keys(df, key) if repeated is None else repeated
+    rows = df.select(key, *order, *extra).join(keys, key, "left_semi")
+    return rows.groupBy(key).agg(F.min(F.struct(*order, *extra)).alias("first_row"))
 
 
-def flag_first_seen(df, key, order, signature=None, flag="is_duplicate_ride"):
+def flag_first_seen(df, key, order, signature=None, flag="is_duplicate_ride", firsts=None):
     """Mark every row but the first of its key; optionally mark content conflicts too.
 
-    Only the repeated keys are joined back. They are few in sound data, so the
-    optimizer broadcasts them by measured size and the wide rows stay where they
-    are; beyond that size it is a sort-merge join whose hot partitions AQE splits.
+    Only the repeated keys are joined back, and they are few in sound data. A job
+    that wrote `first_rows` to a table passes it as `firsts`: its file size then
+    decides between a broadcast, which leaves the wide rows where they are, and a
+    sort-merge join whose hot partitions AQE splits.
     """
-    firsts = repeated_keys(df, key, order, signature).select(F.col(key).alias("dup_key"), "first_row")
+    if firsts is None:
+        firsts = first_rows(df, key, order, *([signature] if signature else []))
+    firsts = firsts.select(F.col(key).alias("dup_key"), "first_row")
     joined = df.join(firsts, df[key] == F.col("dup_key"), "left")
     is_first = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"first_row.{name}")) for name in order])
     added = {flag: F.col("dup_key").isNotNull() & ~is_first}
@@ -135,15 +144,17 @@ def typed_trips(raw, wall_clock="ltz"):
     return with_trip_calendar(clean_fields(with_local_times(raw, wall_clock)))
 
 
-def build_dwd(typed, order=("source_year", "source_month", "source_file", "source_row_number")):
+def build_dwd(typed, order=("source_year", "source_month", "source_file", "source_row_number"), firsts=None):
     """All physical rows with duplicate and validity flags."""
-    flagged = flag_first_seen(typed, "ride_id", order)
+    flagged = flag_first_seen(typed, "ride_id", order, firsts=firsts)
     return flagged.withColumn("is_valid_station_trip", valid_trip()).select(*DWD_COLUMNS)
 
 
-def conflict_count(typed, order):
-    """Duplicates whose content differs from the first row of their ride id."""
-    signed = typed.select("ride_id", *order, business_signature().alias("signature"))
+def conflict_count(typed, order, repeated=None):
+    """Duplicates whose content differs from the first row of their ride id; only repeated ids are hashed."""
+    keys = repeated_keys(typed, "ride_id") if repeated is None else repeated
+    rows = typed.join(keys, "ride_id", "left_semi")
+    signed = rows.select("ride_id", *order, business_signature().alias("signature"))
     flagged = flag_first_seen(signed, "ride_id", order, "signature")
     return flagged.agg(F.count_if("is_conflict").alias("duplicate_conflict"))
 

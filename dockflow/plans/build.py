@@ -57,11 +57,20 @@ def check_source(counters, mismatches):
         raise GateError(f"record counts differ from the manifest: {[r.asDict() for r in different]}")
 
 
+def staged(df, path):
+    """Write a small intermediate and read it back: joins against it are planned by its file size."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def build_tables(spark, typed, metadata, built_at, stage, release_id):
     """All warehouse tables from typed trips; each is written once and read back by the next."""
     paths = {name: f"{stage}/{path}" for name, path in TABLE_PATHS.items()}
     counters = Observation("quality")
-    write_table(trips.build_dwd(typed, _LINEAGE).observe(counters, *trips.quality_columns()), "dwd_trip_v1", paths["dwd_trip_v1"])
+    repeated = staged(trips.repeated_keys(typed, "ride_id"), f"{stage}-repeated")
+    firsts = staged(trips.first_rows(typed, "ride_id", _LINEAGE, repeated=repeated), f"{stage}-firsts")
+    marked = trips.build_dwd(typed, _LINEAGE, firsts).observe(counters, *trips.quality_columns())
+    write_table(marked, "dwd_trip_v1", paths["dwd_trip_v1"])
     dwd = spark.read.parquet(paths["dwd_trip_v1"])
     counted = dwd.where("is_valid_station_trip")
 
@@ -73,13 +82,15 @@ def build_tables(spark, typed, metadata, built_at, stage, release_id):
     profile = save("dws_station_hour_profile_v1", flow.hour_profile(hourly))
     od = save("dws_station_od_hourly_v1", flow.od_hourly(counted))
     sightings = stations.endpoint_candidates(dwd)
-    dim = save("dim_station_v1", stations.station_dim(metadata, stations.latest_attributes(sightings), built_at))
+    newest = staged(stations.newest_times(sightings), f"{stage}-newest")
+    historical = stations.latest_attributes(sightings, newest)
+    dim = save("dim_station_v1", stations.station_dim(metadata, historical, built_at))
 
     totals = flow.conservation(dwd, hourly, od).first().asDict()
     if not totals.pop("conserved"):
         raise GateError(f"flow does not conserve trips: {totals}")
     hits = stations.metadata_hits(sightings, metadata).first().asDict()
-    conflicts = trips.conflict_count(typed, _LINEAGE).first()[0]
+    conflicts = trips.conflict_count(typed, _LINEAGE, repeated).first()[0]
     sizes = {"flow": hourly.count(), "profile": profile.count(), "od": od.count(), "dim": dim.count()}
     bounds = flow.date_bounds(hourly).first().asDict()
     return {**counters.get, **totals, **hits, **sizes, "duplicate_conflict": conflicts}, bounds

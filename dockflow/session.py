@@ -10,6 +10,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Generated methods above the JIT's 8,000-byte limit would stay interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A task that writes few partitions keeps their files open instead of sorting its rows.
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
