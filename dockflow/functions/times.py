@@ -93,10 +93,30 @@ def plus_seconds(when: Column, seconds: int) -> Column:
     return when + F.expr(f"INTERVAL {int(seconds)} SECOND")
 
 
-def utc_text(instant: Column) -> Column:
-    """RFC 3339 text of an instant, microseconds only when present."""
-    local = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+def utc_wall(df, instant) -> Column:
+    """UTC wall clock of an instant column, zone-free."""
+    if isinstance(df.schema[instant].dataType, T.TimestampNTZType):
+        return F.col(instant)
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(instant).cast("timestamp_ntz"))
+
+
+def _iso(wall: Column) -> Column:
+    return F.replace(wall.cast("string"), F.lit(" "), F.lit("T"))
+
+
+def utc_text(df, instant) -> Column:
+    """RFC 3339 text in UTC, fractions only when present."""
+    return F.concat(_iso(utc_wall(df, instant)), F.lit("Z"))
+
+
+def city_text(df, instant) -> Column:
+    """RFC 3339 text on the city's clock with its offset at that instant."""
+    city, utc = city_clock(df, instant), utc_wall(df, instant)
+    minutes = ((city - utc).cast(T.DayTimeIntervalType(2, 2))).cast("int")
+    size = F.abs(minutes)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    offset = F.concat(two(F.floor(size / 60)), F.lit(":"), two(size % 60))
+    return F.concat(_iso(city), F.when(minutes < 0, "-").otherwise("+"), offset)
 
 
 def sortable(df, column) -> Column:

@@ -96,8 +96,10 @@ def snapshot_sides(ends, snapshot="snapshot_at"):
         F.array_sort(F.collect_list(F.when(source, packed))).alias("sources"),
     )
     both = sides.where((F.size("targets") > 0) & (F.size("sources") > 0))
+    within = F.size("targets") + F.size("sources") <= MAX_STATIONS
+    checked = F.when(within, F.col(snapshot)).otherwise(F.raise_error(F.lit("snapshot exceeds the station limit")))
     return both.select(
-        snapshot,
+        checked.alias(snapshot),
         *[F.col(f"targets.{n}").alias(f"t_{n}") for n in TARGET],
         *[F.col(f"sources.{n}").alias(f"s_{n}") for n in SOURCE],
     )

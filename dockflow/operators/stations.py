@@ -99,15 +99,17 @@ def canonical_mapping(information, provider="provider_station_id", scope=()):
     few; blank ones never enter the join.
     """
     named = information.withColumn("short", F.nullif(F.trim("short_name"), F.lit("")))
+    # Nameless stations get a join key of their own, so they spread over all tasks.
+    named = named.withColumn("short_key", F.coalesce("short", F.concat(F.lit("\n"), F.col(provider))))
     shared = (
         named.where("short IS NOT NULL")
-        .groupBy(*scope, "short")
+        .groupBy(*scope, F.col("short").alias("short_key"))
         .agg(F.count("*").alias("owners"))
         .where("owners > 1")
         .drop("owners")
         .withColumn("is_shared", F.lit(True))
     )
-    joined = named.join(shared, [*scope, "short"], "left")
+    joined = named.join(shared, [*scope, "short_key"], "left")
     reason = F.when(F.col("short").isNull(), "MISSING_SHORT_NAME").when(F.col("is_shared"), "DUPLICATE_SHORT_NAME")
     isolated = F.concat(F.lit("gbfs:"), F.col(provider))
     return (
@@ -118,7 +120,7 @@ def canonical_mapping(information, provider="provider_station_id", scope=()):
                 "mapping_status": F.when(F.col("mapping_reason").isNull(), "SHORT_NAME").otherwise("ISOLATED"),
             }
         )
-        .drop("short", "is_shared")
+        .drop("short", "short_key", "is_shared")
     )
 
 
