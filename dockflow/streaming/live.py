@@ -1,5 +1,7 @@
 """The live job: records in, gated batches published."""
 
+import hashlib
+
 from dockflow.schemas import BATCH_TIMEOUT_SECONDS
 from dockflow.session import checkpoint_root
 from dockflow.sources.records import event_rules, flat_records
@@ -8,10 +10,11 @@ from dockflow.streaming.publish import publisher
 
 
 def start_live(envelopes, metadata, root, mode="live", timeout_seconds=BATCH_TIMEOUT_SECONDS, trigger=None, checkpoints=None):
-    """Start the job; its state lives under the cluster's shared checkpoint folder."""
+    """Start the job; its state lives under the cluster's shared checkpoint folder, by served root and mode."""
     spark = envelopes.sparkSession
     records = gate_input(flat_records(envelopes), event_rules(), metadata)
     verdicts = gated(records, mode, timeout_seconds)
     writer = verdicts.writeStream.outputMode("append").foreachBatch(publisher(root, metadata))
-    writer = writer.option("checkpointLocation", f"{checkpoint_root(spark, checkpoints)}/live-gate-{mode}")
+    job = hashlib.sha256(f"{root}\n{mode}".encode()).hexdigest()[:16]
+    writer = writer.option("checkpointLocation", f"{checkpoint_root(spark, checkpoints)}/live-gate-{job}")
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
