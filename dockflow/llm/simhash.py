@@ -160,17 +160,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; of rows that repeat it, the first text.
+    """``docs`` with one document of each component: the one with the smallest id; one of the rows that repeat its id and text.
 
-    The ids to drop are anti-joined; Spark broadcasts them only where their measured size allows it.
+    Rows are told apart by id and text, so repeated or null ids with other texts do not answer for each other. The rows to drop
+    are anti-joined; Spark broadcasts them only where their measured size allows it.
     """
-    found = staged(near_duplicates(docs, k=k), "near-duplicates")
-    drop = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
-    again = staged(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").drop("count"), "repeated")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    keyed = docs.withColumn("_row", row)
+    found = staged(near_duplicates(keyed, "_row", "text", k), "near-duplicates")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct()
+    kept = keyed.join(drop, "_row", "left_anti")
+    again = staged(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    once = kept.join(again, same, "left_semi")
-    first = once.groupBy("doc_id").agg(F.min_by(F.struct(*once.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return kept.join(again, same, "left_anti").unionByName(first)
+        return kept.select(docs.columns)
+    once = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(again, "_row", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
