@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 from dockflow.functions.status import usable
 from dockflow.operators.greedy import OUTPUT, SOURCE, TARGET, assign_batches
 from dockflow.operators.quality import named_counts
-from dockflow.schemas import MAX_STATIONS
 
 ENDS = (
     "station_id", "role", "bikes", "docks", "lat", "lon", "need", "supply", "source_safe", "target_safe", "expires_at",
@@ -70,17 +69,17 @@ def target_order(ends, snapshot="snapshot_at"):
     return ends.where("role = 'target'").withColumn("target_rank", order)
 
 
-def oversized_snapshots(ends, snapshot="snapshot_at", limit=MAX_STATIONS):
-    """Snapshots with more stations than the contract admits; the gate refuses such batches."""
-    return ends.groupBy(snapshot).agg(F.count("*").alias("stations")).where(F.col("stations") > limit)
+def snapshot_station_counts(observations, snapshot="snapshot_at"):
+    """Stations of every snapshot; a size is reported, never a reason to refuse."""
+    return observations.groupBy(snapshot).agg(F.count("*").alias("stations"))
 
 
 def snapshot_sides(ends, snapshot="snapshot_at"):
     """One row per snapshot that has both sides, with its targets and sources as ordered arrays.
 
     Spark groups, orders and filters; a snapshot without a counterpart never
-    reaches Python. The arrays hold `active_ends` only, and the batch gate bounds
-    a snapshot by the 5,000-station contract.
+    reaches Python. The arrays hold `active_ends` only, about 60 bytes each: a
+    snapshot's stations are the physical docks of one city.
     """
     target, source = F.col("role") == "target", F.col("role") == "source"
     rows = active_ends(ends).withColumns(
@@ -96,10 +95,8 @@ def snapshot_sides(ends, snapshot="snapshot_at"):
         F.array_sort(F.collect_list(F.when(source, packed))).alias("sources"),
     )
     both = sides.where((F.size("targets") > 0) & (F.size("sources") > 0))
-    within = F.size("targets") + F.size("sources") <= MAX_STATIONS
-    checked = F.when(within, F.col(snapshot)).otherwise(F.raise_error(F.lit("snapshot exceeds the station limit")))
     return both.select(
-        checked.alias(snapshot),
+        snapshot,
         *[F.col(f"targets.{n}").alias(f"t_{n}") for n in TARGET],
         *[F.col(f"sources.{n}").alias(f"s_{n}") for n in SOURCE],
     )

@@ -7,18 +7,20 @@ from dockflow.schemas import MODE_ORIGINS
 RESOLVED = ("PUBLISHED", "SKIPPED_DUPLICATE", "REJECTED_CONFLICT")
 
 
-def snapshot_states(attempts, order="attempt"):
-    """First content of a provider time is published; equal content is a duplicate, other content a conflict.
+def snapshot_states(attempts, order="attempt", sent="sent"):
+    """The first content of a provider time that is sent is published; later equal content is a duplicate, other content a conflict.
 
-    The first attempt per provider time is a partial aggregate; comparing against
-    it is a join with one row per time, which AQE splits when a time dominates.
+    An attempt that could not be sent and has nothing published before it blocks
+    nothing. The first sent attempt per provider time is a partial aggregate; comparing
+    against it is a join with one row per time, which AQE splits when a time dominates.
     """
     first = attempts.groupBy("provider_time").agg(
-        F.min(F.struct(F.col(order), F.col("status_raw_sha256"))).alias("first")
+        F.min(F.when(F.col(sent), F.struct(F.col(order), F.col("status_raw_sha256")))).alias("first")
     )
     joined = attempts.join(first, "provider_time")
     state = (
         F.when(F.col(order) == F.col(f"first.{order}"), "PUBLISHED")
+        .when(F.col("first").isNull() | (F.col(order) < F.col(f"first.{order}")), "FAILED_SEND")
         .when(F.col("status_raw_sha256") == F.col("first.status_raw_sha256"), "SKIPPED_DUPLICATE")
         .otherwise("REJECTED_CONFLICT")
     )

@@ -41,7 +41,7 @@ def source_gate(typed):
     """Refuse the batch when any row fails; one scan that stops at the first failure."""
     failed = rejected_rows(typed).select("gate_reason").take(1)
     if failed:
-        raise GateError(f"source gate rejected the batch: {failed[0].gate_reason}")
+        raise GateError(f"unusable trip records: {failed[0].gate_reason}")
     return typed
 
 

@@ -9,7 +9,7 @@ from dockflow.functions.hashing import dataset_id
 from dockflow.operators import flow, stations, trips
 from dockflow.operators.trips import GateError
 from dockflow.schemas import CONTRACT_VERSION
-from dockflow.sinks.release import TABLE_PATHS, commit_release, stage_root, write_table
+from dockflow.sinks.release import TABLE_PATHS, commit_release, new_attempt, write_table
 from dockflow.sources.manifest import count_mismatches, load_manifest, members, read_manifest
 from dockflow.sources.metadata import content_version, load_metadata
 from dockflow.sources.trips_csv import read_manifest_trips
@@ -51,7 +51,7 @@ def check_source(counters, mismatches):
     """Refuse the batch on any gate counter or file count difference."""
     broken = {name: n for name, n in counters.items() if name != "rows" and n}
     if broken:
-        raise GateError(f"source gate rejected the batch: {broken}")
+        raise GateError(f"unusable trip records, by kind: {broken}")
     different = mismatches.take(10)
     if different:
         raise GateError(f"record counts differ from the manifest: {[r.asDict() for r in different]}")
@@ -104,7 +104,7 @@ def build_release(spark, raw_root, manifest_path, metadata_path, source_month, r
     line = f"{source_month}:{manifest['zip_sha256']}"
     release_id = spark.range(1).select(dataset_id(F.lit(version), F.array(F.lit(line)))).first()[0]
 
-    stage = stage_root(root, release_id)
+    stage = new_attempt(root, release_id)
     typed_path = f"{stage}-typed"
     records = read_manifest_trips(spark, raw_root, manifest)
     counters = stage_typed(records, source_month, manifest["zip_sha256"], typed_path, wall_clock)

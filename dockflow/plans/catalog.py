@@ -6,7 +6,7 @@ from dockflow.functions import geo, hashing, status, text, times
 from dockflow.operators import flow as flows
 from dockflow.operators import quality, rebalance, risk, serving, snapshots, stations, trips
 from dockflow.plans.standins import spark_view, table
-from dockflow.schemas import MAX_STATIONS, TRIP_COORDINATES
+from dockflow.schemas import TRIP_COORDINATES
 from dockflow.sinks.tsv import tsv_lines
 from dockflow.sources import gbfs
 
@@ -52,8 +52,7 @@ def _flow(spark, sf):
 
 
 def _profile(spark, sf):
-    # Stations ending in 3 have no baseline, so that path is exercised too.
-    return flows.hour_profile(_flow(spark, sf)).where("station_id NOT LIKE '%3'")
+    return flows.hour_profile(_flow(spark, sf))
 
 
 def _od(spark, sf):
@@ -436,8 +435,10 @@ def canonical_mapping(spark, sf):
 
 @query
 def canonical_collisions(spark, sf):
-    shortened = spark_view(spark, sf, "information_v").withColumn("provider_station_id", F.expr("left(provider_station_id, 3)"))
-    return stations.canonical_collisions(stations.canonical_mapping(shortened))
+    # Every fifth provider id is claimed by a second row.
+    again = spark_view(spark, sf, "information_v")
+    both = again.unionByName(again.where("provider_station_id LIKE '%5'").withColumn("short_name", F.lit(None).cast("string")))
+    return stations.canonical_collisions(stations.canonical_mapping(both))
 
 
 @query
@@ -608,8 +609,11 @@ def rebalance_suggestions(spark, sf):
 
 @query
 def rebalance_invariants(spark, sf):
+    """Broken promises among the real moves and copies of the first two of each snapshot with wrong amounts."""
     ends = _ends(spark, sf)
-    return rebalance.suggestion_breaches(rebalance.rebalance(ends), ends)
+    moves = rebalance.rebalance(ends).select("snapshot_at", "from_station_id", "to_station_id", "move_bikes", "priority")
+    wrong = moves.where("priority <= 2").withColumn("move_bikes", F.expr("CASE WHEN priority = 1 THEN 1000 ELSE -1 END"))
+    return rebalance.suggestion_breaches(moves.unionByName(wrong), ends)
 
 
 @query
@@ -620,9 +624,8 @@ def usable_suggestions(spark, sf):
 
 
 @query
-def oversized_snapshots(spark, sf):
-    limits = spark_view(spark, sf, "obs_v").select("snapshot_at", "station_id").distinct()
-    return rebalance.oversized_snapshots(limits, limit=MAX_STATIONS // 500)
+def snapshot_station_counts(spark, sf):
+    return rebalance.snapshot_station_counts(spark_view(spark, sf, "obs_v").select("snapshot_at", "station_id").distinct())
 
 
 # --- stream batches and collection log --------------------------------------
@@ -650,7 +653,7 @@ def record_rule_report(spark, sf):
 
 @query
 def snapshot_dedup(spark, sf):
-    return snapshots.snapshot_states(spark_view(spark, sf, "attempts_v")).select("attempt", "provider_time", "state")
+    return snapshots.snapshot_states(spark_view(spark, sf, "attempts_v").withColumn("sent", F.expr("status <> 'FAILED_SEND'"))).select("attempt", "provider_time", "state")
 
 
 @query

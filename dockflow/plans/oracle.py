@@ -99,7 +99,7 @@ STEPS = {
     "sparse_v": "SELECT * FROM flow_v WHERE total_activity > 0",
     "profile_v": """SELECT station_id, CAST(isodow(service_date) AS INTEGER) AS day_of_week, hour, avg(inbound_rides) AS avg_inbound, avg(outbound_rides) AS avg_outbound, avg(net_flow) AS avg_net_flow,
   CAST(median(net_flow) AS DOUBLE) AS median_net_flow, count(DISTINCT service_date) AS sample_days FROM flow_v GROUP BY 1, 2, 3""",
-    "base_v": "SELECT * FROM profile_v WHERE station_id NOT LIKE '%3'",
+    "base_v": "SELECT * FROM profile_v",
     "od_v": """SELECT CAST(started_at_local AS DATE) AS service_date, CAST(hour(started_at_local) AS INTEGER) AS hour, start_station_id AS from_station_id, end_station_id AS to_station_id,
   count(*) AS ride_count FROM valid_v GROUP BY 1, 2, 3, 4""",
     "ends_v": """SELECT start_station_id AS station_id, start_station_name AS station_name, start_lat AS lat, start_lng AS lon, started_at_local AS event_time, source_file, source_row_number, CAST(0 AS INTEGER) AS side
@@ -131,6 +131,23 @@ STEPS = {
   CAST(greatest(0, ceil((3 * capacity)::DOUBLE / 10::DOUBLE - projected_bikes_1h)) AS INTEGER) AS need, CAST(greatest(0, floor(projected_bikes_1h - (7 * capacity)::DOUBLE / 10::DOUBLE)) AS INTEGER) AS supply,
   CAST(greatest(0, bikes - (3 * (bikes + docks) + 9) // 10) AS INTEGER) AS source_safe, CAST(greatest(0, (7 * (bikes + docks)) // 10 - bikes) AS INTEGER) AS target_safe
   FROM feasible_v WHERE forecast_status IN ('SHORTAGE_RISK', 'OVERFLOW_RISK')""",
+    # The greedy assignment as a walk over ordered target-source pairs; the state is the list of what sources have left.
+    "active_v": """SELECT *, row_number() OVER (PARTITION BY snapshot_at, role ORDER BY station_id) AS ix FROM (
+  SELECT r.*, f.lat, f.lon, f.expires_at, CASE WHEN r.role = 'target' THEN least(need, docks, target_safe) ELSE least(supply, bikes, source_safe) END AS room
+  FROM role_v r JOIN feasible_v f ON f.snapshot_at = r.snapshot_at AND f.station_id = r.station_id) a WHERE room > 0""",
+    "pair_v": """SELECT *, row_number() OVER (PARTITION BY snapshot_at ORDER BY need DESC, to_id, metres, from_id) AS k,
+  row_number() OVER (PARTITION BY snapshot_at, to_id ORDER BY metres, from_id) AS pos FROM (
+  SELECT *, 12742000 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM (
+   SELECT t.snapshot_at, t.station_id AS to_id, s.station_id AS from_id, t.need, t.room AS t_room, s.supply, s.room AS s_room, s.ix, least(t.expires_at, s.expires_at) AS expires_at,
+    pow(sin(radians(s.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - t.lon) / 2), 2) AS h
+   FROM active_v t JOIN active_v s ON t.snapshot_at = s.snapshot_at WHERE t.role = 'target' AND s.role = 'source') p) q""",
+    "walk_v": """SELECT snapshot_at, CAST(0 AS BIGINT) AS k, list(room ORDER BY station_id) AS rest, 0 AS wanted, 0 AS moved, 0 AS had, 0 AS short FROM active_v WHERE role = 'source' GROUP BY snapshot_at
+  UNION ALL SELECT snapshot_at, k, rest[:ix - 1] || [had - moved] || rest[ix + 1:], short - moved, moved, had, short FROM (
+   SELECT *, least(had, short) AS moved FROM (SELECT p.snapshot_at, p.k, w.rest, p.ix, w.rest[p.ix] AS had, CASE WHEN p.pos = 1 THEN p.t_room ELSE w.wanted END AS short
+    FROM walk_v w JOIN pair_v p ON p.snapshot_at = w.snapshot_at AND p.k = w.k + 1) x) y""",
+    "moves_v": """SELECT w.snapshot_at, from_id AS from_station_id, to_id AS to_station_id, CAST(moved AS INTEGER) AS move_bikes, CAST(supply - (s_room - had) AS INTEGER) AS from_surplus,
+  CAST(need - (t_room - short) AS INTEGER) AS to_deficit, CAST(floor(metres + 0.5) AS INTEGER) AS distance_meters, CAST(row_number() OVER (PARTITION BY w.snapshot_at ORDER BY w.k) AS INTEGER) AS priority, expires_at
+  FROM walk_v w JOIN pair_v p ON p.snapshot_at = w.snapshot_at AND p.k = w.k WHERE moved > 0""",
     "map_v": """SELECT provider_station_id, CASE WHEN s IS NULL OR owners > 1 THEN 'gbfs:' || provider_station_id ELSE s END AS station_id,
   CASE WHEN s IS NULL OR owners > 1 THEN 'ISOLATED' ELSE 'SHORT_NAME' END AS mapping_status,
   CASE WHEN s IS NULL THEN 'MISSING_SHORT_NAME' WHEN owners > 1 THEN 'DUPLICATE_SHORT_NAME' END AS mapping_reason, name, lat, lon, capacity, region_id
@@ -138,10 +155,6 @@ STEPS = {
 }
 
 
-def _needs(body):
-    return [name for name in {**VIEWS, **STEPS} if re.search(rf"\b{name}\b", body)]
-
-
 def sql(body, **steps):
     """The body with exactly the common table expressions it uses, in dependency order."""
     known = {**VIEWS, **STEPS, **steps}
@@ -156,7 +169,8 @@ def sql(body, **steps):
 
     visit(body)
     head = ",\n".join(f"{name} AS ({known[name]})" for name in ordered)
-    return f"WITH {head}\n{body}" if ordered else body
+    recursive = "RECURSIVE " if "walk_v" in ordered else ""
+    return f"WITH {recursive}{head}\n{body}" if ordered else body
 
 
 def _report(source, rules):
@@ -206,7 +220,7 @@ _TRIP_RULES = (
 
 
 def _gate_metrics():
-    counters = {"total_rows": "true"}
+    counters = {"total_rows": "true", "null_service_date": f"{_blank('started_at')} OR try_strptime(started_at, {_FORMATS}) IS NULL"}
     for n in ("start_station_id", "end_station_id", "ride_id", "rideable_type", "started_at", "ended_at", "member_casual"):
         counters[f"null_{n}"] = _blank(n)
     for n in ("started_at", "ended_at"):
@@ -396,7 +410,8 @@ def _queries():
         "station_dim": "SELECT * FROM dim_v",
         "metadata_hits": "SELECT count(DISTINCT station_id) AS historical_ids, count(DISTINCT station_id) FILTER (station_id IN (SELECT station_id FROM stations_v)) AS matched_ids FROM ends_v",
         "canonical_mapping": "SELECT provider_station_id, station_id, mapping_status, mapping_reason FROM map_v",
-        "canonical_collisions": sql("SELECT station_id, count(*) AS claims FROM cut_map GROUP BY 1 HAVING count(*) > 1", cut_map=STEPS["map_v"].replace("'gbfs:' || provider_station_id", "'gbfs:' || left(provider_station_id, 3)")),
+        "canonical_collisions": sql("SELECT station_id, count(*) AS claims FROM twice_map GROUP BY 1 HAVING count(*) > 1", twice_map=STEPS["map_v"].replace("information_v", "twice_v"),
+            twice_v="SELECT * FROM information_v UNION ALL SELECT * REPLACE (NULL AS short_name) FROM information_v WHERE provider_station_id LIKE '%5'"),
         "safe_station_fields": f"""SELECT provider_station_id, nullif(trim(name), '') AS station_name, CASE WHEN lat BETWEEN -90 AND 90 THEN lat END AS lat, CASE WHEN lon BETWEEN -180 AND 180 THEN lon END AS lon,
  CASE WHEN capacity > 0 THEN capacity END AS capacity, nullif(trim(region_id), '') AS region_id, {_FLAT_WARNINGS} AS warnings FROM information_v""",
         "missing_metadata_placeholders": f"SELECT DISTINCT provider_station_id, 'gbfs:' || provider_station_id AS station_id, 'ISOLATED' AS mapping_status, 'MISSING_METADATA' AS mapping_reason, TIMESTAMP '{BUILT_AT}' AS metadata_updated_at FROM feed_v WHERE provider_station_id NOT IN (SELECT provider_station_id FROM stations_v)",
@@ -423,18 +438,27 @@ def _queries():
         "sample_rows": "SELECT ride_id, source_row_number, start_station_id, end_station_id FROM trips_v ORDER BY CASE ride_id WHEN 'R77' THEN 1 WHEN 'R5' THEN 2 ELSE 3 END, source_row_number LIMIT 10",
         "rebalance_inputs": "SELECT * FROM role_v",
         "rebalance_target_order": "SELECT snapshot_at, station_id, need, CAST(row_number() OVER (PARTITION BY snapshot_at ORDER BY need DESC, station_id) AS INTEGER) AS target_rank FROM role_v WHERE role = 'target'",
-        "rebalance_invariants": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('positive_move'), ('unique_pair'), ('source_limit'), ('target_limit'), ('priority_sequence')) r(rule)",
-        "oversized_snapshots": "SELECT snapshot_at, count(DISTINCT station_id) AS stations FROM obs_v GROUP BY 1 HAVING count(DISTINCT station_id) > 10",
+        "rebalance_invariants": """SELECT 'positive_move' AS rule, count(*) AS violations FROM (SELECT 1 FROM bad_v GROUP BY snapshot_at, from_station_id, to_station_id HAVING min(move_bikes) <= 0) a
+ UNION ALL SELECT 'unique_pair', count(*) FROM (SELECT 1 FROM bad_v GROUP BY snapshot_at, from_station_id, to_station_id HAVING count(*) > 1) b
+ UNION ALL SELECT 'source_limit', count(*) FROM (SELECT snapshot_at, from_station_id AS s, sum(move_bikes) AS m FROM bad_v GROUP BY 1, 2) c LEFT JOIN active_v a ON a.snapshot_at = c.snapshot_at AND station_id = s AND role = 'source' WHERE room IS NULL OR m > room
+ UNION ALL SELECT 'target_limit', count(*) FROM (SELECT snapshot_at, to_station_id AS s, sum(move_bikes) AS m FROM bad_v GROUP BY 1, 2) c LEFT JOIN active_v a ON a.snapshot_at = c.snapshot_at AND station_id = s AND role = 'target' WHERE room IS NULL OR m > room
+ UNION ALL SELECT 'priority_sequence', (SELECT count(*) FROM (SELECT 1 FROM bad_v GROUP BY snapshot_at, priority HAVING count(*) > 1) d) + (SELECT count(*) FROM (SELECT 1 FROM bad_v GROUP BY snapshot_at HAVING min(priority) <> 1 OR max(priority) <> count(*)) e)""",
+        "rebalance_suggestions": "SELECT * FROM moves_v",
+        "live_suggestions": """SELECT m.*, c.read_at FROM moves_v m JOIN (SELECT snapshot_at, min(as_of + INTERVAL 60 SECOND) AS read_at FROM risk_v GROUP BY 1) c ON c.snapshot_at = m.snapshot_at
+ WHERE m.expires_at > c.read_at AND EXISTS (SELECT 1 FROM open_v o WHERE o.snapshot_at = m.snapshot_at AND o.station_id = m.from_station_id) AND EXISTS (SELECT 1 FROM open_v o WHERE o.snapshot_at = m.snapshot_at AND o.station_id = m.to_station_id)""",
+        "usable_suggestions": """SELECT m.* FROM moves_v m WHERE m.expires_at > TIMESTAMP '2024-01-15 12:00:00'
+ AND EXISTS (SELECT 1 FROM dispatch_v o WHERE o.snapshot_at = m.snapshot_at AND o.station_id = m.from_station_id) AND EXISTS (SELECT 1 FROM dispatch_v o WHERE o.snapshot_at = m.snapshot_at AND o.station_id = m.to_station_id)""",
+        "snapshot_station_counts": "SELECT snapshot_at, count(DISTINCT station_id) AS stations FROM obs_v GROUP BY 1",
         "batch_integrity": f"""SELECT *, CASE WHEN reason IS NULL THEN 'COMPLETE' ELSE 'REJECTED' END AS verdict FROM (SELECT snapshot_id, header_sets, invalid_rows, end_rows, stations, station_rows, announced,
- CASE WHEN invalid_rows > 0 THEN 'INVALID_RECORD' WHEN header_sets > 1 THEN 'MIXED_HEADERS' WHEN end_rows <> 1 THEN 'END_MARKER' WHEN stations > 5000 THEN 'STATION_LIMIT' WHEN stations <> station_rows THEN 'DUPLICATE_STATION'
+ CASE WHEN invalid_rows > 0 THEN 'INVALID_RECORD' WHEN header_sets > 1 THEN 'MIXED_HEADERS' WHEN end_rows <> 1 THEN 'END_MARKER' WHEN stations <> station_rows THEN 'DUPLICATE_STATION'
   WHEN announced IS DISTINCT FROM stations THEN 'COUNT_MISMATCH' WHEN times > 1 THEN 'TIME_MISMATCH' END AS reason FROM (SELECT snapshot_id, count(DISTINCT metadata_version || data_origin || contract_version) AS header_sets,
  count(*) FILTER ({_ANY_BAD_RECORD}) AS invalid_rows, count(*) FILTER (record_type = 'snapshot_end') AS end_rows, count(DISTINCT metadata_version || data_origin || contract_version || record_key) FILTER (record_type = 'station') AS stations,
  count(*) FILTER (record_type = 'station') AS station_rows, max(station_count) AS announced, count(DISTINCT CAST(snapshot_at AS VARCHAR) || CAST(ingested_at AS VARCHAR)) AS times FROM records_v GROUP BY 1) a) b""",
         "batch_clock": "SELECT event_id, CASE WHEN data_origin IN ('GBFS_REPLAY', 'FIXTURE') THEN 'recorded' ELSE 'wall' END AS clock_mode, CASE WHEN data_origin IN ('GBFS_REPLAY', 'FIXTURE') THEN ingested_at ELSE received_at END AS as_of FROM records_v",
         "origin_gate": "SELECT event_id, CASE WHEN data_origin <> 'GBFS_LIVE' THEN 'INVALID_ORIGIN_FOR_MODE' END AS gate_reason FROM records_v",
         "record_rule_report": _report("records_v", _RECORD_RULES),
-        "snapshot_dedup": """SELECT attempt, provider_time, CASE WHEN rn = 1 THEN 'PUBLISHED' WHEN status_raw_sha256 = winner THEN 'SKIPPED_DUPLICATE' ELSE 'REJECTED_CONFLICT' END AS state
- FROM (SELECT *, row_number() OVER w AS rn, first_value(status_raw_sha256) OVER w AS winner FROM attempts_v WINDOW w AS (PARTITION BY provider_time ORDER BY attempt)) d""",
+        "snapshot_dedup": """SELECT attempt, provider_time, CASE WHEN attempt = first_sent THEN 'PUBLISHED' WHEN first_sent IS NULL OR attempt < first_sent THEN 'FAILED_SEND' WHEN status_raw_sha256 = winner THEN 'SKIPPED_DUPLICATE' ELSE 'REJECTED_CONFLICT' END AS state
+ FROM (SELECT *, min(attempt) FILTER (status <> 'FAILED_SEND') OVER w AS first_sent, arg_min(status_raw_sha256, attempt) FILTER (status <> 'FAILED_SEND') OVER w AS winner FROM attempts_v WINDOW w AS (PARTITION BY provider_time)) d""",
         "pending_failures": """SELECT f.snapshot_id, max(f.attempt) AS failed_at, (SELECT max(attempt) FROM attempts_v r WHERE r.snapshot_id = f.snapshot_id AND status IN ('PUBLISHED', 'SKIPPED_DUPLICATE', 'REJECTED_CONFLICT')) AS resolved_at
  FROM attempts_v f WHERE status = 'FAILED_SEND' AND NOT EXISTS (SELECT 1 FROM attempts_v r WHERE r.snapshot_id = f.snapshot_id AND r.attempt > f.attempt AND status IN ('PUBLISHED', 'SKIPPED_DUPLICATE', 'REJECTED_CONFLICT')) GROUP BY f.snapshot_id""",
         "collection_log_counters": """SELECT data_origin, count(*) AS attempts, count(*) FILTER (status IN ('FAILED_SEND', 'FAILED_COLLECTION', 'REJECTED_CONFLICT')) AS failed_batches, count(*) FILTER (status = 'SKIPPED_DUPLICATE') AS duplicates,
@@ -465,7 +489,13 @@ def _queries():
         "serving_projection": """SELECT station_id || chr(9) || coalesce(station_name || ' x  y"', '<null>') || chr(9) || coalesce(CAST(capacity AS VARCHAR), '<null>') || chr(9) || coalesce(region_id, '<null>') || chr(9) || '1' || chr(9) || 'GBFS' || chr(9) || '2024-02-01 00:00:00.000000' AS value FROM stations_v""",
     }
     out["serving_projection"] = out["serving_projection"].replace("x  y\"", "x  y\\\"")
-    steps = {"shown_v": _masked("risk_v", "as_of >= expires_at")}
+    steps = {
+        "shown_v": _masked("risk_v", "as_of >= expires_at"),
+        "bad_v": """SELECT snapshot_at, from_station_id, to_station_id, move_bikes, priority FROM moves_v UNION ALL
+  SELECT snapshot_at, from_station_id, to_station_id, CASE WHEN priority = 1 THEN 1000 ELSE -1 END, priority FROM moves_v WHERE priority <= 2""",
+        "open_v": f"SELECT snapshot_at, station_id FROM ({_masked('risk_v', 'as_of + INTERVAL 60 SECOND >= expires_at')}) z WHERE {_USABLE}",
+        "dispatch_v": f"SELECT snapshot_at, station_id FROM risk_v WHERE {_CAN_FORECAST} AND capacity > 0 AND lat IS NOT NULL AND lon IS NOT NULL",
+    }
     return {name: body if body.startswith("WITH") else sql(body, **steps) for name, body in out.items()}
 
 

@@ -71,9 +71,6 @@ FORECAST_SECONDS = 3600
 BATCH_TIMEOUT_SECONDS = 120
 EARTH_RADIUS_M = 6371000.0
 
-MAX_STATIONS = 5000
-MAX_FLOWS = 50000
-MAX_SUGGESTIONS = 10000
 MAX_ID_LENGTH = 128
 
 ORIGINS = ("GBFS_LIVE", "GBFS_REPLAY", "FIXTURE")

@@ -1,4 +1,4 @@
-"""Immutable releases: build aside, describe, then commit with one rename that never overwrites."""
+"""Immutable releases: every attempt writes its own folder, the first to create the descriptor is the release."""
 
 import json
 import uuid
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from dockflow.schemas import CONTRACT_VERSION, SERVING_COLUMNS, SERVING_KEYS
 from dockflow.sinks.tsv import null_token, write_tsv
 
-RELEASE_FORMAT = "immutable-release-v1"
 TABLE_PATHS = {
     "dwd_trip_v1": "dwd/dwd_trip_v1",
     "dim_station_v1": "dim/dim_station_v1",
@@ -60,23 +59,6 @@ def read_json(spark, uri):
     return json.loads(text[0]) if text else None
 
 
-def rename_once(spark, source, target):
-    """Move a folder into place; False when the target already exists."""
-    src, fs = _path(spark, source)
-    dst, _ = _path(spark, target)
-    fs.mkdirs(dst.getParent())
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    try:
-        context.rename(src, dst, options)
-    except Py4JJavaError:
-        if fs.exists(dst):
-            return False
-        raise
-    return True
-
-
 def write_table(df, name, path):
     """One table of a release; tables by service date get their rows clustered by date first.
 
@@ -93,45 +75,57 @@ def write_table(df, name, path):
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
 
 
-def _check(found, expected, root):
-    """A committed release must be the same build; the optional source table count may differ."""
-    for key in ("contract_version", "release_format", "dataset_id", "metadata_version", "source_months"):
-        if found.get(key) != expected.get(key):
-            raise ReleaseError(f"committed release {key} does not match this build")
-    if found.get("status") != "PASS" or found.get("release_root") != root:
-        raise ReleaseError("committed release is not a complete release of this root")
-    ours = {k: v for k, v in expected["counts"].items() if k != "ods"}
-    theirs = {k: v for k, v in found["counts"].items() if k != "ods"}
-    if ours != theirs:
-        raise ReleaseError("committed release counts do not match this build")
-    return found
+def new_attempt(root, dataset_id):
+    """The folder of one build attempt; attempts never share or move files."""
+    return f"{root.rstrip('/')}/attempts/{dataset_id}/{uuid.uuid4().hex}"
+
 
+def descriptor_of(root, dataset_id):
+    return f"{root.rstrip('/')}/releases/{dataset_id}.json"
 
-def stage_root(root, dataset_id):
-    return f"{root.rstrip('/')}/.building/{dataset_id}-{uuid.uuid4().hex}"
 
+# What two builds of one dataset must have in common, whoever was first.
+_SAME = ("contract_version", "dataset_id", "metadata_version", "source_months", "ingest_batch_ids", "tables", "rows")
 
-def commit_release(spark, root, stage, evidence, export=True, single_file=False):
-    """Finish a staged build: serving export, descriptor, rename. Losing a race validates the winner."""
+
+def differences(ours, theirs):
+    """Names of the properties in which a committed release is not this build."""
+    found = [name for name in _SAME if ours[name] != theirs.get(name)]
+    if ours.get("null_token") and theirs.get("null_token") and ours["null_token"] != theirs["null_token"]:
+        found.append("null_token")
+    return found
+
+
+def commit_release(spark, root, attempt, evidence, export=True):
+    """Commit an attempt by creating its dataset's descriptor, which only the first attempt can do.
+
+    Data stay where they were written, so nothing depends on renaming folders. Whoever
+    comes second compares its build with the committed one and returns that.
+    """
     dataset_id = evidence["dataset_id"]
-    final = f"{root.rstrip('/')}/releases/{dataset_id}"
-    described = {**evidence, "status": "PASS", "contract_version": CONTRACT_VERSION, "release_format": RELEASE_FORMAT,
-                 "release_root": final, "paths": {n: f"{final}/{p}" for n, p in TABLE_PATHS.items()}}
-    if exists(spark, final):
-        return _check(read_json(spark, f"{final}/release.json"), described, final)
-    if export:
-        tables = {
-            name: spark.read.parquet(f"{stage}/{TABLE_PATHS[name]}").select(*columns)
-            for name, columns in SERVING_COLUMNS.items()
-        }
-        token = null_token(tables.values(), dataset_id)
-        for name, df in tables.items():
-            write_tsv(df, f"{stage}/serving_export/{name}", token, SERVING_KEYS[name], single_file)
-        described["null_token"] = token
-        described["paths"].update({f"export_{n}": f"{final}/serving_export/{n}" for n in tables})
-    write_text(spark, f"{stage}/release.json", json.dumps(described, indent=2, sort_keys=True))
-    rename_once(spark, stage, final)
-    return _check(read_json(spark, f"{final}/release.json"), described, final)
+    uri = descriptor_of(root, dataset_id)
+    described = {
+        **evidence, "status": "PASS", "contract_version": CONTRACT_VERSION, "release_root": attempt, "tables": sorted(TABLE_PATHS),
+        "rows": {k: v for k, v in evidence["counts"].items() if k != "ods"},
+        "paths": {n: f"{attempt}/{p}" for n, p in TABLE_PATHS.items()},
+    }
+    if not exists(spark, uri):
+        if export:
+            tables = {n: spark.read.parquet(f"{attempt}/{TABLE_PATHS[n]}").select(*c) for n, c in SERVING_COLUMNS.items()}
+            described["null_token"] = null_token(tables.values(), dataset_id)
+            for name, df in tables.items():
+                described["paths"][f"export_{name}"] = f"{attempt}/serving_export/{name}"
+                write_tsv(df, described["paths"][f"export_{name}"], described["null_token"], SERVING_KEYS[name])
+        try:
+            write_text(spark, uri, json.dumps(described, indent=2, sort_keys=True))
+        except Py4JJavaError:
+            if not exists(spark, uri):
+                raise
+    committed = read_json(spark, uri)
+    unlike = differences(described, committed)
+    if unlike:
+        raise ReleaseError(f"dataset {dataset_id} is already released from another build; these differ: {', '.join(unlike)}")
+    return committed
 
 
 def open_release(spark, release_root):

@@ -1,8 +1,5 @@
 """Serving export: unquoted tab-separated text that a bulk loader reads literally."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,21 +38,18 @@ def tsv_lines(df, null_token):
 
 
 def null_token(frames, dataset_id, prefix="__DOCKFLOW_NULL"):
-    """A deterministic token that equals no exported field; the suffix grows on a collision."""
-    exported = [export_fields(df) for df in frames]
-    suffix = 0
-    while True:
-        token = f"{prefix}_{dataset_id}_{suffix}__"
-        clashes = [df.where(reduce(or_, [F.col(n) == token for n in df.columns])) for df in exported]
-        if not any(df.take(1) for df in clashes):
-            return token
-        suffix += 1
-
-
-def write_tsv(df, path, token, sort_keys, single_file=False):
-    """Sorted lines; range-partitioned files in order, or one file where a loader needs it."""
-    ordered = df.orderBy(*sort_keys)
-    lines = tsv_lines(ordered, token)
-    if single_file:
-        lines = tsv_lines(df.coalesce(1).sortWithinPartitions(*sort_keys), token)
-    lines.write.mode("errorifexists").text(path)
+    """A deterministic token that equals no exported field: one above the highest number that fields use in its form."""
+    form = f"^{prefix}_{dataset_id}_([0-9]{{1,18}})__$"
+    highest = None
+    for df in frames:
+        fields = export_fields(df)
+        used = F.greatest(*[F.regexp_extract(n, form, 1).try_cast("bigint") for n in fields.columns], F.lit(None), F.lit(None))
+        top = fields.agg(F.max(used).alias("top"))
+        highest = top if highest is None else highest.unionByName(top)
+    last = highest.agg(F.max("top")).first()[0] if highest is not None else None
+    return f"{prefix}_{dataset_id}_{0 if last is None else last + 1}__"
+
+
+def write_tsv(df, path, token, sort_keys):
+    """Sorted lines in range-partitioned files whose order is the order of the rows."""
+    tsv_lines(df.orderBy(*sort_keys), token).write.mode("errorifexists").text(path)

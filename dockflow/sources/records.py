@@ -11,6 +11,7 @@ from dockflow.functions.hashing import metadata_version
 from dockflow.functions.text import clean_identifier
 from dockflow.operators.quality import Rule, batch_integrity, record_rules
 from dockflow.operators.trips import GateError
+from dockflow.sources.gbfs import is_kind, member
 from dockflow.schemas import CITY_ZONE, END_KEY, FEED_VERSION, RECORD_HEADERS, SNAPSHOT_END, STATION_EVENT
 
 _S = T.StringType()
@@ -84,7 +85,7 @@ def flat_records(envelopes):
     station = F.when(F.col("record_type") == "station", F.from_json("value", STATION_EVENT))
     end = F.when(F.col("record_type") == "snapshot_end", F.from_json("value", SNAPSHOT_END))
     opened = (
-        envelopes.select(F.col("key").alias("record_key"), *headers, "value", "feed", "offset")
+        envelopes.select(F.col("key").alias("record_key"), *headers, F.array_sort(F.map_keys("headers")).alias("header_names"), "value", "feed", "offset")
         .withColumns({"station": station, "end": end})
         .withColumn("document", F.try_parse_json("value"))
     )
@@ -106,6 +107,20 @@ def flat_records(envelopes):
     ).drop("end")
 
 
+# Fields that an event must fill; the others may be null.
+_REQUIRED = (
+    "station_id", "snapshot_at_utc", "snapshot_at_local", "num_bikes_available", "is_installed", "is_renting", "is_returning",
+    "ingested_at_utc", "source_version",
+)
+_JSON_KIND = {"string": "string", "int": "integer", "bigint": "integer", "boolean": "boolean"}
+
+
+def _as_declared(field, nullable):
+    """Whether the document's field has the JSON kind of its type; a wrong kind must not pass as missing."""
+    kinds = [_JSON_KIND[field.dataType.simpleString()], *(["null", "missing"] if nullable else [])]
+    return is_kind(member(F.col("document"), f"$.{field.name}"), *kinds)
+
+
 def event_rules():
     """Everything one record must satisfy on its own, header rules included."""
     is_station, is_end = F.col("record_type") == "station", F.col("record_type") == "snapshot_end"
@@ -125,6 +140,9 @@ def event_rules():
     missing_flag = flags[0].isNull() | flags[1].isNull() | flags[2].isNull()
     rules = record_rules() + [
         Rule("json", F.col("document").isNull()),
+        Rule("header_names", ~F.col("header_names").eqNullSafe(F.array(*[F.lit(n) for n in sorted(RECORD_HEADERS)]))),
+        *[Rule(f"kind_{f.name}", is_station & ~_as_declared(f, f.name not in _REQUIRED)) for f in STATION_EVENT.fields],
+        *[Rule(f"kind_end_{f.name}", is_end & ~_as_declared(f, False)) for f in SNAPSHOT_END.fields],
         Rule("station_fields", is_station & ~F.array_sort(names).eqNullSafe(wanted)),
         Rule("end_fields", is_end & ~F.array_sort(names).eqNullSafe(wanted_end)),
         Rule("repeated_field", F.size(F.array_distinct(names)) != F.size(names)),

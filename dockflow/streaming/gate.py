@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from dockflow.schemas import BATCH_TIMEOUT_SECONDS, MAX_STATIONS, MODE_ORIGINS
+from dockflow.schemas import BATCH_TIMEOUT_SECONDS, MODE_ORIGINS
 
 _S, _L = T.StringType(), T.LongType()
 HEADER_STATE = T.StructType(
@@ -55,8 +55,9 @@ INPUT = (
 class SnapshotGate(StatefulProcessor):
     """Accepts, buffers, publishes or refuses the records of one feed in order."""
 
-    def __init__(self, origins, timeout_ms):
+    def __init__(self, origins, timeout_ms, station_limit=None):
         self.origins = set(origins)
+        self.station_limit = station_limit
         self.timeout_ms = timeout_ms
 
     def init(self, handle):
@@ -182,7 +183,7 @@ class SnapshotGate(StatefulProcessor):
             return None
         if self.last[1] is not None and r.snapshot_at <= self.last[1]:
             return "OLDER_THAN_PUBLISHED"
-        if len(self.buffer) >= MAX_STATIONS:
+        if self.station_limit is not None and len(self.buffer) >= self.station_limit:
             return "STATION_LIMIT"
         self.now["received"] += 1
         self.buffer[r.record_key] = (r.value, r.snapshot_at, bool(r.known_station))
@@ -228,9 +229,9 @@ def _utc_text(name):
     return F.concat(F.substring(plain, 1, 19), F.lit("."), F.rpad(F.substring(plain, 21, 6), 6, "0"))
 
 
-def gated(records, mode="live", timeout_seconds=BATCH_TIMEOUT_SECONDS):
-    """Verdicts and published station rows of a stream of `gate_input` records."""
-    gate = SnapshotGate(MODE_ORIGINS[mode], timeout_seconds * 1000)
+def gated(records, mode="live", timeout_seconds=BATCH_TIMEOUT_SECONDS, station_limit=None):
+    """Verdicts and published station rows of a stream of `gate_input` records; no batch is refused for its size by default."""
+    gate = SnapshotGate(MODE_ORIGINS[mode], timeout_seconds * 1000, station_limit)
     return records.groupBy("feed").transformWithStateInPandas(
         statefulProcessor=gate, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
     )

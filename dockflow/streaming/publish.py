@@ -5,8 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from dockflow.operators import rebalance, risk
-from dockflow.operators.serving import bounded
-from dockflow.schemas import MAX_SUGGESTIONS, STATION_EVENT
+from dockflow.schemas import STATION_EVENT
 from dockflow.sinks.release import open_release, point_to, pointer
 
 POINTER = "live_release"
@@ -105,7 +104,7 @@ def live_snapshot(spark, root):
     picked = F.col("snapshot_id") == release["snapshot_id"]
     found = spark.read.schema(RISK_TABLE).parquet(f"{root}/live/ads_station_current_risk").where(picked)
     moves = spark.read.schema(SUGGESTION_TABLE).parquet(f"{root}/live/ads_rebalance_suggestion").where(picked)
-    return release, found, bounded(moves, MAX_SUGGESTIONS, "suggestions")
+    return release, found, moves
 
 
 def publisher(root, metadata):

@@ -10,33 +10,36 @@ from pyspark.sql import functions as F
 from dockflow.operators.trips import GateError
 from dockflow.plans.build import build_release
 from dockflow.schemas import TRIP_FIELDS
-from dockflow.sinks.release import ReleaseError, open_release, pointer, publish_release, register_warehouse
+from dockflow.sinks.release import ReleaseError, commit_release, new_attempt, open_release, pointer, publish_release, register_warehouse
 from dockflow.sources.trips_csv import numbered_lines, parse_records, read_trip_csv, read_trip_table, register_trip_table
 
 HEADER = ",".join(TRIP_FIELDS)
 
 
-def trip(ride, start, end, a="A", b="B", kind="classic_bike", member="member", spot="40.7,-74.0,40.71,-74.01", names=("Alpha", "Beta")):
+def trip(ride, start, end, a="P", b="Q", kind="classic_bike", member="member", spot="40.7,-74.0,40.71,-74.01", names=("Pier", "Quay")):
     return f"{ride},{kind},{start},{end},{names[0]},{a},{names[1]},{b},{spot},{member}"
 
 
-# Two Wednesdays with two A-B rides at 08h each, one ride past midnight to an unlisted
-# station, one zero duration, one missing end and one exact duplicate.
-PART_A = [
-    trip("r1", "2025-01-08 08:01:00", "2025-01-08 08:11:00"),
-    trip("r2", "01/08/2025 08:02:00.5", "01/08/2025 08:12:00", kind="electric_bike", member="casual"),
-    trip("r3", "2025-01-15T08:01:00", "2025-01-15T08:11:00"),
-    trip("r4", "2025-01-15 08:02:00", "2025-01-15 08:12:00", kind="rocket"),
+# A June of ten rides: a Tuesday evening out and a Tuesday morning back between pier and quay, a round trip on a Thursday,
+# one ride out of the month to an unlisted station, one that ends before it starts, one without a start station, and
+# the ids e3 (same content) and e1 (another end) once more.
+EAST = [
+    trip("e1", "2025-06-03 17:05:00", "2025-06-03 17:25:00"),
+    trip("e2", "06/03/2025 17:40:00.25", "06/03/2025 18:02:00", kind="electric_bike", member="casual"),
+    trip("e3", "2025-06-10T07:15:00", "2025-06-10T07:45:00", a="Q", b="P"),
+    trip("e4", "2025-06-10 07:50:00", "2025-06-10 08:20:00", a="Q", b="P", kind="tandem"),
 ]
-PART_B = [
-    trip("r5", "2025-01-31 23:50:00", "2025-02-01 00:10:00", b="X.05", names=('"Al, ""pha"""', "Xray")),
-    trip("r6", "2025-01-20 10:00:00", "2025-01-20 10:00:00"),
-    trip("r7", "2025-01-20 11:00:00", "2025-01-20 11:05:00", b=" ", spot="NaN,-74.0,95,-74.01"),
-    PART_A[0],
+WEST = [
+    trip("w1", "2025-06-30 23:30:00", "2025-07-01 00:15:00", b="Z.9", names=('"Pi""er, 1"', "Zed")),
+    trip("w2", "2025-06-12 12:00:00", "2025-06-12 12:30:00", a="Q"),
+    trip("w3", "2025-06-12 13:00:00", "2025-06-12 12:59:00"),
+    trip("w4", "2025-06-13 11:00:00", "2025-06-13 11:05:00", a=" ", spot="NaN,-74.0,95,-74.01"),
 ]
+LATE = [EAST[2], trip("e1", "2025-06-03 17:05:00", "2025-06-03 17:26:00")]
+JUNE = {"east.csv": EAST, "west.csv": WEST, "x-late.csv": LATE}
 
 
-def write_source(folder, parts, counts=None, month="2025-01", header=HEADER, newline="\n"):
+def write_source(folder, parts, counts=None, month="2025-06", header=HEADER, newline="\n"):
     raw = f"{folder}/raw"
     os.makedirs(raw, exist_ok=True)
     entries = []
@@ -51,9 +54,9 @@ def write_source(folder, parts, counts=None, month="2025-01", header=HEADER, new
     with open(f"{folder}/manifest.json", "w") as out:
         json.dump(manifest, out)
     stations = [
-        {"provider_station_id": f"u{n}", "station_id": n, "mapping_status": "SHORT_NAME", "mapping_reason": None, "station_name": None if n == "A" else f"Name {n}",
-         "lat": 40.7, "lon": -74.0, "capacity": 20, "region_id": None, "is_current": True, "metadata_source": "GBFS", "metadata_updated_at": "2025-02-02T00:00:00Z"}
-        for n in ("A", "B")
+        {"provider_station_id": f"u{n}", "station_id": n, "mapping_status": "SHORT_NAME", "mapping_reason": None, "station_name": None if n == "P" else f"Name {n}",
+         "lat": 40.7, "lon": -74.0, "capacity": 20, "region_id": None, "is_current": True, "metadata_source": "GBFS", "metadata_updated_at": "2025-07-02T00:00:00Z"}
+        for n in ("P", "Q")
     ]
     with open(f"{folder}/metadata.json", "w") as out:
         json.dump(stations, out, indent=1)
@@ -62,60 +65,69 @@ def write_source(folder, parts, counts=None, month="2025-01", header=HEADER, new
 
 def build(spark, folder, parts, **kw):
     raw, manifest, metadata = write_source(folder, parts, **kw)
-    return build_release(spark, raw, manifest, metadata, "2025-01", f"{folder}/out", "2025-02-03 00:00:00")
+    return build_release(spark, raw, manifest, metadata, "2025-06", f"{folder}/out", "2025-07-03 00:00:00")
 
 
 def test_release_end_to_end(spark, folder):
-    release = build(spark, folder, {"part-a.csv": PART_A, "part-b.csv": PART_B})
+    release = build(spark, folder, JUNE)
     counts = release["counts"]
-    assert (counts["dwd"], counts["valid"], counts["duplicate"], counts["duplicate_conflict"]) == (8, 5, 1, 0)
-    assert counts["inbound"] == counts["outbound"] == counts["od_rides"] == 5
-    # Active station-days: A on 8, 15, 31 January; B on 8, 15; X.05 on 1 February.
-    assert (counts["flow"], counts["profile"], counts["od"], counts["dim"]) == (144, 96, 3, 3)
+    assert (counts["dwd"], counts["valid"], counts["duplicate"], counts["duplicate_conflict"]) == (10, 6, 2, 1)
+    assert counts["inbound"] == counts["outbound"] == counts["od_rides"] == 6
+    # Station-days: pier on 3, 10, 30 June; quay on 3, 10, 12 June; Z.9 on 1 July. Weekdays: pier Tue, Mon; quay Tue, Thu; Z.9 Tue.
+    assert (counts["flow"], counts["profile"], counts["od"], counts["dim"]) == (7 * 24, 5 * 24, 4, 3)
     assert (counts["historical_ids"], counts["matched_ids"]) == (3, 2)
-    assert counts["non_positive_duration"] == 1 and counts["missing_end_station"] == 1
+    assert counts["non_positive_duration"] == 1 and counts["missing_start_station"] == 1 and counts["missing_end_station"] == 0
     assert counts["missing_or_invalid_start_coordinate"] == 1 and counts["missing_or_invalid_end_coordinate"] == 1
 
     with open(f"{folder}/metadata.json", "rb") as f:
         version = hashlib.sha256(f.read()).hexdigest()
-    wanted = hashlib.sha256(f"1.1\n{version}\n2025-01:{'ab' * 32}\n".encode()).hexdigest()
+    wanted = hashlib.sha256(f"1.1\n{version}\n2025-06:{'ab' * 32}\n".encode()).hexdigest()
     assert release["dataset_id"] == wanted and release["metadata_version"] == version
 
     tables = open_release(spark, release["release_root"])
     dwd = {(r.source_file, r.source_row_number): r for r in tables["dwd_trip_v1"].collect()}
-    assert set(dwd) == {(f, n) for f in ("part-a.csv", "part-b.csv") for n in (1, 2, 3, 4)}
-    assert dwd["part-b.csv", 4].is_duplicate_ride and not dwd["part-a.csv", 1].is_duplicate_ride
-    assert dwd["part-b.csv", 1].start_station_name == 'Al, "pha"' and dwd["part-b.csv", 1].end_station_id == "X.05"
-    assert dwd["part-a.csv", 2].duration_seconds == 599
+    assert set(dwd) == {(name, n + 1) for name, rows in JUNE.items() for n in range(len(rows))}
+    assert [dwd["x-late.csv", n].is_duplicate_ride for n in (1, 2)] == [True, True] and not dwd["east.csv", 1].is_duplicate_ride
+    assert dwd["west.csv", 1].start_station_name == 'Pi"er, 1' and dwd["west.csv", 1].end_station_id == "Z.9"
+    assert dwd["east.csv", 2].duration_seconds == 1319
     dim = {r.station_id: r for r in tables["dim_station_v1"].collect()}
-    assert dim["A"].station_name == 'Al, "pha"' and dim["B"].station_name == "Name B"
-    assert dim["X.05"].metadata_source == "HISTORICAL" and not dim["X.05"].is_current and dim["X.05"].capacity is None
-    wednesday = tables["dws_station_hour_profile_v1"].where("station_id = 'A' AND day_of_week = 3 AND hour = 8").first()
-    assert (wednesday.avg_outbound, wednesday.median_net_flow, wednesday.sample_days) == (2.0, -2.0, 2)
-    flow = tables["dws_station_hourly_flow_v1"].where("station_id = 'A' AND service_date = '2025-01-08' AND hour = 8").first()
+    assert dim["P"].station_name == 'Pi"er, 1' and dim["Q"].station_name == "Name Q"
+    assert dim["Z.9"].metadata_source == "HISTORICAL" and not dim["Z.9"].is_current and dim["Z.9"].capacity is None
+    tuesday = tables["dws_station_hour_profile_v1"].where("station_id = 'P' AND day_of_week = 2 AND hour = 17").first()
+    assert (tuesday.avg_outbound, tuesday.median_net_flow, tuesday.sample_days) == (1.0, -1.0, 2)
+    flow = tables["dws_station_hourly_flow_v1"].where("station_id = 'P' AND service_date = '2025-06-03' AND hour = 17").first()
     assert (flow.outbound_rides, flow.electric_outbound, flow.classic_outbound, flow.casual_outbound) == (2, 1, 1, 1)
     lines = spark.read.text(f"{release['release_root']}/serving_export/dim_station_v1")
     by_id = {r.value.split("\t")[0]: r.value.split("\t") for r in lines.collect()}
-    assert by_id["A"][1] == 'Al, "pha"' and by_id["A"][8] == "2025-02-02 00:00:00.000000" and by_id["A"][6] == "1"
-    assert by_id["X.05"][4] == release["null_token"]
+    assert by_id["P"][1] == 'Pi"er, 1' and by_id["P"][8] == "2025-07-02 00:00:00.000000" and by_id["P"][6] == "1"
+    assert by_id["Z.9"][4] == release["null_token"]
 
 
 def test_second_run_returns_the_committed_release(spark, folder):
-    parts = {"part-a.csv": PART_A, "part-b.csv": PART_B}
-    first = build(spark, folder, parts)
-    assert build(spark, folder, parts) == first
+    first = build(spark, folder, JUNE)
+    assert build(spark, folder, JUNE) == first
     # Other content under the same identity is refused, and the release stays as it was.
-    with pytest.raises(ReleaseError):
-        build(spark, folder, {"part-a.csv": PART_A[:3], "part-b.csv": PART_B})
+    with pytest.raises(ReleaseError, match="rows"):
+        build(spark, folder, {**JUNE, "east.csv": EAST[:3]})
+
+
+def test_the_first_descriptor_wins(spark, folder):
+    evidence = {"dataset_id": "d", "metadata_version": "m", "source_months": ["2025-06"], "ingest_batch_ids": ["b"], "counts": {"dwd": 1, "ods": None}}
+    root = f"{folder}/out"
+    first = commit_release(spark, root, new_attempt(root, "d"), evidence, export=False)
+    # The loser of a race gets the winner's release; its own folder is not served.
+    assert commit_release(spark, root, new_attempt(root, "d"), {**evidence, "counts": {"dwd": 1, "ods": 5}}, export=False) == first
+    with pytest.raises(ReleaseError, match="ingest_batch_ids"):
+        commit_release(spark, root, new_attempt(root, "d"), {**evidence, "ingest_batch_ids": ["c"]}, export=False)
 
 
 def test_published_pointer_and_registered_tables(spark, folder):
-    release = build(spark, folder, {"part-a.csv": PART_A, "part-b.csv": PART_B})
+    release = build(spark, folder, JUNE)
     publish_release(spark, f"{folder}/out", release)
     assert pointer(spark, f"{folder}/out", "historical_release")["dataset_id"] == release["dataset_id"]
     register_warehouse(spark, "dock_test", release["release_root"])
-    assert spark.table("dock_test.dws_station_od_hourly_v1").count() == 3
-    pruned = spark.table("dock_test.dws_station_hourly_flow_v1").where("service_date = '2025-01-08'")
+    assert spark.table("dock_test.dws_station_od_hourly_v1").count() == 4
+    pruned = spark.table("dock_test.dws_station_hourly_flow_v1").where("service_date = '2025-06-10'")
     assert pruned.count() == 48 and "PartitionFilters: [isnotnull(service_date" in pruned._jdf.queryExecution().toString()
     register_warehouse(spark, "dock_test", release["release_root"])
     spark.sql("DROP DATABASE dock_test CASCADE")
@@ -124,25 +136,25 @@ def test_published_pointer_and_registered_tables(spark, folder):
 @pytest.mark.parametrize(
     "bad",
     [
-        trip("r9", " ", "2025-01-08 08:11:00"),
-        trip("r9", "2025-01-08 08:01:00+00:00", "2025-01-08 08:11:00"),
-        trip("r9", "2025-01-08 08:01:00", "2025-01-08 08:11:00") + ",extra",
+        trip("r9", " ", "2025-06-03 08:11:00"),
+        trip("r9", "2025-06-03 08:01:00+00:00", "2025-06-03 08:11:00"),
+        trip("r9", "2025-06-03 08:01:00", "2025-06-03 08:11:00") + ",extra",
         "r9,only,three",
-        trip('"r9', "2025-01-08 08:01:00", "2025-01-08 08:11:00"),
+        trip('"r9', "2025-06-03 08:01:00", "2025-06-03 08:11:00"),
         "",
     ],
 )
 def test_one_bad_record_refuses_the_batch(spark, folder, bad):
     with pytest.raises(GateError):
-        build(spark, folder, {"part-a.csv": [*PART_A, bad]})
+        build(spark, folder, {"east.csv": [*EAST, bad]})
     assert not os.path.exists(f"{folder}/out/releases")
 
 
 def test_wrong_header_and_counts_refuse_the_batch(spark, folder):
     with pytest.raises(GateError, match="bad_header"):
-        build(spark, folder, {"part-a.csv": PART_A}, header=HEADER.upper())
+        build(spark, folder, {"east.csv": EAST}, header=HEADER.upper())
     with pytest.raises(GateError, match="record counts"):
-        build(spark, folder, {"part-a.csv": PART_A, "part-b.csv": PART_B}, counts=[4, 5])
+        build(spark, folder, {"east.csv": EAST, "west.csv": WEST}, counts=[4, 5])
 
 
 def test_line_numbers_do_not_depend_on_splits(spark, folder):
@@ -164,8 +176,8 @@ def test_line_numbers_do_not_depend_on_splits(spark, folder):
 def test_strict_record_shape(spark):
     good = trip("r", "s", "e")
     cases = {
-        good: False, good.replace("Alpha", '"Al,pha"'): False, good.replace("Alpha", '"a""b"'): False, good.replace("Alpha", 'a"b'): False,
-        good.replace("Alpha", '"a"b'): True, good.replace("Alpha", '"a'): True, good + ",": True, good.rsplit(",", 1)[0]: True, "": True,
+        good: False, good.replace("Pier", '"Pi,er"'): False, good.replace("Pier", '"a""b"'): False, good.replace("Pier", 'a"b'): False,
+        good.replace("Pier", '"a"b'): True, good.replace("Pier", '"a'): True, good + ",": True, good.rsplit(",", 1)[0]: True, "": True,
     }
     rows = spark.createDataFrame([("f", i, line) for i, line in enumerate(cases)], "source_file string, line_number bigint, line string")
     got = {r.source_row_number: r.malformed for r in parse_records(rows).collect()}
@@ -173,14 +185,14 @@ def test_strict_record_shape(spark):
 
 
 def test_plain_and_table_scans(spark, folder):
-    raw, *_ = write_source(folder, {"a.csv": PART_A})
+    raw, *_ = write_source(folder, {"a.csv": EAST})
     assert read_trip_csv(spark, f"{raw}/a.csv").count() == 4
     month = f"{folder}/ods/year=2025/month=1"
     os.makedirs(month)
     os.makedirs(f"{folder}/ods/year=2024/month=12")
     for where in (month, f"{folder}/ods/year=2024/month=12"):
         with open(f"{where}/a.csv", "w") as out:
-            out.write("\n".join([HEADER, *PART_A]) + "\n")
+            out.write("\n".join([HEADER, *EAST]) + "\n")
     register_trip_table(spark, "ods_trips_test", f"{folder}/ods")
     assert spark.table("ods_trips_test").count() == 10
     assert read_trip_table(spark, "ods_trips_test", 2025, 1).count() == 4

@@ -1,6 +1,7 @@
 """Risk, rebalancing, feed and lookup rules on small hand-computed inputs."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -316,7 +317,41 @@ def test_bounded_and_tokens_and_schema(spark):
         serving.bounded(df, 4, "rows")
     taken = spark.createDataFrame([("__DOCKFLOW_NULL_d_0__",)], "s string")
     assert null_token([taken, df.select(F.col("id"))], "d") == "__DOCKFLOW_NULL_d_1__"
+    assert null_token([df.select(F.col("id"))], "d") == "__DOCKFLOW_NULL_d_0__"
     summary = quality.schema_summary(spark, spark.sql("SELECT 'x' AS ride_id, 1 AS start_lat"), TRIP_CSV).collect()
     assert [r.matches for r in summary if r.name in ("ride_id", "start_lat")] == [True, False]
     counts = spark.createDataFrame([(1, 1, 1), (1, None, 1), (1, 2, 1), (None, None, 1)], "a int, b int, c int")
     assert [r.status for r in quality.reconcile_counts(counts, "a", "b", "c").collect()] == ["PASS", "PARTIAL", "FAIL", "NOT_RUN"]
+
+
+def test_mistyped_events_and_foreign_headers_are_refused(spark):
+    from dockflow.operators.quality import rule_violations
+    from dockflow.sources import records
+
+    value = {
+        "station_id": "S1", "snapshot_at_utc": "2025-07-03T13:00:00Z", "snapshot_at_local": "2025-07-03T09:00:00-04:00", "num_bikes_available": 3,
+        "num_bikes_disabled": None, "num_docks_available": 4, "num_docks_disabled": 0, "is_installed": True, "is_renting": True, "is_returning": True,
+        "last_reported_at_utc": None, "ingested_at_utc": "2025-07-03T13:00:05Z", "source_version": "2.3",
+    }
+    headers = {"contract_version": "1.1", "record_type": "station", "snapshot_id": "a" * 64, "metadata_version": "b" * 64, "data_origin": "GBFS_LIVE"}
+    cases = [({}, {}, set())]
+    cases += [({k: v}, {}, {f"kind_{k}"}) for k, v in (("num_bikes_disabled", "x"), ("num_docks_available", "many"), ("num_docks_disabled", 1.5), ("is_renting", 1))]
+    cases += [({"num_bikes_available": None}, {}, {"kind_num_bikes_available", "bikes"}), ({}, {"trace": "1"}, {"header_names"})]
+    rows = [("S1", {**headers, **h}, json.dumps({**value, **v})) for v, h, _ in cases]
+    frame = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "feed string, key string, headers map<string,string>, value string")
+    flat = records.flat_records(frame.withColumn("offset", F.lit(0)))
+    got = {}
+    for r in rule_violations(flat, records.event_rules(), "feed").collect():
+        got.setdefault(int(r.feed), set()).add(r.rule)
+    for i, (_, _, want) in enumerate(cases):
+        assert want <= got.get(i, set()) and (want or not got.get(i)), (i, got.get(i))
+
+
+def test_only_a_sent_attempt_blocks_others(spark):
+    from dockflow.operators.snapshots import snapshot_states
+
+    rows = [(1, "t", "x", False), (2, "t", "x", True), (3, "t", "x", False), (4, "t", "y", True), (5, "u", "z", False)]
+    states = snapshot_states(spark.createDataFrame(rows, "attempt int, provider_time string, status_raw_sha256 string, sent boolean"))
+    assert {r.attempt: r.state for r in states.collect()} == {
+        1: "FAILED_SEND", 2: "PUBLISHED", 3: "SKIPPED_DUPLICATE", 4: "REJECTED_CONFLICT", 5: "FAILED_SEND",
+    }
