@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dockflow.llm.common import byte_array, held_out, in_slices, lowered, mixed, slices, span_hashes, word_bytes
 
-PER_LABEL = 4000
+PER_LABEL = 2500
 BITS = 20
 THRESHOLD = 0.3
 
@@ -122,7 +122,7 @@ def weighted_sample(docs: DataFrame, labels: DataFrame, column: str, per_label:
     chosen = marks.where(place < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).collect()
     few = docs.sparkSession.createDataFrame(chosen, marks.schema)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", *extra)
-    rows = sorted((tuple(r) for r in texts.join(F.broadcast(few), "doc_id").select("text", "label", *extra).collect()), key=repr)
+    rows = sorted((tuple(r) for r in texts.join(F.broadcast(few), "doc_id").select("text", "label", *extra).collect()), key=lambda r: r[:2])
     got = {y: max(1, sum(1 for r in rows if r[1] == y)) for y in (0, 1)}
     total = max(1, sum(counts.values()))
     return [(t, y, counts[y] / total * len(rows) / got[y], *more) for t, y, *more in rows]
