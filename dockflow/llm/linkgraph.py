@@ -23,6 +23,8 @@ from dockflow.llm.common import staged, unstage
 #: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 ROUNDS = 12
+#: Rounds between two written score tables.
+ROUNDS_KEPT = 4
 DAMPING = 0.85
 THRESHOLD = 0.5
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,25 +75,27 @@ def edges_of(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def personalised(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): PageRank along (src, dst, weight), restarted at (host, seed); seeds sum to 1 or are empty.
+    """(kind, host, score): PageRank along (kind, src, dst, weight), restarted at (kind, host, seed), a graph of its own for each kind.
 
-    Mass at hosts without outgoing edges returns to the seeds, so scores sum to 1.
+    A kind's seeds sum to 1. Mass at hosts without outgoing edges returns to the seeds. That is the same, up to one factor, as
+    letting it go, so it is let go and a kind's scores are divided by their sum at the end: no round needs a total of its own.
+    All kinds go through one join and one partial aggregate a round; the table is written every ROUNDS_KEPT rounds.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = staged(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
-    score = staged(seeds.select("host", F.col("seed").alias("score")), "scores")
-    for _ in range(rounds):
-        moved = steps.join(score, steps["src"] == score["host"]).groupBy(F.col("dst").alias("host")).agg(
-            F.sum(F.col("share") * F.col("score") * damping).alias("part")
-        )
-        moved = staged(moved, "moved")
-        kept = 1.0 - (moved.agg(F.sum("part")).first()[0] or 0.0)
-        parts = moved.unionByName(seeds.select("host", (F.col("seed") * kept).alias("part")))
-        after = staged(parts.groupBy("host").agg(F.sum("part").alias("score")), "scores")
-        unstage(moved)
-        unstage(score)
-        score = after
-    return score
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    share = (F.col("weight") / F.col("total") * damping).alias("share")
+    steps = staged(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", share), "steps")
+    restart = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    score, written = seeds.select("kind", "host", F.col("seed").alias("score")), None
+    for done in range(1, rounds + 1):
+        moved = steps.join(score, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score"))
+        score = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        if done % ROUNDS_KEPT == 0 or done == rounds:
+            score = staged(score, "scores")
+            if written is not None:
+                unstage(written)
+            written = score
+    total = score.groupBy("kind").agg(F.sum("score").alias("total"))
+    return score.join(total, "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
 
 
 def judged(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,14 +105,14 @@ def judged(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, thresho
     hosts = staged(rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), by("allow"), by("block")), "hosts")
     edges = staged(edges_of(pages, hosts.select("host")), "edges")
     allowed, blocked = hosts.agg(F.sum("allow"), F.sum("block")).first()
-    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    seed = lambda column, n: hosts.where(f"`{column}` > 0").select("host", (F.col(column) / (n or 1)).alias("seed"))
-    trust = personalised(edges, seed("allow", allowed), rounds).withColumnRenamed("score", "trust")
-    distrust = personalised(reverse, seed("block", blocked), rounds).withColumnRenamed("score", "distrust")
-    scored = hosts.join(trust, "host", "left").join(distrust, "host", "left").select(
-        "host", (F.coalesce("trust", F.lit(0.0)) * float(allowed or 0) / F.col("pages")).alias("trust"),
-        (F.coalesce("distrust", F.lit(0.0)) * float(blocked or 0) / F.col("pages")).alias("distrust"),
-    )
+    seed = lambda verdict, n: hosts.where(f"`{verdict}` > 0").select(F.lit(verdict).alias("kind"), "host", (F.col(verdict) / (n or 1)).alias("seed"))
+    ahead = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight")
+    back = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    found = personalised(ahead.unionByName(back), seed("allow", allowed).unionByName(seed("block", blocked)), rounds)
+    of = lambda verdict, n: F.coalesce(F.max(F.when(F.col("kind") == verdict, F.col("score"))), F.lit(0.0)) * float(n or 0)
+    shares = found.groupBy("host").agg(of("allow", allowed).alias("trust"), of("block", blocked).alias("distrust"))
+    part = lambda c: (F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c)
+    scored = hosts.join(shares, "host", "left").select("host", part("trust"), part("distrust"))
     bad = staged(scored.withColumn("bad", (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))), "judged")
     method = F.when(F.coalesce("bad", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
