@@ -106,7 +106,7 @@ def build_release(spark, raw_root, manifest_path, metadata_path, source_month, r
 
     stage = new_attempt(root, release_id)
     typed_path = f"{stage}-typed"
-    records = read_manifest_trips(spark, raw_root, manifest)
+    records = read_manifest_trips(spark, raw_root, manifest, f"{stage}-splits")
     counters = stage_typed(records, source_month, manifest["zip_sha256"], typed_path, wall_clock)
     typed = spark.read.parquet(typed_path)
     check_source(counters, count_mismatches(typed, members(read_manifest(spark, manifest_path))))

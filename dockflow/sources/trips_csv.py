@@ -45,13 +45,16 @@ def register_trip_table(spark, table, location):
     return spark.table(table)
 
 
-def numbered_lines(spark, paths):
+def numbered_lines(spark, paths, offsets_path=None):
     """Every physical line with its file name and zero-based line number.
 
     Lines of one split arrive in file order, so the position inside a split is a
     difference of task-local ids, and the rest is a prefix sum over per-split line
-    counts. Splits are few (one per 128 MB or so), lines never move, and the
-    numbers do not depend on how many tasks read the files.
+    counts. Splits are few (one per 128 MB or so). A job names `offsets_path`, where
+    the per-split offsets are written first: the join is then planned by their file
+    size and lines stay where they are read. Without it the estimated size decides,
+    and lines may be shuffled. Both scans must cut the files alike; a line outside
+    its split's counted range stops the job instead of getting a wrong number.
     """
     lines = spark.read.text(paths).select(
         F.col("value").alias("line"),
@@ -65,9 +68,14 @@ def numbered_lines(spark, paths):
         "coalesce(sum(lines) OVER (PARTITION BY path ORDER BY split"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     )
-    offsets = splits.select("path", "split", (before - F.col("first_id")).alias("shift"))
-    numbered = lines.join(offsets, ["path", "split"])
-    return numbered.select("line", "source_file", (F.col("line_id") + F.col("shift")).alias("line_number"))
+    offsets = splits.select("path", "split", "lines", "first_id", before.alias("before"))
+    if offsets_path is not None:
+        offsets.write.mode("errorifexists").parquet(offsets_path)
+        offsets = spark.read.parquet(offsets_path)
+    place = F.col("line_id") - F.col("first_id")
+    moved = F.raise_error(F.lit("the files were split differently by the two scans; run the job again"))
+    number = F.when((place >= 0) & (place < F.col("lines")), F.col("before") + place).otherwise(moved.cast("bigint"))
+    return lines.join(offsets, ["path", "split"], "left").select("line", "source_file", number.alias("line_number"))
 
 
 def parse_records(numbered):
@@ -86,14 +94,14 @@ def is_header():
     return F.array(*TRIP_FIELDS).eqNullSafe(F.array(*[F.lit(name) for name in TRIP_FIELDS]))
 
 
-def read_manifest_trips(spark, root, manifest):
+def read_manifest_trips(spark, root, manifest, offsets_path=None):
     """All records of the manifest's files with lineage columns; the header is record 0 and drops out.
 
     `manifest` is the checked manifest (`sources.manifest`). Malformed lines and
     wrong headers stay visible as `malformed` / `bad_header` for the source gate.
     """
     paths = [f"{root.rstrip('/')}/{entry['filename']}" for entry in manifest["csv_files"]]
-    records = parse_records(numbered_lines(spark, paths))
+    records = parse_records(numbered_lines(spark, paths, offsets_path))
     first = F.col("source_row_number") == 0
     flagged = records.withColumn("bad_header", first & ~F.coalesce(is_header() & ~F.col("malformed"), F.lit(False)))
     return flagged.where(~first | F.col("bad_header"))

@@ -163,12 +163,21 @@ def test_line_numbers_do_not_depend_on_splits(spark, folder):
     try:
         for size in (old, "4000"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            lines = numbered_lines(spark, [f"{raw}/a.csv", f"{raw}/b.csv"])
+            lines = numbered_lines(spark, [f"{raw}/a.csv", f"{raw}/b.csv"], f"{folder}/offsets-{size}")
             assert lines.rdd.getNumPartitions() > (10 if size == "4000" else 0)
+            plan = lines._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
             got = {(r.source_file, r.line_number): r.line[:5].split(",")[0] for r in lines.collect()}
             want = {("a.csv", i + 1): f"r{i}" for i in range(500)} | {("b.csv", i + 1): f"q{i}" for i in range(300)}
             want |= {("a.csv", 0): "ride_", ("b.csv", 0): "ride_"}
             assert got == want
+            lazy = numbered_lines(spark, [f"{raw}/a.csv", f"{raw}/b.csv"])
+            assert {(r.source_file, r.line_number) for r in lazy.collect()} == set(want)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        stale = numbered_lines(spark, [f"{raw}/a.csv", f"{raw}/b.csv"], f"{folder}/offsets-stale")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        with pytest.raises(Exception, match="split differently"):
+            stale.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
