@@ -23,17 +23,6 @@ def latest_per_station(observations, order="event_id"):
     return picked.select("snapshot_at", "station_id", *[f"row.{name}" for name in others])
 
 
-def with_metadata(observations, metadata):
-    """Observations with their station's name, capacity and position."""
-    info = metadata.select("station_id", "station_name", "capacity", "lat", "lon")
-    return observations.join(info, "station_id", "inner")
-
-
-def without_metadata(observations, metadata):
-    """Observations of unknown stations; any row refuses the snapshot."""
-    return observations.join(metadata, "station_id", "left_anti")
-
-
 def current_status(observations):
     """Status, reason, fill ratio and freshness limit of every observation."""
     reason = failure_reason(

@@ -42,13 +42,20 @@ def batch_observations(gate_rows, now):
     return risk.batch_clock(typed)
 
 
-def live_tables(observations, metadata, profile, has_baseline=True):
-    """Risk of every published station, and the suggestions of every published snapshot."""
-    versioned = metadata.select("metadata_version", "station_id", "station_name", "capacity", "lat", "lon")
-    known = observations.join(versioned, ["metadata_version", "station_id"])
-    found = risk.station_risk(known, profile, has_baseline)
-    moves = rebalance.rebalance(rebalance.rebalance_ends(found, "snapshot_id"), "snapshot_id")
-    return found, rebalance.with_suggestion_id(moves)
+def with_versioned_metadata(observations, metadata):
+    """Observations with their station's attributes in their own metadata version; refused if one has none."""
+    key = ["metadata_version", "station_id"]
+    versioned = metadata.select(*key, "station_name", "capacity", "lat", "lon")
+    unknown = observations.join(versioned, key, "left_anti").groupBy("snapshot_id").agg(F.count("*").alias("stations"))
+    missing = unknown.orderBy("snapshot_id").first()
+    if missing:
+        raise ValueError(f"snapshot {missing.snapshot_id} has {missing.stations} stations without metadata of its version")
+    return observations.join(versioned, key)
+
+
+def suggestions(found):
+    """The suggestions of every snapshot in `found`."""
+    return rebalance.with_suggestion_id(rebalance.rebalance(rebalance.rebalance_ends(found, "snapshot_id"), "snapshot_id"))
 
 
 def write_snapshots(df, path):
@@ -75,9 +82,12 @@ def publish(spark, root, gate_rows, metadata, now=None):
     served = pointer(spark, root, "historical_release")
     baseline = served["dataset_id"] if served else None
     profile = open_release(spark, served["release_root"])["dws_station_hour_profile_v1"] if served else _no_profile(spark)
-    found, moves = live_tables(batch_observations(fresh, now), metadata, profile, baseline is not None)
-    write_snapshots(found, f"{root}/live/ads_station_current_risk")
-    stamped = moves.withColumn("generated_at", F.lit(now).cast("timestamp"))
+    risk_path = f"{root}/live/ads_station_current_risk"
+    known = with_versioned_metadata(batch_observations(fresh, now), metadata)
+    write_snapshots(risk.station_risk(known, profile, baseline is not None), risk_path)
+    # The solver reads the written rows, so risk is worked out once; the join prunes to the folders of this trigger.
+    written = spark.read.schema(RISK_TABLE).parquet(risk_path).join(ended.select("snapshot_id"), "snapshot_id", "left_semi")
+    stamped = suggestions(written).withColumn("generated_at", F.lit(now).cast("timestamp"))
     write_snapshots(stamped, f"{root}/live/ads_rebalance_suggestion")
     row = newest[0]
     recorded = row.data_origin != "GBFS_LIVE"

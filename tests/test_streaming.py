@@ -153,6 +153,17 @@ def test_publication_moves_forward_only(harness):
     assert publish.publish(harness.spark, root, gate_rows, harness.metadata) is None
 
 
+def test_a_station_without_metadata_refuses_the_publication(spark, folder, harness):
+    harness.send(*batch("a", 1))
+    assert harness.run() == [("a", "PUBLISHED", None)]
+    rows = spark.read.parquet(f"{folder}/verdicts")
+    with pytest.raises(ValueError, match="1 stations without metadata"):
+        publish.publish(spark, f"{folder}/served", rows, harness.metadata.where("station_id <> 'S3'"))
+    assert publish.live_snapshot(spark, f"{folder}/served") is None
+    assert publish.publish(spark, f"{folder}/served", rows, harness.metadata)
+    assert publish.live_snapshot(spark, f"{folder}/served")[1].count() == 3
+
+
 def test_replay_files(spark, folder, harness):
     harness.send(*batch("a", 1))
     replay = records.load_replay(spark, f"{folder}/in")
