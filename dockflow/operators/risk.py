@@ -43,10 +43,24 @@ def current_status(observations):
     )
 
 
+def with_city_hour(df):
+    """Weekday and hour of the snapshot on the city's clock."""
+    clock = city_clock(df, "snapshot_at")
+    return df.withColumns({"day_of_week": iso_day(clock), "hour": hour_of(clock)})
+
+
+def hours_needed(profile, observations):
+    """The part of the profile that the observations' weekday-hours can meet, at most 168, as a filter that prunes the scan."""
+    hours = with_city_hour(observations).select("day_of_week", "hour").distinct().collect()
+    wanted = F.lit(False)
+    for day, hour in sorted((r.day_of_week, r.hour) for r in hours):
+        wanted = wanted | ((F.col("day_of_week") == day) & (F.col("hour") == hour))
+    return profile.where(wanted)
+
+
 def with_baseline(df, profile):
     """Attach the weekday-hour baseline of the snapshot's city hour."""
-    clock = city_clock(df, "snapshot_at")
-    keyed = df.withColumns({"day_of_week": iso_day(clock), "hour": hour_of(clock)})
+    keyed = with_city_hour(df)
     keys = ["station_id", "day_of_week", "hour"]
     return keyed.join(profile.select(*keys, *BASELINE), keys, "left").drop("day_of_week", "hour")
 

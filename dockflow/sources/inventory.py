@@ -2,18 +2,26 @@
 
 from pyspark.sql import functions as F
 
+from dockflow.sources.trips_csv import numbered_lines
 
-def inventory(spark, path, pattern="*.csv", digest=True):
-    """Name, size and content digest of every file below a path; one task reads one file.
 
+def inventory(spark, path, pattern="*.csv", digest=True, offsets_path=None):
+    """Name, size and content digest of every text file below a path.
+
+    The digest folds two 64-bit hashes of every numbered line into sums, so the splits of one
+    file are read by many tasks and no file is ever one value; copies agree however they are split.
     Spark skips files of zero bytes, so those count as absent; a trip file has a header at least.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    files = reader.load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("filename")
-    # Without a digest the content column is pruned and no bytes are read.
-    extra = [F.sha2("content", 256).alias("sha256")] if digest else []
-    return files.select(name, F.col("length").alias("size_bytes"), *extra)
+    found = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    # The content column is pruned, so this scan reads no bytes.
+    files = spark.read.format("binaryFile").options(**found).load(path)
+    sizes = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"))
+    if not digest:
+        return sizes
+    folded = [F.sum(F.xxhash64(F.lit(seed), "line_number", "line").cast("decimal(20,0)")).cast("string") for seed in (1, 2)]
+    lines = numbered_lines(spark, path, offsets_path, **found)
+    digests = lines.groupBy(F.col("source_file").alias("filename")).agg(F.sha2(F.concat_ws(":", F.count("*"), *folded), 256).alias("digest"))
+    return sizes.join(digests, "filename", "left")
 
 
 def totals(files):

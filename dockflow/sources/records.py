@@ -26,10 +26,16 @@ ENVELOPE = T.StructType(
 _UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|\+00:00)$"
 
 
+def _folder():
+    """Replay files of one folder are one feed; folders are gated in parallel."""
+    return F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1).alias("feed")
+
+
 def read_ndjson(spark, path):
     """Records of NDJSON files; blank lines are skipped."""
     lines = spark.read.text(path).select(
         F.col("value").alias("text"),
+        _folder(),
         F.col("_metadata.file_name").alias("feed_file"),
         F.monotonically_increasing_id().alias("position"),
     )
@@ -43,14 +49,14 @@ def stream_ndjson(spark, path, max_files=1):
     the order of its lines is what the gate works on.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", max_files)
-    files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("feed_file"))
-    lines = files.select("feed_file", F.posexplode(F.split("value", r"\r?\n")).alias("position", "text"))
+    files = reader.text(path, wholetext=True).select("value", _folder(), F.col("_metadata.file_name").alias("feed_file"))
+    lines = files.select("feed", "feed_file", F.posexplode(F.split("value", r"\r?\n")).alias("position", "text"))
     return _envelopes(lines.withColumn("position", F.col("position").cast("long")))
 
 
 def _envelopes(lines):
     parsed = lines.where(F.trim("text") != "").withColumn("record", F.from_json("text", ENVELOPE))
-    return parsed.select("record.*", F.lit("replay").alias("feed"), F.struct("feed_file", "position").alias("offset"))
+    return parsed.select("record.*", "feed", F.struct("feed_file", "position").alias("offset"))
 
 
 def read_kafka(spark, servers, topic, max_offsets=50_000, **options):

@@ -45,7 +45,7 @@ def register_trip_table(spark, table, location):
     return spark.table(table)
 
 
-def numbered_lines(spark, paths, offsets_path=None):
+def numbered_lines(spark, paths, offsets_path=None, **options):
     """Every physical line with its file name and zero-based line number.
 
     Lines of one split arrive in file order, so the position inside a split is a
@@ -56,7 +56,7 @@ def numbered_lines(spark, paths, offsets_path=None):
     and lines may be shuffled. Both scans must cut the files alike; a line outside
     its split's counted range stops the job instead of getting a wrong number.
     """
-    lines = spark.read.text(paths).select(
+    lines = spark.read.options(**options).text(paths).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("source_file"),

@@ -7,6 +7,7 @@ snapshot could not see. Feeds run in parallel.
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -75,21 +76,27 @@ class SnapshotGate(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         feed, now = key[0], timerValues.getCurrentProcessingTimeInMs()
-        batch = pd.concat(list(rows)).sort_values(["feed_file", "position"])
+        batch = pd.concat(list(rows)).sort_values(["feed_file", "position"], ignore_index=True)
         batch = batch.astype(object).where(batch.notna(), None)
         self._load()
         out = []
-        for record in batch.itertuples(index=False):
-            self._accept(feed, record, now, out)
+        self._expire(feed, now, out)
+        # A stretch of one snapshot ends where the id changes or after an end marker.
+        snapshot, is_end = batch["snapshot_id"].to_numpy(), (batch["record_type"] == "snapshot_end").to_numpy()
+        cut = np.ones(len(batch), bool)
+        cut[1:] = (snapshot[1:] != snapshot[:-1]) | is_end[:-1]
+        edges = [*np.flatnonzero(cut).tolist(), len(batch)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            self._stretch(feed, batch.iloc[a:b], bool(is_end[b - 1]), now, out)
         self._store(now)
-        yield pd.DataFrame(out, columns=OUTPUT.fieldNames())
+        yield _output(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self._load()
         out = []
         self._expire(key[0], timerValues.getCurrentProcessingTimeInMs(), out)
         self._store(None)
-        yield pd.DataFrame(out, columns=OUTPUT.fieldNames())
+        yield _output(out)
 
     # State of the feed is read once per trigger, worked on here and written back once.
 
@@ -119,12 +126,12 @@ class SnapshotGate(StatefulProcessor):
     def _reset(self):
         self.now, self.buffer = None, {}
 
-    def _verdict(self, feed, outcome, reason, out, station=None, value=None, snapshot_at=None):
-        h = self.now
-        out.append(
-            (feed, h["snapshot_id"], h["metadata_version"], h["data_origin"], outcome, reason, h["received"],
-             h["duplicates"], station, value, snapshot_at, h["ingested_at"])
-        )
+    def _verdict(self, feed, outcome, reason, out, station=(None,), value=(None,), snapshot_at=(None,)):
+        """One output row for each station, all with the batch's header; one row without any for a verdict."""
+        h, n = self.now, len(station)
+        header = (feed, h["snapshot_id"], h["metadata_version"], h["data_origin"], outcome, reason, h["received"], h["duplicates"])
+        columns = [*([v] * n for v in header), station, value, snapshot_at, [h["ingested_at"]] * n]
+        out.append(pd.DataFrame(dict(zip(OUTPUT.fieldNames(), columns, strict=True)), dtype=object))
 
     def _reject(self, feed, reason, out, outcome="REJECTED"):
         self._verdict(feed, outcome, reason, out)
@@ -136,75 +143,93 @@ class SnapshotGate(StatefulProcessor):
         if h and not h["draining"] and now >= h["started_ms"] + self.timeout_ms:
             self._reject(feed, "BATCH_TIMEOUT", out)
 
-    def _accept(self, feed, r, now, out):
-        self._expire(feed, now, out)
-        if self.now and self.now["snapshot_id"] != r.snapshot_id:
+    def _stretch(self, feed, rows, ended, now, out):
+        """Consecutive records of one snapshot; only the last may be its end marker."""
+        first = rows.iloc[0]
+        if self.now and self.now["snapshot_id"] != first.snapshot_id:
             if not self.now["draining"]:
                 self._reject(feed, "NEXT_BATCH_BEFORE_END", out)
             self._reset()
         if self.now is None:
             self.now = {
-                "snapshot_id": r.snapshot_id, "metadata_version": r.metadata_version, "data_origin": r.data_origin,
-                "ingested_at": r.ingested_at, "started_ms": now, "received": 0, "duplicates": 0, "draining": False,
+                "snapshot_id": first.snapshot_id, "metadata_version": first.metadata_version, "data_origin": first.data_origin,
+                "ingested_at": first.ingested_at, "started_ms": now, "received": 0, "duplicates": 0, "draining": False,
             }
-            if r.snapshot_id is not None and r.snapshot_id == self.last[0]:
+            if first.snapshot_id is not None and first.snapshot_id == self.last[0]:
                 self._reject(feed, "ALREADY_PUBLISHED", out, "IGNORED")
-        is_end = r.record_type == "snapshot_end"
         if not self.now["draining"]:
-            reason = self._check(r)
-            if reason is None and not is_end:
-                reason = self._buffer(r)
-            elif reason is None:
-                reason = self._finish(feed, r, out)
+            reason = self._buffer(rows, len(rows) - ended)
+            if reason is None and ended:
+                reason = self._finish(feed, rows.iloc[-1], out)
                 if reason is None:
                     return
             if reason is not None:
                 self._reject(feed, reason, out)
-        if self.now["draining"] and is_end:
+        if self.now["draining"] and ended:
             self._reset()
 
-    def _check(self, r):
-        """What any record must satisfy before it may join the batch."""
+    def _buffer(self, rows, n):
+        """Buffer the ``n`` station records up to the first that is refused, and say why it is; the end marker is only checked."""
         h = self.now
-        if r.broken_rule is not None:
-            return "KEY_MISMATCH" if r.broken_rule == "key_mismatch" else "INVALID_RECORD"
-        if r.data_origin not in self.origins:
-            return "INVALID_ORIGIN_FOR_MODE"
-        same = (r.metadata_version, r.data_origin, r.ingested_at) == (h["metadata_version"], h["data_origin"], h["ingested_at"])
-        return None if same else "MIXED_BATCH"
-
-    def _buffer(self, r):
-        held = self.buffer.get(r.record_key)
-        if held is not None:
-            if held[0] != r.value:
-                return "STATION_CONFLICT"
-            self.now["received"] += 1
-            self.now["duplicates"] += 1
-            return None
-        if self.last[1] is not None and r.snapshot_at <= self.last[1]:
-            return "OLDER_THAN_PUBLISHED"
-        if self.station_limit is not None and len(self.buffer) >= self.station_limit:
-            return "STATION_LIMIT"
-        self.now["received"] += 1
-        self.buffer[r.record_key] = (r.value, r.snapshot_at, bool(r.known_station))
+        column = {name: rows[name].to_numpy() for name in INPUT}
+        broken = column["broken_rule"] != None  # noqa: E711
+        foreign = ~np.isin(column["data_origin"].astype(str), list(self.origins))
+        mixed = np.zeros(len(rows), bool)
+        for name in ("metadata_version", "data_origin", "ingested_at"):
+            mixed |= column[name] != h[name]
+        # A repeat must equal the station's first record, in the buffer or in this stretch.
+        names, value, at = column["record_key"][:n], column["value"][:n], column["snapshot_at"][:n]
+        code, unique = pd.factorize(names, use_na_sentinel=False)
+        _, start = np.unique(code, return_index=True)
+        buffered = np.array([name in self.buffer for name in unique], bool)
+        original = value[start]
+        original[buffered] = [self.buffer[name][0] for name in unique[buffered]]
+        repeat = buffered[code] | (start[code] != np.arange(n)) if n else np.zeros(0, bool)
+        checks = {
+            "STATION_CONFLICT": repeat & (value != original[code]),
+            "OLDER_THAN_PUBLISHED": ~repeat & np.array([self.last[1] is not None and t is not None and t <= self.last[1] for t in at], bool),
+        }
+        if self.station_limit is not None:
+            checks["STATION_LIMIT"] = ~repeat & (len(self.buffer) + np.cumsum(~repeat) > self.station_limit)
+        bad = broken | foreign | mixed
+        for refused in checks.values():
+            bad[:n] |= refused
+        stop = int(bad.argmax()) if bad.any() else len(rows)
+        taken = min(stop, n)
+        h["received"] += taken
+        h["duplicates"] += int(repeat[:taken].sum())
+        if stop < len(rows):
+            if broken[stop]:
+                return "KEY_MISMATCH" if column["broken_rule"][stop] == "key_mismatch" else "INVALID_RECORD"
+            if foreign[stop]:
+                return "INVALID_ORIGIN_FOR_MODE"
+            return "MIXED_BATCH" if mixed[stop] else next(name for name, refused in checks.items() if refused[stop])
+        new = np.flatnonzero(~repeat)
+        known = column["known_station"][new].astype(bool)
+        self.buffer.update(zip(names[new], zip(value[new], at[new], known.tolist(), strict=True), strict=True))
         return None
 
     def _finish(self, feed, r, out):
         """Publish the buffered batch, or say why it is not whole."""
-        if int(r.station_count) != len(self.buffer) or not all(known for _, _, known in self.buffer.values()):
+        values, times, known = zip(*self.buffer.values(), strict=True) if self.buffer else ((), (), ())
+        if int(r.station_count) != len(self.buffer) or not all(known):
             return "COUNT_OR_METADATA_MISMATCH"
-        if any(at != r.snapshot_at for _, at, _ in self.buffer.values()):
+        if set(times) - {r.snapshot_at}:
             return "SNAPSHOT_TIME_MISMATCH"
         if self.last[1] is not None and r.snapshot_at <= self.last[1]:
             return "OLDER_THAN_PUBLISHED"
-        for name, (value, at, _) in self.buffer.items():
-            self._verdict(feed, "STATION", None, out, name, value, at)
-        self._verdict(feed, "PUBLISHED", None, out, snapshot_at=r.snapshot_at)
+        if self.buffer:
+            self._verdict(feed, "STATION", None, out, list(self.buffer), list(values), list(times))
+        self._verdict(feed, "PUBLISHED", None, out, snapshot_at=[r.snapshot_at])
         self.last = (self.now["snapshot_id"], r.snapshot_at)
         self._reset()
         return None
 
 
+def _output(frames):
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=OUTPUT.fieldNames())
+
+
 def gate_input(flat, rules, metadata):
     """Gate columns of flat records: first broken rule, and whether the metadata knows the station."""
     broken = F.coalesce(*[F.when(rule.broken, F.lit(rule.name)) for rule in rules])

@@ -1,6 +1,7 @@
 """Live publication: complete batches become risk and suggestions behind one pointer."""
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -84,7 +85,8 @@ def publish(spark, root, gate_rows, metadata, now=None):
     profile = open_release(spark, served["release_root"])["dws_station_hour_profile_v1"] if served else _no_profile(spark)
     risk_path = f"{root}/live/ads_station_current_risk"
     known = with_versioned_metadata(batch_observations(fresh, now), metadata)
-    write_snapshots(risk.station_risk(known, profile, baseline is not None), risk_path)
+    needed = risk.hours_needed(profile, known.select("snapshot_at"))
+    write_snapshots(risk.station_risk(known, needed, baseline is not None), risk_path)
     # The solver reads the written rows, so risk is worked out once; the join prunes to the folders of this trigger.
     written = spark.read.schema(RISK_TABLE).parquet(risk_path).join(ended.select("snapshot_id"), "snapshot_id", "left_semi")
     stamped = suggestions(written).withColumn("generated_at", F.lit(now).cast("timestamp"))
@@ -118,7 +120,15 @@ def live_snapshot(spark, root):
 
 
 def publisher(root, metadata):
-    """A `foreachBatch` function: verdicts to the log, complete batches to the live tables."""
+    """A `foreachBatch` function: verdicts to the log, complete batches to the live tables.
+
+    A file-based `metadata` frame lists its files anew at the start and after every trigger, so
+    versions that land while the job runs are known from the next trigger on, here and in the
+    gate. A version therefore has to land one trigger before its records.
+    """
+    catalog, view = metadata.sparkSession.catalog, f"live_metadata_{uuid.uuid4().hex}"
+    metadata.createOrReplaceTempView(view)
+    catalog.refreshTable(view)
 
     def run(batch, batch_id):
         spark = batch.sparkSession
@@ -129,6 +139,7 @@ def publisher(root, metadata):
             publish(spark, root, rows, metadata)
         finally:
             rows.unpersist()
+            catalog.refreshTable(view)
 
     return run
 

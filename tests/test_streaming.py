@@ -197,3 +197,168 @@ def test_persisted_batches_must_match_their_log(spark):
     assert rule_violations(records.persisted_batches(log, landed), rules).count() == 0
     bad = landed.withColumn("status_raw", F.lit("other"))
     assert [r.rule for r in rule_violations(records.persisted_batches(log, bad), rules).collect()] == ["status_raw_sha256"]
+
+
+def test_metadata_that_lands_while_the_job_runs(spark, folder, harness):
+    path, later, root = f"{folder}/metadata", "9" * 64, f"{folder}/served"
+    harness.metadata.write.parquet(path)
+    harness.send(*batch("a", 1))
+    harness.send(*batch("b", 2, meta=later))
+    metadata = spark.read.parquet(path)
+    publisher = publish.publisher(root, metadata)
+
+    def keep(df, batch_id):
+        if batch_id == 0:
+            harness.metadata.withColumn("metadata_version", F.lit(later)).write.mode("append").parquet(path)
+        publisher(df, batch_id)
+
+    flat = records.flat_records(records.stream_ndjson(spark, f"{folder}/in"))
+    writer = gate.gated(gate.gate_input(flat, records.event_rules(), metadata), "recorded").writeStream.outputMode("append").foreachBatch(keep)
+    query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    outcomes = spark.read.parquet(f"{root}/live/log").orderBy("trigger").collect()
+    assert [(r.snapshot_id[0], r.outcome) for r in outcomes] == [("a", "PUBLISHED"), ("b", "PUBLISHED")]
+    assert publish.live_snapshot(spark, root)[0]["metadata_version"] == later
+
+
+class _State:
+    """Keyed state as the gate uses it, without a stream around it."""
+
+    def __init__(self):
+        self.value, self.map, self.timers = None, {}, []
+
+    def getValueState(self, *_):
+        return _State()
+
+    getMapState = getValueState
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    iterator = lambda self: iter(list(self.map.items()))
+
+    def clear(self):
+        self.value = None
+
+    def update(self, value):
+        self.value = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def _one_by_one(rows, origins, limit):
+    """The verdicts of a feed by the rules read record after record."""
+    out, now, last = [], None, (None, None)
+    for r in rows:
+        is_end = r["record_type"] == "snapshot_end"
+        if now and now["id"] != r["snapshot_id"]:
+            if not now["done"]:
+                out.append((now["id"], "NEXT_BATCH_BEFORE_END", now["n"], now["twice"]))
+            now = None
+        if now is None:
+            now = {"id": r["snapshot_id"], "head": (r["metadata_version"], r["data_origin"], r["ingested_at"]), "n": 0, "twice": 0, "done": False, "held": {}}
+            if r["snapshot_id"] == last[0]:
+                out.append((now["id"], "ALREADY_PUBLISHED", 0, 0))
+                now["done"] = True
+        if not now["done"]:
+            held, reason = now["held"].get(r["record_key"]), None
+            if r["broken_rule"]:
+                reason = "KEY_MISMATCH" if r["broken_rule"] == "key_mismatch" else "INVALID_RECORD"
+            elif r["data_origin"] not in origins:
+                reason = "INVALID_ORIGIN_FOR_MODE"
+            elif (r["metadata_version"], r["data_origin"], r["ingested_at"]) != now["head"]:
+                reason = "MIXED_BATCH"
+            elif not is_end and held:
+                reason = "STATION_CONFLICT" if held[0] != r["value"] else None
+                now["n"] += reason is None
+                now["twice"] += reason is None
+            elif not is_end:
+                if last[1] and r["snapshot_at"] <= last[1]:
+                    reason = "OLDER_THAN_PUBLISHED"
+                elif limit is not None and len(now["held"]) >= limit:
+                    reason = "STATION_LIMIT"
+                else:
+                    now["held"][r["record_key"]] = (r["value"], r["snapshot_at"], r["known_station"])
+                    now["n"] += 1
+            elif r["station_count"] != len(now["held"]) or not all(h[2] for h in now["held"].values()):
+                reason = "COUNT_OR_METADATA_MISMATCH"
+            elif any(h[1] != r["snapshot_at"] for h in now["held"].values()):
+                reason = "SNAPSHOT_TIME_MISMATCH"
+            elif last[1] and r["snapshot_at"] <= last[1]:
+                reason = "OLDER_THAN_PUBLISHED"
+            else:
+                out.append((now["id"], None, now["n"], now["twice"]))
+                last, now = (r["snapshot_id"], r["snapshot_at"]), None
+                continue
+            if reason:
+                out.append((now["id"], reason, now["n"], now["twice"]))
+                now["done"] = True
+        if now["done"] and is_end:
+            now = None
+    return out
+
+
+def test_stretches_give_the_verdicts_of_single_records():
+    import random
+
+    import pandas as pd
+
+    rng, seen = random.Random(3), set()
+    for trial in range(80):
+        limit = rng.choice([None, None, 3])
+        rows, sid = [], 0
+        while len(rows) < 60:
+            sid = max(1, sid + rng.choice([0, 1, 1, 1, 1]))
+            at, n = f"t{sid + rng.choice([0, 0, 0, 0, -2]):03d}", rng.randint(0, 4)
+            base = {"feed": "feed", "feed_file": "f", "snapshot_id": f"s{sid}", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "snapshot_at": at,
+                    "ingested_at": "i", "broken_rule": None, "known_station": True, "station_count": None}
+            for i in range(n):
+                odd = {} if rng.random() < 0.85 else rng.choice([
+                    {"broken_rule": "key_mismatch"}, {"broken_rule": "json"}, {"data_origin": "GBFS_LIVE"}, {"metadata_version": "x"},
+                    {"known_station": False}, {"snapshot_at": "t999"}])
+                key = f"k{rng.randint(0, i)}" if rng.random() < 0.2 else f"k{i}"
+                rows.append({**base, "record_type": "station", "record_key": key, "value": f"{key}{rng.random() < 0.05}", **odd})
+            if rng.random() < 0.85:
+                whole = len({r["record_key"] for r in rows[len(rows) - n :]}) + (rng.random() < 0.1)
+                rows.append({**base, "record_type": "snapshot_end", "record_key": "end", "value": "e", "station_count": whole})
+        for i, r in enumerate(rows):
+            r["position"] = i
+        machine = gate.SnapshotGate(["GBFS_REPLAY"], 10**9, limit)
+        machine.init(_State())
+        got, frame = [], pd.DataFrame(rows)[list(gate.INPUT)]
+        cut = sorted(rng.sample(range(1, len(rows)), 3))
+        for a, b in zip([0, *cut], [*cut, len(rows)]):
+            for out in machine.handleInputRows(("feed",), iter([frame[a:b]]), _State()):
+                got += [(r.snapshot_id, r.reason, r.received, r.duplicates) for r in out.itertuples() if r.outcome != "STATION"]
+        want = _one_by_one(rows, {"GBFS_REPLAY"}, limit)
+        assert got == want, trial
+        seen |= {w[1] for w in want}
+    assert len(seen) == 12  # eleven reasons, and none
+
+
+def test_a_large_batch_in_each_of_two_feeds(spark, harness):
+    import pandas as pd
+
+    n = 20_000
+    names = [f"k{i}" for i in range(n)]
+    frame = pd.DataFrame({"feed": "feed", "feed_file": "f", "position": range(n + 1), "record_key": [*names, "end"], "record_type": ["station"] * n + ["snapshot_end"],
+                          "snapshot_id": "s", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "value": "v", "snapshot_at": "t", "ingested_at": "i",
+                          "station_count": n, "broken_rule": None, "known_station": True})
+    machine = gate.SnapshotGate(["GBFS_REPLAY"], 10**9)
+    machine.init(_State())
+    out = pd.concat(machine.handleInputRows(("feed",), iter([frame[list(gate.INPUT)]]), _State()))
+    assert out["outcome"].value_counts().to_dict() == {"STATION": n, "PUBLISHED": 1}
+    for feed in ("one", "two"):
+        os.makedirs(f"{harness.folder}/{feed}")
+        with open(f"{harness.folder}/{feed}/0001.ndjson", "w") as lines:
+            lines.write("\n".join(json.dumps(r) for r in batch("a", 1)))
+    read = records.read_ndjson(spark, f"{harness.folder}/one,{harness.folder}/two".split(","))
+    assert {r.feed.rsplit("/", 1)[1]: r["count"] for r in read.groupBy("feed").count().collect()} == {"one": 4, "two": 4}
