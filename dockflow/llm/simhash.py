@@ -159,19 +159,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def without_near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; one of the rows that repeat its id and text.
-
-    Rows are told apart by id and text, so repeated or null ids with other texts do not answer for each other. The rows to drop
-    are anti-joined; Spark broadcasts them only where their measured size allows it.
-    """
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which orders rows by id and tells them apart by id and text."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
-    keyed = docs.withColumn("_row", row)
-    found = staged(near_duplicates(keyed, "_row", "text", k), "near-duplicates")
+    return docs.withColumn("_row", row)
+
+
+def least_of_each(keyed: DataFrame, found: DataFrame, columns: list) -> DataFrame:
+    """One row of each component of ``found`` (doc_id, component_id: a ``_row`` each)."""
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct()
     kept = keyed.join(drop, "_row", "left_anti")
     again = staged(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
-        return kept.select(docs.columns)
+        return kept.select(columns)
     once = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.join(again, "_row", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return kept.join(again, "_row", "left_anti").select(columns).unionByName(once.select(columns))
+
+
+def without_near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id; one of the rows that repeat its id and text.
+
+    Rows are told apart by id and text, so repeated or null ids with other texts do not answer for each other. The rows to drop
+    are anti-joined; Spark broadcasts them only where their measured size allows it.
+    """
+    keyed = keyed_rows(docs)
+    return least_of_each(keyed, staged(near_duplicates(keyed, "_row", "text", k), "near-duplicates"), docs.columns)

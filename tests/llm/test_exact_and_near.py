@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from dockflow.llm import exact_dedup, simhash, suffix_dedup
+import corpus_pipeline
+from dockflow.llm import exact_dedup, simhash, similar, suffix_dedup
 
 
 def odd_rows():
@@ -146,3 +147,47 @@ def test_empty_tables(make):
     none = make([])
     for df in (exact_dedup.exact_dedup(none), exact_dedup.without_copies(none), simhash.near_duplicates(none), suffix_dedup.removed(none)):
         assert df.count() == 0
+
+
+def brute_shingles(text):
+    own = (text or "").lower().split()
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def edited_rows():
+    """Originals and copies of 64 to 250 words with a few words changed, and a chain of which only neighbours are near."""
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        base = say(rng.randint(64, 250))
+        rows.append((i * 10, " ".join(base)))
+        for j in range(1, 4):
+            own = list(base)
+            for at in rng.sample(range(len(own)), max(1, int(len(own) * rng.choice([0.005, 0.01, 0.02, 0.03])))):
+                own[at : at + 1] = rng.choice([[], say(1), say(2)])
+            rows.append((i * 10 + j, " ".join(own)))
+    chain = say(100)
+    for j in range(6):
+        rows.append((1000 + j, " ".join(chain)))
+        chain[j * 16 + 8] = "changed"
+    return rows + odd_rows()
+
+
+def test_stage_drops_all_similar_texts(spark, make):
+    rows = edited_rows()
+    sets = [brute_shingles(t) for _, t in rows]
+    near = [(a, b, s) for a in range(len(rows)) for b in range(a) if (s := len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1) if sets[a] or sets[b] else 1.0) >= 0.8]
+    assert sum(0.8 <= s < 0.97 for *_, s in near) > 60
+    group = list(range(len(rows)))
+    while any(group[a] != group[b] for a, b, _ in near):
+        for a, b, _ in near:
+            group[a] = group[b] = min(group[a], group[b])
+    least = collections.defaultdict(list)
+    for a, (i, _) in enumerate(rows):
+        least[group[a]] += [i] if i is not None else []
+    want = sorted((min(ids, default=None) for ids in least.values()), key=repr)
+    docs = make(rows)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == want
+    assert kept.columns == docs.columns and similar.without_similar(docs.limit(0)).count() == 0
