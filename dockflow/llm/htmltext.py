@@ -25,7 +25,7 @@ WINDOW = 3
 #: A surge: this many characters within a window, or this share of the page's fullest window if that is less.
 SURGE, SHARE = 80, 0.2
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none))", re.I)
 _WORDS = re.compile(r"[a-z]+|\d+")
@@ -36,6 +36,8 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe object svg math textarea title head".split())
+#: The closing tag of each of them: nothing else ends it, whatever stands between.
+_ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in _RAW}
 _FURNITURE = frozenset("nav footer aside form button select dialog menu".split())
 # End of fixed values.
 _NAMES = frozenset(
@@ -62,7 +64,7 @@ def lines(page: str) -> tuple[list[str], list[int]]:
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
     furniture = links = articles = linked = 0
-    at, raw_until, skipped = 0, None, False
+    at, skipped = 0, False
 
     def close_line():
         nonlocal linked, skipped
@@ -75,31 +77,32 @@ def lines(page: str) -> tuple[list[str], list[int]]:
 
     def add(piece: str):
         nonlocal linked, skipped
-        if furniture or raw_until is not None:
+        if furniture:
             skipped = skipped or not piece.isspace() and piece != ""
         elif piece:
             text.append(piece)
             if links:
                 linked += len(" ".join(piece.split()))
 
-    for m in _MARKUP.finditer(page):
+    while m := _MARKUP.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         name = (m.group(2) or "").lower()
         if not name:
             continue
         closing = bool(m.group(1))
-        if raw_until is not None:
-            if closing and name == raw_until:
-                raw_until = None
-            continue
         if name in _BLOCKS:
             close_line()
         elif name == "br":
             add(" ")
         if name in _RAW:
             if not closing and not m.group(3).endswith("/"):
-                raw_until = name
+                end = _ENDS[name].search(page, at)
+                body = page[at : end.start() if end else len(page)]
+                skipped = skipped or not body.isspace() and body != ""
+                at = end.end() if end else len(page)
+                if name in _BLOCKS:
+                    close_line()
             continue
         if name in _VOID:
             continue

@@ -30,6 +30,14 @@ def test_main_text_odd(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize("script", [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b)f()</script>", "<script><!-- g('<p>')</script>", "<style>a<b{}</STYLE >", "<SCRIPT>g(i<n)</script>",
+])
+def test_main_text_after_scripts(script):
+    page = f"<html><body>{script}<article><p>{LONG}</p><p>More{script} words.</p></article></body></html>"
+    assert htmltext.main_text(page) == f"{LONG.strip()}\n\nMore words."
+
+
 def test_main_texts_columns(spark):
     pages = spark.createDataFrame([(1, "u", PARTS, "x"), (2, None, None, "y"), (None, "v", "<p>z", "z")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: r for r in htmltext.main_texts(pages).collect()}
