@@ -2,7 +2,8 @@
 
 Markup is stripped so that every block element starts a new line. The lengths of the lines, links and page furniture counted as
 zero, are summed over sliding windows of WINDOW lines. Where the sum surges above the threshold a passage starts, together with
-the unbroken lines just before it; it ends where the sum dives to zero. The text between is kept, block by block.
+the unbroken lines just before it; it ends where the sum dives to zero. The text between is kept, block by block, lines that are one link
+included: lengths only place the surge and the dive, and within an article element a passage dives only at the article's end. Up to WINDOW - 1 such lines just before a passage's first text belong to it.
 
 Furniture is what navigation, header, footer, aside, form, script and style elements hold, and elements whose class, id or role
 names an advert, menu, notice, sidebar, share bar or reader comments. A page's own header inside its article counts as text.
@@ -57,32 +58,43 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return any(not _NAMES.isdisjoint(_WORDS.findall(m.group(1).lower())) for m in _NAMED.finditer(attributes))
 
 
-def lines(page: str) -> tuple[list[str], list[int]]:
-    """The text of every line and how many of its characters are outside links; furniture between lines is one empty line."""
+def _plain(pieces: list[str]) -> str:
+    return " ".join(entities.unescape("".join(pieces)).split())
+
+
+def lines(page: str) -> tuple[list[str], list[int], list[int]]:
+    """The text of every line, how many of its characters are outside links, and the number of its article, 0 outside of any.
+
+    Furniture between lines is one empty line.
+    """
     out: list[str] = []
     plain: list[int] = []
+    within: list[int] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
-    furniture = links = articles = linked = 0
+    own: list[str] = []
+    furniture = links = articles = opened = 0
     at, skipped = 0, False
 
     def close_line():
-        nonlocal linked, skipped
-        line = " ".join(entities.unescape("".join(text)).split()) if text else ""
+        nonlocal skipped
+        line = _plain(text) if text else ""
         if line or skipped and out and out[-1]:
             out.append(line)
-            plain.append(max(0, len(line) - linked))
+            plain.append(len(line) if len(own) == len(text) else len(_plain(own)))
+            within.append(opened if articles else 0)
         text.clear()
-        linked, skipped = 0, False
+        own.clear()
+        skipped = False
 
     def add(piece: str):
-        nonlocal linked, skipped
+        nonlocal skipped
         if furniture:
             skipped = skipped or not piece.isspace() and piece != ""
         elif piece:
             text.append(piece)
-            if links:
-                linked += len(" ".join(piece.split()))
+            if not links:
+                own.append(piece)
 
     while m := _MARKUP.search(page, at):
         add(page[at : m.start()])
@@ -115,6 +127,7 @@ def lines(page: str) -> tuple[list[str], list[int]]:
             stack.append((name, bad))
             furniture += bad
             links += name == "a"
+            opened += name == "article" and not articles
             articles += name == "article"
             continue
         if any(tag == name for tag, _ in stack):
@@ -127,26 +140,34 @@ def lines(page: str) -> tuple[list[str], list[int]]:
                     break
     add(page[at:])
     close_line()
-    return out, plain
+    return out, plain, within
+
+
+def _unbroken(text: list[str], own: list[int], i: int) -> bool:
+    """Whether no furniture stands between line ``i`` and the first text outside links from there on."""
+    while text[i] and not own[i]:
+        i += 1
+    return own[i] > 0
 
 
 def main_text(page: str | None) -> str:
     """The page's passages between surge and dive points, blocks joined by blank lines."""
     if not page:
         return ""
-    text, own = lines(page)
+    text, own, within = lines(page)
     if not any(text):
         return ""
     sums = np.convolve(own, np.ones(WINDOW, int))[WINDOW - 1 :][: len(own)]
     surge = min(SURGE, SHARE * sums.max())
     kept, inside, since = [], False, 0
     for i, total in enumerate(sums):
-        if not inside and total >= surge and total > 0:
+        if not inside and total >= surge and total > 0 and _unbroken(text, own, i):
             # The surge's own line and the unbroken text just before it.
-            kept += [text[j] for j in range(since, i) if own[j]]
+            kept += text[since:i]
             inside = True
-        inside = inside and total > 0
-        if inside and own[i]:
+        # Links alone do not end a passage within its own article.
+        inside = inside and (total > 0 or within[i] > 0 and within[i] == within[i - 1])
+        if inside and text[i]:
             kept.append(text[i])
         if not own[i] or inside:
             since = i + 1

@@ -38,6 +38,21 @@ def test_main_text_after_scripts(script):
     assert htmltext.main_text(page) == f"{LONG.strip()}\n\nMore words."
 
 
+def test_main_text_keeps_linked_lines():
+    page = f"""<nav><a href="/">Home</a></nav><article><h1><a href="/1">Linked head</a></h1><p>{LONG}</p><h2><a href="#2">Part two</a></h2>
+    <p>See <a href="x">A &amp; B &amp; C &amp; D</a></p><ul><li><a href="y">One</a></li><li><a href="z">Two</a></li></ul><p>{LONG}</p></article><footer>End</footer>"""
+    text = LONG.strip()
+    assert htmltext.main_text(page) == f"Linked head\n\n{text}\n\nPart two\n\nSee A & B & C & D\n\nOne\n\nTwo\n\n{text}"
+    assert htmltext.lines("<p>See <a>A &amp; B &amp; C</a> <a>D</a></p>") == (["See A & B & C D"], [3], [0])
+    # References: more links than a window has lines, up to the article's end but not behind it.
+    links = [f"Reference {i}" for i in range(6)]
+    listed = "<ol>" + "".join(f"<li><a href='{i}'>{t}</a></li>" for i, t in enumerate(links)) + "</ol>"
+    page = f"<article><p>{LONG}</p>{listed}<p>{LONG}</p>{listed}</article><div>{listed}</div>"
+    assert htmltext.main_text(page).split("\n\n") == [text, *links, text, *links]
+    # A list of links before furniture is no part of the passage behind it.
+    assert htmltext.main_text(f"<p><a>Menu</a></p><nav>x</nav><p>{LONG}</p>") == text
+
+
 def test_main_texts_columns(spark):
     pages = spark.createDataFrame([(1, "u", PARTS, "x"), (2, None, None, "y"), (None, "v", "<p>z", "z")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: r for r in htmltext.main_texts(pages).collect()}
