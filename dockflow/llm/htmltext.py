@@ -8,7 +8,8 @@ included: lengths only place the surge and the dive, and within an article eleme
 Furniture is what navigation, header, footer, aside, form, script and style elements hold, and elements whose class, id or role
 names an advert, menu, notice, sidebar, share bar or reader comments. A page's own header inside its article counts as text.
 
-Defined cases: null and empty pages give an empty text; unclosed elements, comments and scripts reach to the page's end; repeated rows are
+Defined cases: null and empty pages give an empty text; unclosed elements, comments and scripts reach to the page's end, but a head
+holds nothing back, as its end tag may be omitted; repeated rows are
 each extracted; further columns are ignored. Work grows linearly with a page's length and nothing is cut.
 """
 
@@ -36,7 +37,7 @@ _BLOCKS = frozenset(
     " h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea title head".split())
+_RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
 #: The closing tag of each of them: nothing else ends it, whatever stands between.
 _ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in _RAW}
 _FURNITURE = frozenset("nav footer aside form button select dialog menu".split())
@@ -51,7 +52,7 @@ _NAMES = frozenset(
 def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     if name in _FURNITURE or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body", "main", "article"):
+    if not attributes or name in ("html", "head", "body", "main", "article"):
         return False
     if _HIDDEN.search(attributes):
         return True

@@ -53,6 +53,11 @@ def test_main_text_keeps_linked_lines():
     assert htmltext.main_text(f"<p><a>Menu</a></p><nav>x</nav><p>{LONG}</p>") == text
 
 
+@pytest.mark.parametrize("head", ["<html><head class='nav'><title>T</title>", "<head><meta charset=utf-8><style>p{}</style><link href=x><noscript>n</noscript>"])
+def test_main_text_of_open_heads(head):
+    assert htmltext.main_text(f"{head}<body><p>{LONG}</p>") == htmltext.main_text(f"{head}</head><body><p>{LONG}</p>") == LONG.strip()
+
+
 def test_main_texts_columns(spark):
     pages = spark.createDataFrame([(1, "u", PARTS, "x"), (2, None, None, "y"), (None, "v", "<p>z", "z")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: r for r in htmltext.main_texts(pages).collect()}
