@@ -115,6 +115,35 @@ def corpus():
     return items, rows + [(1, None), (2, "")], planted
 
 
+def test_long_items_are_found():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(n * 100 + j, say(n)) for n in (97, 300, 640, 1000) for j in range(12)]
+    rows = []
+    for _, item in items:
+        own = list(item)
+        for at in sorted(rng.sample(range(len(own)), int(0.2 * len(own))), reverse=True):
+            own[at : at + 1] = rng.choice([[], say(1), [own[at], *say(1)]])
+        rows.append((say(rng.randint(0, 80)), own, say(80)))
+    index = decontaminate.index_of([(i, " ".join(t)) for i, t in items])
+    got = decontaminate.matches(index, *encoded([" ".join(sum(r, [])) for r in rows] + [" ".join(say(3000)), " ".join(items[30][1][:400])]))
+    assert all(a == b for a, b in got) and len(got) >= 0.98 * len(items)
+    for (a, _), (d, place) in got.items():
+        assert d <= int(0.2 * len(items[a][1])) and abs(place - len(rows[a][0])) <= 2
+        if len(items[a][1]) <= 300:
+            text, item = sum(rows[a], []), items[a][1]
+            assert d == brute_distance(item, text[place:]) <= min(brute_distance(item, text[s:]) for s in range(max(0, place - 2), place + 3))
+
+
+def test_distance_anywhere():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(1, 9)).astype(np.uint64), rng.integers(0, 4, rng.integers(0, 14)).astype(np.uint64)
+        d, place = decontaminate.within(a, b)
+        assert d == min(brute_distance(a.tolist(), b[s:].tolist()) for s in range(len(b) + 1)) == brute_distance(a.tolist(), b[place:].tolist())
+
+
 def test_leaks(spark, make):
     items, rows, planted = corpus()
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
