@@ -1,8 +1,9 @@
 """URL filter: rules first, then trust and distrust propagated over the host graph.
 
 The graph's edges are the links in page markup between different hosts and, in both directions, between a host and its
-nearest parent host that also has pages. Trust is personalised PageRank from the hosts of pages that a rule allows; distrust
-is personalised PageRank over the reversed edges from the hosts of pages that a rule blocks (who links to bad hosts is suspect).
+nearest parent host that is also known. Every link target is a host of the graph: one without pages counts as one page, and rules for
+whole hosts make it a seed. Trust is personalised PageRank from the hosts of pages that a rule allows; distrust
+is personalised PageRank over the reversed edges from the hosts that a rule blocks (who links to bad hosts is suspect).
 Scores are put on the scale of pages: a host's distrust times all blocked pages over its own pages is the share of its pages
 that distrust accounts for. A page that no rule decides is blocked if that share exceeds THRESHOLD and the host's trust share.
 
@@ -58,11 +59,17 @@ def located(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return rows.select("*", by(lambda r: r[0] + r[1]).alias("rule"), by(lambda r: r[2]).alias("ruled"))
 
 
-def edges_of(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight) between different hosts that have pages."""
-    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?(https?://[^"'\s>]+)"""), F.lit(1))
-    linked = pages.select(host_of(F.col("url")).alias("src"), F.explode(found).alias("to")).select("src", host_of(F.col("to")).alias("dst"))
-    links = linked.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+def links_of(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight) between different hosts, whether or not the target has pages."""
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
+    linked = pages.select(host_of(F.col("url")).alias("src"), F.explode(found).alias("to"))
+    target = host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to")))
+    named = linked.select("src", target.alias("dst")).where("src <> '' AND dst <> '' AND src <> dst")
+    return named.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def edges_of(links: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(src, dst, weight): the links, and both ways between a host and its nearest parent among ``hosts``."""
     # Every proper suffix of a host; the longest that is a host itself is its parent.
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -70,8 +77,7 @@ def edges_of(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     known = above.join(hosts.select(F.col("host").alias("parent")), "parent")
     family = known.groupBy("host").agg(F.min_by("parent", "depth").alias("parent"))
     both = family.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(family.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
-    inside = links.join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst", "weight")
-    return inside.unionByName(both.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return links.unionByName(both.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def personalised(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
@@ -102,8 +108,16 @@ def judged(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, thresho
     """One row per page: page_id, host, path, rule, verdict, and the host's trust and distrust."""
     rows = located(pages, rules)
     by = lambda verdict: F.count_if(F.col("ruled") == verdict).alias(verdict)
-    hosts = staged(rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), by("allow"), by("block")), "hosts")
-    edges = staged(edges_of(pages, hosts.select("host")), "edges")
+    links = staged(links_of(pages), "links")
+    crawled = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), by("allow"), by("block"))
+    # A linked host without pages counts as one page, which only rules for whole hosts decide.
+    far = links.select(F.col("dst").alias("host")).distinct().join(crawled, "host", "left_anti")
+    whole = tuple(r for r in rules if r[1] == "/")
+    far = far.withColumn("ruled", _decided(F.col("host"), F.lit("/"), whole, lambda r: r[2]))
+    is_ = lambda verdict: F.coalesce(F.col("ruled") == verdict, F.lit(False)).cast("bigint").alias(verdict)
+    far = far.select("host", F.lit(1).cast("bigint").alias("pages"), is_("allow"), is_("block"))
+    hosts = staged(crawled.unionByName(far), "hosts")
+    edges = staged(edges_of(links, hosts.select("host")), "edges")
     allowed, blocked = hosts.agg(F.sum("allow"), F.sum("block")).first()
     seed = lambda verdict, n: hosts.where(f"`{verdict}` > 0").select(F.lit(verdict).alias("kind"), "host", (F.col(verdict) / (n or 1)).alias("seed"))
     ahead = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight")

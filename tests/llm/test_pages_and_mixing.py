@@ -83,6 +83,21 @@ def test_verdicts(spark):
     assert linkgraph.judged(pages).count() == len(PAGES) and linkgraph.judged(pages.limit(0)).count() == 0
 
 
+def test_links_to_hosts_without_pages(spark):
+    a = lambda *hosts: "".join(f"<a href='{h}'>x</a>" for h in hosts)
+    rows = [
+        (1, "http://farm.com/", a("http://x.net/1", "https://y.net", "http://z.net/")), (2, "http://plain.com/", a("http://other.com/", "/own")),
+        (3, "http://slashes.com/", a("//p.net/1", "//q.net", "//r.net/")), (4, "http://start.com/", a(*[f"http://far{i}.com/" for i in range(2)])),
+        (5, "http://de.com/", a("http://www.example.com/")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in linkgraph.judged(pages).collect()}
+    assert len(got) == 5 and [got[i].verdict for i in range(1, 6)] == ["block", "allow", "block", "allow", "allow"]
+    assert got[1].distrust > 1 and got[2].distrust == got[4].distrust == got[5].distrust == 0
+    links = {(r.src, r.dst) for r in linkgraph.links_of(pages).collect()}
+    assert ("start.com", "far1.com") in links and ("slashes.com", "q.net") in links and len(links) == 10
+
+
 def test_pagerank_by_matrix(spark):
     rng = np.random.default_rng(2)
     n = 12
