@@ -13,11 +13,14 @@ cells. The join back is broadcast by Spark only at a measured size; else Spark s
 
 Defined cases: null source, language or topic are groups of their own; null and empty texts have no tokens, weight 1 where their whole
 cell has none, and are sampled like others; a null id is hashed as the empty text; rows that repeat an id are decided alike;
-an empty table gives an empty result; further columns are ignored (``weights``) or passed through (``sampled``).
+marginals that still do not fit after ROUNDS rounds, and a KEEP that the cells cannot reach, are reported as warnings; an empty table gives
+an empty result; further columns are ignored (``weights``) or passed through (``sampled``).
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +92,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         unstage(now)
         now = after
         # All marginals fit when a whole round changes nothing.
-        if (now.agg(F.max(F.greatest(*factors))).first()[0] or 0.0) <= tolerance:
+        off = now.agg(F.max(F.greatest(*factors))).first()[0] or 0.0
+        if off <= tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {rounds} rounds; its last round still changed a cell by {off:.2g} of its mass, so the marginals do not all fit", stacklevel=2)
     return now.select(*cells.columns, "mass")
 
 
@@ -101,11 +107,17 @@ def scale_of(cells: DataFrame, keep: float) -> float:
     if not total or keep >= 1:
         return float("inf")
     high = float(top or 1.0)
-    for _ in range(3):  # each pass narrows the scale 32 times, with one aggregate over the cells
+    while True:  # each pass narrows the scale 32 times, with one aggregate over the cells
         grid = [low + (high - low) * i / 32 for i in range(33)]
         got = cells.agg(*[F.sum(F.least(F.col("tokens"), F.col("mass") * s)).alias(f"s{i}") for i, s in enumerate(grid)]).first()
         i = max(1, next((i for i, v in enumerate(got) if v >= keep * total), 32))
         low, high = grid[i - 1], grid[i]
+        if got[32] < keep * total * (1 - TOLERANCE):
+            warnings.warn(f"cells with mass hold only {got[32] / total:.4f} of all tokens, so {keep} of them cannot be kept", stacklevel=2)
+            break
+        # The expected share fits, or the scale has no more digits.
+        if got[i] - keep * total <= TOLERANCE * total or high - low <= 1e-15 * high:
+            break
     return high
 
 

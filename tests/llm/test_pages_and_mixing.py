@@ -163,6 +163,23 @@ def test_raking_reaches_the_marginals(make):
     assert np.allclose(mass, raked.mass, rtol=1e-4)
 
 
+def test_scale_with_a_cell_of_almost_no_mass(spark):
+    cells = [(1000.0, 700.0), (1000.0, 1309.0), (10.0, 1e-6)]
+    s = mixing.scale_of(spark.createDataFrame(cells, "tokens double, mass double"), 0.8)
+    assert abs(sum(min(t, m * s) for t, m in cells) / 2010 - 0.8) < 1e-4
+    with pytest.warns(UserWarning, match="cannot be kept"):
+        mixing.scale_of(spark.createDataFrame([(10.0, 10.0), (90.0, 0.0)], "tokens double, mass double"), 0.8)
+
+
+def test_raking_reports_misfit(make):
+    # Source a is only en and source b only de, so sources and languages cannot have these shares at once.
+    docs = make([(1, "one two", "en", "a"), (2, "one two", "de", "b")])
+    cells = mixing.cells_of(mixing.described(docs))
+    shares = lambda d, rows: docs.sparkSession.createDataFrame(rows, f"{d} string, target double")
+    with pytest.warns(UserWarning, match="do not all fit"):
+        mixing.rake(cells, {"source": shares("source", [("a", 0.9), ("b", 0.1)]), "lang": shares("lang", [("en", 0.5), ("de", 0.5)])}, rounds=3)
+
+
 def test_sampling(make):
     docs = make(mix_rows())
     got = mixing.weights(docs).toPandas()
