@@ -25,20 +25,57 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Everything that this application stages lies here, so that one call of ``clear_staged`` removes it."""
+    return f"{shared_folder(spark)}/dockflow-{spark.sparkContext.applicationId}"
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_folder(df.sparkSession, folder)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that this application staged; results that are still to be read must have been written elsewhere."""
+    delete_folder(spark, run_folder(spark))
+
+
+#: A key with more than this share of the rows is spread over SALTS tasks by ``looked_up``.
+HEAVY_SHARE = 1024
+SALTS = 64
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, size: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a ``key`` and the number of left rows with that key in ``size``.
+
+    Keys with more than ``total`` / HEAVY_SHARE rows, of which there are at most HEAVY_SHARE, get a salt from the ``spread`` columns of
+    ``left``; their right rows are repeated for every salt. Only those keys are broadcast.
+    """
+    heavy = F.col(size) * HEAVY_SHARE > total
+    hot = right.where(heavy).select(key, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    one = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return one.join(right.withColumn("_salt", F.explode(salts)), [key, "_salt"], how).drop("_salt")
 
 
 def held_out(id_column: Column, modulus: int, remainder: int) -> Column:

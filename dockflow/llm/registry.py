@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockflow.llm import decontaminate, exact_dedup, htmltext, langid, linkgraph, mixing, quality, simhash, suffix_dedup, toxicity
+from dockflow.llm import decontaminate, exact_dedup, htmltext, langid, linkgraph, mixing, quality, simhash, suffix_dedup, toxicity, warc
 from dockflow.llm.common import table
 
 
@@ -50,11 +50,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_main_text, op3_toxicity, op4_quality, op5_url_filter, op6_mixing, op7_decontamination, op8_exact_dedup,
-        op9_suffix_dedup, op10_simhash,
+        op9_suffix_dedup, op10_simhash, op13_warc,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
