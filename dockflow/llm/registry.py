@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockflow.llm import decontaminate, exact_dedup, htmltext, langid, linkgraph, mixing, quality, simhash, spelling, suffix_dedup, toxicity, warc
+from dockflow.llm import decontaminate, exact_dedup, htmltext, langid, linkgraph, mixing, quality, simhash, spelling, suffix_dedup, toxicity, trie, warc
 from dockflow.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_main_text, op3_toxicity, op4_quality, op5_url_filter, op6_mixing, op7_decontamination, op8_exact_dedup,
-        op9_suffix_dedup, op10_simhash, op12_spelling, op13_warc,
+        op9_suffix_dedup, op10_simhash, op11_prefix_trie, op12_spelling, op13_warc,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_spelling": spelling.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
