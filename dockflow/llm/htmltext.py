@@ -5,8 +5,11 @@ zero, are summed over sliding windows of WINDOW lines. Where the sum surges abov
 the unbroken lines just before it; it ends where the sum dives to zero. The text between is kept, block by block, lines that are one link
 included: lengths only place the surge and the dive, and within an article element a passage dives only at the article's end. Up to WINDOW - 1 such lines just before a passage's first text belong to it.
 
-Furniture is what navigation, header, footer, aside, form, script and style elements hold, and elements whose class, id or role
-names an advert, menu, notice, sidebar, share bar or reader comments. A page's own header inside its article counts as text.
+Furniture is what navigation, header, footer, aside, script and style elements hold, and elements whose class, id or role has a token that is, begins with or
+ends in a name of an advert, menu, notice, sidebar, share bar or reader comments; tokens like has-sidebar, no-comments or ad-free say what an element is not. A page's own
+header inside its article counts as text. An element that is named so is no furniture if it holds the page's main element or longest article (one of at least a fifth of the page's text). On a page without
+either, a compound name and a form, which else is furniture too, count for nothing if the element holds over half of the page's text outside links.
+Outside an article a short last paragraph after WINDOW lines of nothing but links lies behind the dive and is left out.
 
 Defined cases: null and empty pages give an empty text; unclosed elements, comments and scripts reach to the page's end, but a head
 holds nothing back, as its end tag may be omitted; repeated rows are
@@ -27,10 +30,15 @@ WINDOW = 3
 #: A surge: this many characters within a window, or this share of the page's fullest window if that is less.
 SURGE, SHARE = 80, 0.2
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Outside quotes a tag ends at the next < at the latest, so that an unclosed one is not read to the page's end.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^<>]*+>", re.S
+)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none))", re.I)
 _WORDS = re.compile(r"[a-z]+|\d+")
+_DENIED = frozenset("has with without no not non".split())
+_ENDED = frozenset("free off less none".split())
 # Element names of the HTML standard.
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5"
@@ -40,7 +48,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
 #: The closing tag of each of them: nothing else ends it, whatever stands between.
 _ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in _RAW}
-_FURNITURE = frozenset("nav footer aside form button select dialog menu".split())
+_FURNITURE = frozenset("nav footer aside button select dialog menu".split())
 # End of fixed values.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer"
@@ -49,14 +57,115 @@ _NAMES = frozenset(
 )
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _FURNITURE or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "head", "body", "main", "article"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(not _NAMES.isdisjoint(_WORDS.findall(m.group(1).lower())) for m in _NAMED.finditer(attributes))
+def _named(attributes: str) -> str:
+    """Whether class, id or role name furniture: "whole" for a token that is a name, "part" for one that begins or ends with one, else empty."""
+    found = ""
+    for m in _NAMED.finditer(attributes):
+        for token in m.group(1).strip("\"'").lower().split():
+            parts = _WORDS.findall(token)
+            if not parts or not _DENIED.isdisjoint(parts) or parts[-1] in _ENDED:
+                continue
+            if len(parts) == 1 and parts[0] in _NAMES:
+                return "whole"
+            if parts[0] in _NAMES or parts[-1] in _NAMES:
+                found = "part"
+    return found
+
+
+def _events(page: str) -> list[tuple]:
+    """(name, attributes, text before): tags in page order; a closing tag's name starts with "/", a skipped script's is "" and the last one's None."""
+    out, at, since = [], 0, 0
+    while m := _MARKUP.search(page, at):
+        text, at = page[since : m.start()], m.end()
+        since = at
+        name = (m.group(2) or "").lower()
+        if not name:
+            out.append(("!", "", text))
+        elif name in _RAW:
+            out.append((name if name in _BLOCKS else "!", "", text))
+            if not m.group(1) and not m.group(3).endswith("/"):
+                end = _ENDS[name].search(page, at)
+                body = page[at : end.start() if end else len(page)]
+                since = at = end.end() if end else len(page)
+                if body and not body.isspace():
+                    out.append(("", "", ""))
+                if name in _BLOCKS:
+                    out.append((name, "", ""))
+        else:
+            out.append(("/" + name if m.group(1) else name, m.group(3), text))
+    out.append((None, "", page[since:]))
+    return out
+
+
+def _nested(events: list[tuple]):
+    """(event number, opened names, closed ones): which elements every tag opens and closes, with the end tags that may be omitted."""
+    stack, count = [], {}
+    for i, (name, _, _) in enumerate(events):
+        closed = []
+
+        def pop(closed=closed):
+            at, tag = stack.pop()
+            count[tag] -= 1
+            closed.append((at, tag))
+
+        opened = False
+        if name and name[0] == "/":
+            if count.get(name[1:]):
+                while stack[-1][1] != name[1:]:
+                    pop()
+                pop()
+        elif name and name != "!" and name not in _VOID and name not in _RAW:
+            if name in ("p", "li", "a") and stack and stack[-1][1] == name:
+                pop()
+            stack.append((i, name))
+            count[name] = count.get(name, 0) + 1
+            opened = True
+        elif name is None:
+            while stack:
+                pop()
+        yield i, opened, closed
+
+
+def _furniture(events: list[tuple]) -> set[int]:
+    """The events that open furniture."""
+    named, spans, longest, mains, links, muted, text, articles = {}, {}, None, [], 0, 0, 0, 0
+    bad = set()
+    for i, opened, closed in _nested(events):
+        name, attributes, before = events[i]
+        if not links and not muted and before:
+            text += len(before.strip())
+        for at, tag in closed:
+            links -= tag == "a"
+            articles -= tag == "article"
+            muted -= tag in _FURNITURE
+            spans[at] = (text - spans[at], i)
+            if tag == "article" and (longest is None or spans[at][0] > spans[longest][0]):
+                longest = at
+            elif tag == "main":
+                mains.append(at)
+        if not opened:
+            continue
+        spans[i] = text
+        if name in _FURNITURE or name == "header" and not articles:
+            bad.add(i)
+        elif name == "form":
+            named[i] = "part"
+        elif attributes and name not in ("html", "head", "body", "main", "article"):
+            if _HIDDEN.search(attributes):
+                bad.add(i)
+            elif kind := _named(attributes):
+                named[i] = kind
+        links += name == "a"
+        articles += name == "article"
+        muted += name in _FURNITURE
+    # A teaser among related links may be the only article of a page; it is not what the page is about.
+    cores = mains + ([] if longest is None or 5 * spans[longest][0] < text else [longest])
+    for i, kind in named.items():
+        held, end = spans[i]
+        if any(i < core and spans[core][1] <= end for core in cores) or not cores and kind == "part" and 2 * held > text:
+            continue
+        bad.add(i)
+    return bad
 
 
 def _plain(pieces: list[str]) -> str:
@@ -72,10 +181,9 @@ def lines(page: str) -> tuple[list[str], list[int], list[int]]:
     plain: list[int] = []
     within: list[int] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []
     own: list[str] = []
     furniture = links = articles = opened = 0
-    at, skipped = 0, False
+    skipped = False
 
     def close_line():
         nonlocal skipped
@@ -97,50 +205,26 @@ def lines(page: str) -> tuple[list[str], list[int], list[int]]:
             if not links:
                 own.append(piece)
 
-    while m := _MARKUP.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name:
-            continue
-        closing = bool(m.group(1))
-        if name in _BLOCKS:
+    events = _events(page)
+    bad = _furniture(events)
+    for i, starts, closed in _nested(events):
+        name, _, before = events[i]
+        add(before)
+        if name is None or name.lstrip("/") in _BLOCKS:
             close_line()
         elif name == "br":
             add(" ")
-        if name in _RAW:
-            if not closing and not m.group(3).endswith("/"):
-                end = _ENDS[name].search(page, at)
-                body = page[at : end.start() if end else len(page)]
-                skipped = skipped or not body.isspace() and body != ""
-                at = end.end() if end else len(page)
-                if name in _BLOCKS:
-                    close_line()
-            continue
-        if name in _VOID:
-            continue
-        if not closing:
-            if name in ("p", "li", "a") and stack and stack[-1][0] == name:
-                _, was = stack.pop()
-                furniture -= was
-                links -= name == "a"
-            bad = _is_furniture(name, m.group(3), articles > 0)
-            stack.append((name, bad))
-            furniture += bad
+        elif name == "":
+            skipped = True
+        for at, tag in closed:
+            furniture -= at in bad
+            links -= tag == "a"
+            articles -= tag == "article"
+        if starts:
+            furniture += i in bad
             links += name == "a"
             opened += name == "article" and not articles
             articles += name == "article"
-            continue
-        if any(tag == name for tag, _ in stack):
-            while True:
-                tag, was = stack.pop()
-                furniture -= was
-                links -= tag == "a"
-                articles -= tag == "article"
-                if tag == name:
-                    break
-    add(page[at:])
-    close_line()
     return out, plain, within
 
 
