@@ -23,7 +23,8 @@ from dockflow.llm.common import staged, unstage
 
 #: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-ROUNDS = 12
+#: Rounds end when those between two written tables moved less than this share of a kind's mass.
+TOLERANCE = 1e-3
 #: Rounds between two written score tables.
 ROUNDS_KEPT = 4
 DAMPING = 0.85
@@ -80,31 +81,36 @@ def edges_of(links: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(both.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def personalised(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(kind, host, score): PageRank along (kind, src, dst, weight), restarted at (kind, host, seed), a graph of its own for each kind.
 
     A kind's seeds sum to 1. Mass at hosts without outgoing edges returns to the seeds. That is the same, up to one factor, as
     letting it go, so it is let go and a kind's scores are divided by their sum at the end: no round needs a total of its own.
-    All kinds go through one join and one partial aggregate a round; the table is written every ROUNDS_KEPT rounds.
+    All kinds go through one join and one partial aggregate a round; the table is written every ROUNDS_KEPT rounds and compared with the one before, until it
+    has settled. Every round shrinks what is unsettled by ``damping`` at least, so the rounds are bounded by the tolerance alone, on any graph.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     share = (F.col("weight") / F.col("total") * damping).alias("share")
     steps = staged(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", share), "steps")
     restart = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    score, written = seeds.select("kind", "host", F.col("seed").alias("score")), None
-    for done in range(1, rounds + 1):
-        moved = steps.join(score, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score"))
-        score = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if done % ROUNDS_KEPT == 0 or done == rounds:
-            score = staged(score, "scores")
-            if written is not None:
-                unstage(written)
-            written = score
+    written, off = staged(seeds.select("kind", "host", F.col("seed").alias("score")), "scores"), 1.0
+    while off > tolerance:
+        score = written
+        for _ in range(ROUNDS_KEPT):
+            moved = steps.join(score, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score"))
+            score = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = staged(score, "scores")
+        both = score.unionByName(written.select("kind", "host", (-F.col("score")).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("moved"))
+        by_kind = both.groupBy("kind").agg(F.sum(F.abs("moved")).alias("moved"))
+        off = by_kind.agg(F.max("moved")).first()[0] or 0.0
+        unstage(written)
+        written = score
+    score = written
     total = score.groupBy("kind").agg(F.sum("score").alias("total"))
     return score.join(total, "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
 
 
-def judged(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple = RULES, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the host's trust and distrust."""
     rows = located(pages, rules)
     by = lambda verdict: F.count_if(F.col("ruled") == verdict).alias(verdict)
@@ -122,7 +128,7 @@ def judged(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, thresho
     seed = lambda verdict, n: hosts.where(f"`{verdict}` > 0").select(F.lit(verdict).alias("kind"), "host", (F.col(verdict) / (n or 1)).alias("seed"))
     ahead = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight")
     back = edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    found = personalised(ahead.unionByName(back), seed("allow", allowed).unionByName(seed("block", blocked)), rounds)
+    found = personalised(ahead.unionByName(back), seed("allow", allowed).unionByName(seed("block", blocked)), tolerance)
     of = lambda verdict, n: F.coalesce(F.max(F.when(F.col("kind") == verdict, F.col("score"))), F.lit(0.0)) * float(n or 0)
     shares = found.groupBy("host").agg(of("allow", allowed).alias("trust"), of("block", blocked).alias("distrust"))
     part = lambda c: (F.coalesce(c, F.lit(0.0)) / F.col("pages")).alias(c)
