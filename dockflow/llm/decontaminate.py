@@ -10,7 +10,7 @@ within floor(EDITS * n) word insertions, deletions and replacements. Windows sta
 3. REPEATS keys for each walk hash SAMPLE sampled steps; a window that shares a key with an item is a candidate.
 4. The exact distance decides.
 
-Walks of long items drift apart, so an item of more than WHOLE words goes through steps 1 to 4 in segments of at most SEGMENT words.
+Walks of long items drift apart, so an item of more than SEGMENT words goes through steps 1 to 4 in segments of at most SEGMENT words.
 Edits of a fifth of the item leave, by the pigeonhole principle, at least one segment with edits of at most a fifth of its own words. Around every
 segment found, the exact distance of the whole item to any run of words decides.
 
@@ -35,8 +35,8 @@ EDITS = 0.2
 WALKS, REPEATS, SAMPLE = 8, 8, 3
 #: Text of benchmark items whose index is built and shipped at once.
 BLOCK_BYTES = 8 << 20
-#: Items of more words are looked for in segments of at most SEGMENT words.
-WHOLE, SEGMENT = 96, 32
+#: Items of more words are looked for in segments of at most so many.
+SEGMENT = 32
 _INSIDE = word_bytes(False)
 _MAP_BITS = 19
 
@@ -107,7 +107,7 @@ def within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def segments(n: int) -> list[tuple[int, int]]:
     """(first word, words) of an item's parts of nearly equal size; a shorter item is one part."""
-    parts = 1 if n <= WHOLE else -(-n // SEGMENT)
+    parts = 1 if n <= SEGMENT else -(-n // SEGMENT)
     cuts = [n * i // parts for i in range(parts + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
