@@ -7,7 +7,7 @@ have few rows each and go through an ordinary shuffle.
 
 Defined cases: a null text counts as empty; an id that is null sorts after all others; rows that repeat both id and text
 count in ``group_size`` and are all marked like their first (``exact_dedup``), while ``without_copies`` keeps one row of
-them; an empty table gives an empty result; further columns are ignored and may have any name.
+them; an empty table gives an empty result; further columns are ignored or passed through and may have any name.
 """
 
 from __future__ import annotations
@@ -70,15 +70,15 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = staged(exact_dedup(docs, id_col, text_col), "exact-dedup")
     key = [F.col(id_col).alias("_id"), F.unhex(digest(F.col(text_col))).alias("_sha")]
     pair = [F.col("doc_id").alias("_did"), F.unhex("text_sha256").alias("_dsha")]
-    keyed = docs.select("*", *key)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *key)
     same = lambda other: F.col("_id").eqNullSafe(other["_did"]) & (F.col("_sha") == other["_dsha"])
     dropped = found.where("NOT kept").select(*pair)
     kept = keyed.join(dropped, same(dropped), "left_anti")
     again = staged(found.where("kept").groupBy(*pair).count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
-        return kept.select(docs.columns)
+        return kept.select("row.*")
     once = kept.join(again, same(again), "left_semi").dropDuplicates(["_id", "_sha"])
-    return kept.join(again, same(again), "left_anti").unionByName(once).select(docs.columns)
+    return kept.join(again, same(again), "left_anti").unionByName(once).select("row.*")
 
 
 ORACLE_SQL = r"""

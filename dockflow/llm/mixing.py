@@ -48,7 +48,7 @@ def form_of(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with _source, _lang, _topic (never null), _tokens and the place _u in [0, 1) that decides."""
+    """(row, doc_id, _source, _lang, _topic, _tokens, _u): all columns of ``docs`` in one, groups that are never null, and the place in [0, 1) that decides."""
     text = F.coalesce(F.col("text"), F.lit(""))
     topic = F.col("topic") if "topic" in docs.columns else form_of(text)
     words = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
@@ -56,9 +56,8 @@ def described(docs: DataFrame) -> DataFrame:
     mark = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     place = F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / float(16**13)
     group = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    return docs.withColumns(
-        {"_source": group(F.col("source")), "_lang": group(F.col("lang")), "_topic": group(topic), "_tokens": tokens.cast("long"), "_u": place}
-    )
+    groups = [group(c).alias(f"_{d}") for d, c in (("source", F.col("source")), ("lang", F.col("lang")), ("topic", topic))]
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *groups, tokens.cast("long").alias("_tokens"), place.alias("_u"))
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -121,8 +120,8 @@ def scale_of(cells: DataFrame, keep: float) -> float:
     return high
 
 
-def _joined(docs: DataFrame, keep: float, temper: float, targets: dict[str, DataFrame] | None) -> DataFrame:
-    rows = described(docs)
+def _joined(rows: DataFrame, keep: float, temper: float, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """``rows`` of ``described`` with _weight and _p."""
     cells = staged(cells_of(rows), "cells")
     raked = rake(cells, targets or {d: targets_of(cells, d, temper) for d in DIMENSIONS})
     scale = scale_of(raked, keep)
@@ -133,13 +132,14 @@ def _joined(docs: DataFrame, keep: float, temper: float, targets: dict[str, Data
 
 
 def weights(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept. The texts are read once."""
     columns = [F.col(f"_{d}").alias(d) for d in DIMENSIONS] + [F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight")]
-    joined = _joined(docs, keep, temper, targets)
+    joined = _joined(staged(described(docs).drop("row"), "described"), keep, temper, targets)
     return joined.select("doc_id", *columns, F.col("_p").alias("probability"), (F.col("_u") < F.col("_p")).alias("kept"))
 
 
 def sampled(docs: DataFrame, keep: float = KEEP, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The sampled rows of ``docs``, all columns, and mix_weight. Texts are not shuffled: small cells come to them."""
-    joined = _joined(docs, keep, temper, targets)
-    return joined.where("_u < _p").select(*docs.columns, F.col("_weight").alias("mix_weight"))
+    """The sampled rows of ``docs``, all columns, and mix_weight, which replaces a column of that name. Texts are not shuffled: small cells come to them."""
+    joined = _joined(described(docs), keep, temper, targets)
+    columns = [F.col(f"row.{c}").alias(c) for c in docs.columns if c.lower() != "mix_weight"]
+    return joined.where("_u < _p").select(*columns, F.col("_weight").alias("mix_weight"))
