@@ -159,21 +159,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, which orders rows by id and tells them apart by id and text."""
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
-    return docs.withColumn("_row", row)
+#: The key of ``keyed_rows``.
+ROW = "_row"
 
 
-def least_of_each(keyed: DataFrame, found: DataFrame, columns: list) -> DataFrame:
-    """One row of each component of ``found`` (doc_id, component_id: a ``_row`` each)."""
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct()
-    kept = keyed.join(drop, "_row", "left_anti")
-    again = staged(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).count().where("count > 1").drop("count"), "repeated")
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(ROW, text, row): ROW orders rows by id and tells them apart by id and text; ``row`` holds all columns of ``docs``, whatever their names are."""
+    text = F.coalesce("text", F.lit(""))
+    # 128 bits tell the texts of one id apart in any table.
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("text"), F.xxhash64(F.lit(1), text).alias("more"))
+    return docs.select(row.alias(ROW), "text", F.struct(*docs.columns).alias("row"))
+
+
+def least_of_each(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that are the least of their component in ``found`` (doc_id, component_id: a ROW each), one row each."""
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW)).distinct()
+    kept = keyed.join(drop, ROW, "left_anti")
+    again = staged(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(ROW)).count().where("count > 1").drop("count"), "repeated")
     if again.isEmpty():
-        return kept.select(columns)
-    once = kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.join(again, "_row", "left_anti").select(columns).unionByName(once.select(columns))
+        return kept.select("row.*")
+    once = kept.join(again, ROW, "left_semi").dropDuplicates([ROW])
+    return kept.join(again, ROW, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def without_near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -183,4 +189,4 @@ def without_near_copies(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     are anti-joined; Spark broadcasts them only where their measured size allows it.
     """
     keyed = keyed_rows(docs)
-    return least_of_each(keyed, staged(near_duplicates(keyed, "_row", "text", k), "near-duplicates"), docs.columns)
+    return least_of_each(keyed, staged(near_duplicates(keyed, ROW, "text", k), "near-duplicates"))

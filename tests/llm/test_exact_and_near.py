@@ -191,3 +191,45 @@ def test_stage_drops_all_similar_texts(spark, make):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == want
     assert kept.columns == docs.columns and similar.without_similar(docs.limit(0)).count() == 0
+
+
+def counted_pairs(monkeypatch):
+    """Numbers of pairs that are verified, call by call."""
+    seen, plain = [], similar.verified
+
+    def verified(pairs, texts):
+        seen.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(similar, "verified", verified)
+    return seen
+
+
+def test_a_key_of_very_many_near_copies(spark, monkeypatch):
+    """20,000 edited copies of one text share keys; pairs with each other are not listed, and all are found."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(20_000):
+        own = list(base)
+        for at in rng.sample(range(80), rng.choice([0, 1, 1, 1])):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    seen = counted_pairs(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.doc_id for r in similar.without_similar(docs).collect()] == [0]
+    assert sum(seen) < 60 * len(rows)
+
+
+def test_a_passage_that_many_texts_share(spark, monkeypatch):
+    """Texts of which over half is one passage meet in keys but are told apart by their own words; a few real copies among them are found."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(130))
+    rows = [(i, passage + " " + " ".join(f"u{i}.{j}" for j in range(60))) for i in range(3000)]
+    rows += [(5000 + i, rows[i * 100][1].replace(f"u{i * 100}.59", f"v{i}")) for i in range(20)]
+    monkeypatch.setattr(similar, "BANDS", 20)
+    monkeypatch.setattr(similar, "ROWS", 1)  # keys that nearly all of these texts share
+    seen = counted_pairs(monkeypatch)
+    docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in similar.without_similar(docs).select("doc_id").collect()}
+    assert kept == set(range(3000)) and seen[-1] <= 20 and sum(seen) < 60 * len(rows)

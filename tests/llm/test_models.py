@@ -136,6 +136,22 @@ def test_long_items_are_found():
             assert d == brute_distance(item, text[place:]) <= min(brute_distance(item, text[s:]) for s in range(max(0, place - 2), place + 3))
 
 
+def test_items_between_one_and_three_segments():
+    """Edited to the limit, at every length between the shortest and the longest that used to be read in one walk."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(n * 1000 + j, say(n)) for n in (33, 45, 61, 75, 90, 96) for j in range(60)]
+    rows = []
+    for _, item in items:
+        own = list(item)
+        for at in sorted(rng.sample(range(len(own)), int(0.2 * len(own))), reverse=True):
+            own[at : at + 1] = rng.choice([[], say(1), [own[at], *say(1)]])
+        rows.append(" ".join(say(rng.randint(0, 40)) + own + say(40)))
+    got = decontaminate.matches(decontaminate.index_of([(i, " ".join(t)) for i, t in items]), *encoded(rows))
+    assert all(a == b for a, b in got) and len(got) >= 0.99 * len(items)
+
+
 def test_distance_anywhere():
     rng = np.random.default_rng(4)
     for _ in range(200):
