@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockflow.functions.status import usable
-from dockflow.operators.greedy import OUTPUT, SOURCE, TARGET, assign_batches
+from dockflow.operators.greedy import END, OUTPUT, assign_batches
 from dockflow.operators.quality import named_counts
 
 ENDS = (
@@ -74,32 +74,24 @@ def snapshot_station_counts(observations, snapshot="snapshot_at"):
     return observations.groupBy(snapshot).agg(F.count("*").alias("stations"))
 
 
-def snapshot_sides(ends, snapshot="snapshot_at"):
-    """One row per snapshot that has both sides, with its targets and sources as ordered arrays.
+def ordered_ends(ends, snapshot="snapshot_at"):
+    """Active ends by snapshot: its sources by id, then its targets in service order.
 
-    Spark groups, orders and filters; a snapshot without a counterpart never
-    reaches Python. The arrays hold `active_ends` only, about 60 bytes each: a
-    snapshot's stations are the physical docks of one city.
+    Rows are sorted, not collected: the assignment holds the open sources of one snapshot and meets the targets one by one. Snapshots
+    without a counterpart stay behind.
     """
-    target, source = F.col("role") == "target", F.col("role") == "source"
+    target = F.col("role") == "target"
     rows = active_ends(ends).withColumns(
         {
+            "is_target": target,
+            "amount": F.when(target, F.col("need")).otherwise(F.col("supply")),
             "room": F.when(target, F.least("need", "docks", "target_safe")).otherwise(F.least("supply", "bikes", "source_safe")),
-            "rank": F.when(target, -F.col("need")).otherwise(0),
         }
     )
-    fields = ("rank", "station_id", "need", "supply", "room", "lat", "lon", "expires_at")
-    packed = F.struct(*fields)
-    sides = rows.groupBy(snapshot).agg(
-        F.array_sort(F.collect_list(F.when(target, packed))).alias("targets"),
-        F.array_sort(F.collect_list(F.when(source, packed))).alias("sources"),
-    )
-    both = sides.where((F.size("targets") > 0) & (F.size("sources") > 0))
-    return both.select(
-        snapshot,
-        *[F.col(f"targets.{n}").alias(f"t_{n}") for n in TARGET],
-        *[F.col(f"sources.{n}").alias(f"s_{n}") for n in SOURCE],
-    )
+    both = rows.groupBy(snapshot).agg(F.bool_or("is_target").alias("targets"), F.bool_or(~F.col("is_target")).alias("sources"))
+    used = rows.join(both.where("targets AND sources").select(snapshot), snapshot, "left_semi")
+    order = [F.col(snapshot), F.col("is_target"), F.when(F.col("is_target"), -F.col("amount")), F.col("station_id")]
+    return used.select(snapshot, *END).repartition(snapshot).sortWithinPartitions(*order)
 
 
 def rebalance(ends, snapshot="snapshot_at"):
@@ -116,7 +108,7 @@ def rebalance(ends, snapshot="snapshot_at"):
         + [T.StructField(n, T.IntegerType()) for n in OUTPUT[2:7]]
         + [T.StructField("expires_at", kinds["expires_at"])]
     )
-    return snapshot_sides(ends, snapshot).mapInPandas(lambda batches: assign_batches(batches, snapshot), schema)
+    return ordered_ends(ends, snapshot).mapInPandas(lambda batches: assign_batches(batches, snapshot), schema)
 
 
 def with_suggestion_id(suggestions, snapshot_id="snapshot_id"):

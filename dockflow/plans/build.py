@@ -1,4 +1,4 @@
-"""The batch build: manifest files to a committed release."""
+"""The batch build: manifest files to a committed release, or to evidence of why not."""
 
 import calendar
 
@@ -9,8 +9,9 @@ from dockflow.functions.hashing import dataset_id
 from dockflow.operators import flow, stations, trips
 from dockflow.operators.trips import GateError
 from dockflow.schemas import CONTRACT_VERSION
-from dockflow.sinks.release import TABLE_PATHS, commit_release, new_attempt, write_table
-from dockflow.sources.manifest import count_mismatches, load_manifest, members, read_manifest
+from dockflow.sinks.release import TABLE_PATHS, commit_release, exists, new_attempt, quarantine, write_evidence, write_table
+from dockflow.sources.inventory import inventory, manifest_differences
+from dockflow.sources.manifest import count_mismatches, expected_count, load_manifest, members, read_manifest
 from dockflow.sources.metadata import content_version, load_metadata
 from dockflow.sources.trips_csv import read_manifest_trips
 
@@ -43,10 +44,18 @@ def stage_typed(records, source_month, batch_id, path, wall_clock="ltz"):
         F.count_if(reason == "BLANK_REQUIRED_FIELD").alias("blank_required_field"),
         F.count_if(reason == "UNPARSED_TIME").alias("unparsed_time"),
     )
-    observed.drop("bad_header").write.mode("errorifexists").parquet(path)
+    refused = F.when(F.col("bad_header"), "BAD_HEADER").when(F.col("malformed"), "MALFORMED").otherwise(reason)
+    observed.withColumn("refused", refused).drop("bad_header").write.mode("errorifexists").parquet(path)
     return seen.get
 
 
+def check_files(spark, raw_root, manifest_members):
+    """Refuse files that are missing, extra or of another size before any of them is read."""
+    found = manifest_differences(manifest_members, inventory(spark, raw_root, digest=False)).orderBy("filename").take(10)
+    if found:
+        raise GateError(f"files differ from the manifest: {[r.asDict() for r in found]}")
+
+
 def check_source(counters, mismatches):
     """Refuse the batch on any gate counter or file count difference."""
     broken = {name: n for name, n in counters.items() if name != "rows" and n}
@@ -97,7 +106,11 @@ def build_tables(spark, typed, metadata, built_at, stage, release_id):
 
 
 def build_release(spark, raw_root, manifest_path, metadata_path, source_month, root, built_at, wall_clock="ltz", ods_count=None, export=True):
-    """Build and commit the release of one month; running it again validates and returns the committed one."""
+    """Build and commit the release of one month; running it again validates and returns the committed one.
+
+    Every attempt leaves evidence beside its folder, PASS or FAIL with what it has counted. A refused one also leaves the records that were refused, by reason;
+    they were marked in the pass that parsed them. Neither is ever overwritten.
+    """
     manifest = load_manifest(spark, manifest_path, source_month)
     metadata = load_metadata(spark, metadata_path)
     version = content_version(spark, metadata_path)
@@ -105,24 +118,37 @@ def build_release(spark, raw_root, manifest_path, metadata_path, source_month, r
     release_id = spark.range(1).select(dataset_id(F.lit(version), F.array(F.lit(line)))).first()[0]
 
     stage = new_attempt(root, release_id)
+    facts = {
+        "contract_version": CONTRACT_VERSION, "dataset_id": release_id, "metadata_version": version, "source_months": [source_month],
+        "ingest_batch_ids": [manifest["zip_sha256"]], "built_at": built_at,
+    }
+    try:
+        release = _attempt(spark, raw_root, manifest_path, manifest, metadata, source_month, root, wall_clock, ods_count, export, stage, facts)
+    except GateError as refused:
+        typed = f"{stage}-typed"
+        if exists(spark, typed):
+            facts["quarantine"] = f"{stage}-quarantine"
+            quarantine(spark.read.parquet(typed), facts["quarantine"], "refused")
+        write_evidence(spark, f"{stage}-evidence", {**facts, "status": "FAIL", "error": str(refused)})
+        raise
+    write_evidence(spark, f"{stage}-evidence", {**facts, "status": "PASS"})
+    return release
+
+
+def _attempt(spark, raw_root, manifest_path, manifest, metadata, source_month, root, wall_clock, ods_count, export, stage, facts):
+    listed = members(read_manifest(spark, manifest_path))
+    check_files(spark, raw_root, listed)
+    expected = expected_count(manifest["record_count"], ods_count)
     typed_path = f"{stage}-typed"
     records = read_manifest_trips(spark, raw_root, manifest, f"{stage}-splits")
-    counters = stage_typed(records, source_month, manifest["zip_sha256"], typed_path, wall_clock)
-    typed = spark.read.parquet(typed_path)
-    check_source(counters, count_mismatches(typed, members(read_manifest(spark, manifest_path))))
-    if ods_count is not None and ods_count != counters["rows"]:
-        raise GateError(f"source table has {ods_count} rows, the files {counters['rows']}")
-
-    quality, bounds = build_tables(spark, typed, metadata, F.lit(built_at).cast("timestamp"), stage, release_id)
-    evidence = {
-        "contract_version": CONTRACT_VERSION,
-        "dataset_id": release_id,
-        "metadata_version": version,
-        "source_months": [source_month],
-        "ingest_batch_ids": [manifest["zip_sha256"]],
-        "min_service_date": str(bounds["min_service_date"]),
-        "max_service_date": str(bounds["max_service_date"]),
-        "built_at": built_at,
-        "counts": {**quality, "ods": ods_count},
-    }
-    return commit_release(spark, root, stage, evidence, export=export)
+    facts["source"] = counters = stage_typed(records, source_month, manifest["zip_sha256"], typed_path, wall_clock)
+    typed = spark.read.parquet(typed_path).drop("refused")
+    check_source(counters, count_mismatches(typed, listed))
+    if expected != counters["rows"]:
+        raise GateError(f"{expected} records were expected, the files hold {counters['rows']}")
+
+    quality, bounds = build_tables(spark, typed, metadata, F.lit(facts["built_at"]).cast("timestamp"), stage, facts["dataset_id"])
+    facts.update({name: str(bounds[name]) for name in ("min_service_date", "max_service_date")})
+    facts["counts"] = {**quality, "ods": ods_count}
+    described = {name: value for name, value in facts.items() if name != "source"}
+    return commit_release(spark, root, stage, described, export=export)

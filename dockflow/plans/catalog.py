@@ -9,6 +9,7 @@ from dockflow.plans.standins import spark_view, table
 from dockflow.schemas import TRIP_COORDINATES
 from dockflow.sinks.tsv import tsv_lines
 from dockflow.sources import gbfs
+from dockflow.streaming import gate
 
 QUERIES = {}
 # Parameters of the registered read queries.
@@ -651,6 +652,13 @@ def record_rule_report(spark, sf):
     return quality.rule_report(spark_view(spark, sf, "records_v"), quality.record_rules())
 
 
+@query
+def gate_verdicts(spark, sf):
+    """What the stream gate says of every visit when it reads all records at once."""
+    visits = gate.verdicts(spark_view(spark, sf, "gate_v"))
+    return visits.select("feed", F.col("visit.position").alias("first_position"), "head.snapshot_id", "received", "duplicates", "outcome", "reason")
+
+
 @query
 def snapshot_dedup(spark, sf):
     return snapshots.snapshot_states(spark_view(spark, sf, "attempts_v").withColumn("sent", F.expr("status <> 'FAILED_SEND'"))).select("attempt", "provider_time", "state")

@@ -17,6 +17,40 @@ _OK = "start_station_id IS NOT NULL AND end_station_id IS NOT NULL AND ended_at_
 _COUNTS = "inbound_rides, outbound_rides, net_flow, total_activity, electric_outbound, classic_outbound, member_outbound, casual_outbound"
 
 
+# Visits by plain windows over records in order, and a walk over the visits of each feed. Columns first_* are positions.
+_GATE = f"""WITH RECURSIVE gate_v AS ({VIEWS["gate_v"]}),
+o AS (SELECT *, lag(snapshot_id) OVER w AS id_before, lag(record_type) OVER w AS type_before, row_number() OVER w AS nth FROM gate_v WINDOW w AS (PARTITION BY feed ORDER BY position)),
+n AS (SELECT *, sum(CASE WHEN nth = 1 OR snapshot_id <> id_before OR type_before = 'snapshot_end' THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY position) AS v FROM o),
+k AS (SELECT *, first_value(value) OVER w AS own_value, row_number() OVER w AS again, record_type = 'station' AS st,
+  first_value(metadata_version || data_origin || ingested_at) OVER (PARTITION BY feed, v ORDER BY position) AS head FROM n WINDOW w AS (PARTITION BY feed, v, record_type, record_key ORDER BY position)),
+g AS (SELECT feed, v, min(position) AS first_position, min(snapshot_id) AS snapshot_id, count(*) FILTER (NOT st) AS ends, max(station_count) AS announced,
+  max(snapshot_at) FILTER (NOT st) AS end_at, count(*) FILTER (st AND again = 1) AS stations, count(*) FILTER (st AND again = 1 AND NOT known_station) AS strange,
+  count(*) FILTER (st AND again = 1 AND snapshot_at <> (SELECT max(e.snapshot_at) FROM n e WHERE e.feed = k.feed AND e.v = k.v AND e.record_type = 'snapshot_end')) AS off,
+  min(snapshot_at) FILTER (st) AS low_at,
+  arg_min(CASE WHEN broken_rule = 'key_mismatch' THEN 'KEY_MISMATCH' WHEN broken_rule IS NOT NULL THEN 'INVALID_RECORD' WHEN data_origin NOT IN ('GBFS_LIVE') THEN 'INVALID_ORIGIN_FOR_MODE'
+    WHEN metadata_version || data_origin || ingested_at <> head THEN 'MIXED_BATCH' WHEN st AND value <> own_value THEN 'STATION_CONFLICT' END, position)
+    FILTER (broken_rule IS NOT NULL OR data_origin NOT IN ('GBFS_LIVE') OR metadata_version || data_origin || ingested_at <> head OR (st AND value <> own_value)) AS broken,
+  min(position) FILTER (broken_rule IS NOT NULL OR data_origin NOT IN ('GBFS_LIVE') OR metadata_version || data_origin || ingested_at <> head OR (st AND value <> own_value)) AS broken_at
+  FROM k GROUP BY feed, v),
+l AS (SELECT *, max(v) OVER (PARTITION BY feed) AS last_v FROM g),
+w AS (
+  SELECT feed, CAST(0 AS HUGEINT) AS v, CAST(NULL AS VARCHAR) AS id_out, CAST(NULL AS VARCHAR) AS at_out, CAST(NULL AS VARCHAR) AS at_in, CAST(NULL AS VARCHAR) AS reason FROM l GROUP BY feed
+  UNION ALL
+  SELECT feed, v, CASE WHEN reason IS NULL AND ends > 0 THEN snapshot_id ELSE id_out END, CASE WHEN reason IS NULL AND ends > 0 THEN end_at ELSE at_out END, at_out, reason
+  FROM (SELECT l.feed, l.v, l.ends, l.snapshot_id, l.end_at, w.id_out, w.at_out,
+    CASE WHEN l.snapshot_id = w.id_out THEN 'ALREADY_PUBLISHED'
+      WHEN l.low_at <= w.at_out AND l.first_position < coalesce(l.broken_at, l.first_position + 1) THEN 'OLDER_THAN_PUBLISHED'
+      WHEN l.broken IS NOT NULL THEN l.broken WHEN l.ends > 0 AND (l.announced <> l.stations OR l.strange > 0) THEN 'COUNT_OR_METADATA_MISMATCH'
+      WHEN l.ends > 0 AND l.off > 0 THEN 'SNAPSHOT_TIME_MISMATCH' WHEN l.ends > 0 AND l.end_at <= w.at_out THEN 'OLDER_THAN_PUBLISHED'
+      WHEN l.ends = 0 AND l.v < l.last_v THEN 'NEXT_BATCH_BEFORE_END' END AS reason
+    FROM w JOIN l ON l.feed = w.feed AND l.v = w.v + 1) x),
+s AS (SELECT l.*, w.reason, CASE WHEN w.reason = 'ALREADY_PUBLISHED' THEN -1 WHEN w.reason = 'OLDER_THAN_PUBLISHED' AND l.low_at <= w.at_in THEN l.first_position
+  WHEN w.reason = l.broken THEN l.broken_at ELSE 9223372036854775807 END AS stop FROM l JOIN w ON w.feed = l.feed AND w.v = l.v)
+SELECT s.feed, s.first_position, s.snapshot_id, count(*) FILTER (k.st AND k.position < s.stop) AS received, count(*) FILTER (k.st AND k.again > 1 AND k.position < s.stop) AS duplicates,
+  CASE WHEN s.reason = 'ALREADY_PUBLISHED' THEN 'IGNORED' WHEN s.reason IS NOT NULL THEN 'REJECTED' WHEN s.ends > 0 THEN 'PUBLISHED' END AS outcome, s.reason
+FROM s JOIN k ON k.feed = s.feed AND k.v = s.v GROUP BY s.feed, s.first_position, s.snapshot_id, s.reason, s.ends"""
+
+
 def _coord(name, limit):
     cast = f"TRY_CAST({name} AS DOUBLE)"
     return f"CASE WHEN {cast} BETWEEN -{limit} AND {limit} AND NOT isnan({cast}) THEN {cast} END"
@@ -457,6 +491,7 @@ def _queries():
         "batch_clock": "SELECT event_id, CASE WHEN data_origin IN ('GBFS_REPLAY', 'FIXTURE') THEN 'recorded' ELSE 'wall' END AS clock_mode, CASE WHEN data_origin IN ('GBFS_REPLAY', 'FIXTURE') THEN ingested_at ELSE received_at END AS as_of FROM records_v",
         "origin_gate": "SELECT event_id, CASE WHEN data_origin <> 'GBFS_LIVE' THEN 'INVALID_ORIGIN_FOR_MODE' END AS gate_reason FROM records_v",
         "record_rule_report": _report("records_v", _RECORD_RULES),
+        "gate_verdicts": _GATE,
         "snapshot_dedup": """SELECT attempt, provider_time, CASE WHEN attempt = first_sent THEN 'PUBLISHED' WHEN first_sent IS NULL OR attempt < first_sent THEN 'FAILED_SEND' WHEN status_raw_sha256 = winner THEN 'SKIPPED_DUPLICATE' ELSE 'REJECTED_CONFLICT' END AS state
  FROM (SELECT *, min(attempt) FILTER (status <> 'FAILED_SEND') OVER w AS first_sent, arg_min(status_raw_sha256, attempt) FILTER (status <> 'FAILED_SEND') OVER w AS winner FROM attempts_v WINDOW w AS (PARTITION BY provider_time)) d""",
         "pending_failures": """SELECT f.snapshot_id, max(f.attempt) AS failed_at, (SELECT max(attempt) FROM attempts_v r WHERE r.snapshot_id = f.snapshot_id AND status IN ('PUBLISHED', 'SKIPPED_DUPLICATE', 'REJECTED_CONFLICT')) AS resolved_at

@@ -112,6 +112,22 @@ SELECT event_id, CASE WHEN event_id % 400 = 399 THEN md5(CAST(s AS {STR})) ELSE
   CASE WHEN event_id % 300 = 299 THEN s + INTERVAL 1 SECOND ELSE s END AS snapshot_at,
   s + INTERVAL 20 SECONDS AS ingested_at, s + INTERVAL 45 SECONDS AS received_at
 FROM (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k, CAST(date_trunc('hour', ts) AS {TS}) AS s FROM events) r
+""",
+    # Records of several feeds in blocks of forty: a block is one snapshot with its end marker, and some blocks break a rule.
+    "gate_v": """
+SELECT 'f' || CAST(CAST(floor(event_id / 4e3) AS BIGINT) AS {STR}) AS feed, 'all' AS feed_file, CAST(event_id AS BIGINT) AS position,
+  CASE WHEN i = 39 AND b % 13 <> 12 THEN '__snapshot_end__' WHEN b % 7 = 3 THEN 'S' || CAST(i % 20 AS {STR}) ELSE 'S' || CAST(i AS {STR}) END AS record_key,
+  CASE WHEN i = 39 AND b % 13 <> 12 THEN 'snapshot_end' ELSE 'station' END AS record_type,
+  {SHA}CAST(CASE WHEN b % 11 = 10 THEN b - 1 ELSE b END AS {STR}){END} AS snapshot_id,
+  CASE WHEN b % 29 = 28 AND i = 7 THEN 'm2' ELSE 'm1' END AS metadata_version,
+  CASE WHEN b % 31 = 30 AND i = 9 THEN 'OTHER' ELSE 'GBFS_LIVE' END AS data_origin,
+  CASE WHEN b % 7 = 3 AND b % 2 = 0 AND i = 25 THEN 'other' ELSE 'v' END AS value,
+  CAST(CAST('2024-01-01 00:00:00' AS {TS}) + INTERVAL 1 MINUTE * CAST(CASE WHEN b % 17 = 16 THEN b - 40 ELSE b END + CASE WHEN b % 47 = 46 AND i = 39 THEN 1 ELSE 0 END AS INTEGER) AS {STR}) AS snapshot_at,
+  'i' || CAST(b AS {STR}) AS ingested_at,
+  CASE WHEN i = 39 AND b % 13 <> 12 THEN CAST(CASE WHEN b % 23 = 22 THEN 7 WHEN b % 7 = 3 THEN 20 ELSE 39 END AS INTEGER) END AS station_count,
+  CASE WHEN b % 41 = 40 AND i = 11 THEN 'flags' WHEN b % 43 = 42 AND i = 12 THEN 'key_mismatch' END AS broken_rule,
+  NOT (b % 37 = 36 AND i = 3) AS known_station
+FROM (SELECT event_id, CAST(floor(event_id / 4e1) AS BIGINT) AS b, event_id % 40 AS i FROM events) g
 """,
     # One collection attempt per event, with repeated provider times.
     "attempts_v": """

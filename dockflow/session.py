@@ -1,5 +1,7 @@
 """Session settings the engine expects on a cluster; every one is plain Spark configuration."""
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from dockflow.schemas import CITY_ZONE
@@ -36,3 +38,12 @@ def checkpoint_root(spark, fallback=None):
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is not set on this session")
     return fallback
+
+
+def staged(df, name):
+    """`df` written once to the shared folder, under this application's own, and read back."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged")
+    path = f"{root}/dockflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -173,11 +173,11 @@ def register_warehouse(spark, database, release_root):
 
 
 def write_evidence(spark, path, evidence):
-    """Build evidence (PASS or FAIL with its metrics) as one JSON row."""
+    """Build evidence (PASS or FAIL with its metrics) as one JSON row; evidence is never overwritten."""
     row = spark.createDataFrame([(json.dumps(evidence, sort_keys=True, default=str),)], "value string")
-    row.write.mode("overwrite").text(path)
+    row.write.mode("errorifexists").text(path)
 
 
 def quarantine(df, path, reason="reason"):
     """Refused inputs beside their reason, one folder per reason."""
-    df.where(F.col(reason).isNotNull()).write.mode("append").partitionBy(reason).parquet(path)
+    df.where(F.col(reason).isNotNull()).write.mode("errorifexists").partitionBy(reason).parquet(path)

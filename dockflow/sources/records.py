@@ -31,32 +31,36 @@ def _folder():
     return F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1).alias("feed")
 
 
-def read_ndjson(spark, path):
-    """Records of NDJSON files; blank lines are skipped."""
-    lines = spark.read.text(path).select(
-        F.col("value").alias("text"),
-        _folder(),
-        F.col("_metadata.file_name").alias("feed_file"),
-        F.monotonically_increasing_id().alias("position"),
-    )
-    return _envelopes(lines)
+def _lines(reader, path):
+    """(text, feed, file, split) of text files: Spark cuts large files into splits, and `split` says where a line's begins."""
+    name, start = F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split")
+    return reader.text(path).select(F.col("value").alias("text"), _folder(), name, start)
 
 
-def stream_ndjson(spark, path, max_files=1):
-    """Replay files as a stream in file order.
+def envelopes_of(batch):
+    """Envelopes of a batch of `_lines`, blank ones skipped; rows that are envelopes already pass.
 
-    A replay file is one batch, so it is read whole and unfolded with line numbers;
-    the order of its lines is what the gate works on.
+    The gate needs the order of lines, not their numbers. Rows of a split are read one after another, so the row's place in its task orders them, and
+    the splits of a file stand in order of their first byte: no line is sorted, shuffled or counted. The batch must come straight from
+    the reader.
     """
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
-    files = reader.text(path, wholetext=True).select("value", _folder(), F.col("_metadata.file_name").alias("feed_file"))
-    lines = files.select("feed", "feed_file", F.posexplode(F.split("value", r"\r?\n")).alias("position", "text"))
-    return _envelopes(lines.withColumn("position", F.col("position").cast("long")))
+    if "text" not in batch.columns:
+        return batch
+    file = F.concat("file", F.lit(" "), F.lpad(F.col("split").cast("string"), 19, "0"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = batch.select("text", "feed", F.struct(file.alias("feed_file"), place.alias("position")).alias("offset"))
+    parsed = placed.where(F.trim("text") != "").withColumn("record", F.from_json("text", ENVELOPE))
+    return parsed.select("record.*", "feed", "offset")
 
 
-def _envelopes(lines):
-    parsed = lines.where(F.trim("text") != "").withColumn("record", F.from_json("text", ENVELOPE))
-    return parsed.select("record.*", "feed", F.struct("feed_file", "position").alias("offset"))
+def read_ndjson(spark, path):
+    """Records of NDJSON files; blank lines are skipped."""
+    return envelopes_of(_lines(spark.read, path))
+
+
+def stream_ndjson(spark, path, max_files=1):
+    """Replay files as a stream of lines in file order, for `envelopes_of` in `foreachBatch`; a file of any size is read in splits."""
+    return _lines(spark.readStream.option("maxFilesPerTrigger", max_files), path)
 
 
 def read_kafka(spark, servers, topic, max_offsets=50_000, **options):

@@ -1,233 +1,286 @@
 """Batch-completeness gate: station records wait until their snapshot's end marker proves the batch whole.
 
-Records of one feed (a topic partition or a replay folder) are one ordered key.
-The order matters: a new snapshot id ends the batch before it, which a key per
-snapshot could not see. Feeds run in parallel.
+A visit is a run of consecutive records of one snapshot in one feed (a topic partition or a replay folder); it ends after an end marker or where another
+snapshot begins. Each visit is judged from summaries that do not depend on the order in which its records are read: counts, and the first place at which each rule
+breaks. The first broken place names the reason. Only these summaries, one row a visit, are walked in a feed's order, to know what was
+published before each visit. Records are never gathered by feed: visit boundaries come from chunks of CHUNK records, and everything else is a partial aggregate.
+
+`verdicts` judges any set of records at once. `Gate` does so trigger by trigger in `foreachBatch`: records of visits that are still open are kept
+as a table beside the stream's checkpoint, with one row a feed that remembers the last published snapshot and when the open visit started. Every trigger writes a new state
+from the one before, so a repeated trigger gives the same result.
 """
 
 import sys
+import time
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from dockflow.schemas import BATCH_TIMEOUT_SECONDS, MODE_ORIGINS
+from dockflow.session import staged
 
-_S, _L = T.StringType(), T.LongType()
-HEADER_STATE = T.StructType(
-    [
-        T.StructField("snapshot_id", _S),
-        T.StructField("metadata_version", _S),
-        T.StructField("data_origin", _S),
-        T.StructField("ingested_at", _S),
-        T.StructField("started_ms", _L),
-        T.StructField("received", _L),
-        T.StructField("duplicates", _L),
-        T.StructField("draining", T.BooleanType()),
-    ]
-)
-PUBLISHED_STATE = T.StructType([T.StructField("snapshot_id", _S), T.StructField("snapshot_at", _S)])
-OUTPUT = T.StructType(
-    [
-        T.StructField("feed", _S),
-        T.StructField("snapshot_id", _S),
-        T.StructField("metadata_version", _S),
-        T.StructField("data_origin", _S),
-        T.StructField("outcome", _S),
-        T.StructField("reason", _S),
-        T.StructField("received", _L),
-        T.StructField("duplicates", _L),
-        T.StructField("station_id", _S),
-        T.StructField("value", _S),
-        T.StructField("snapshot_at", _S),
-        T.StructField("ingested_at", _S),
-    ]
-)
 # Columns the gate reads; times travel as sortable UTC text.
 INPUT = (
     "feed", "feed_file", "position", "record_key", "record_type", "snapshot_id", "metadata_version", "data_origin",
     "value", "snapshot_at", "ingested_at", "station_count", "broken_rule", "known_station",
 )
-
-
-class SnapshotGate(StatefulProcessor):
-    """Accepts, buffers, publishes or refuses the records of one feed in order."""
-
-    def __init__(self, origins, timeout_ms, station_limit=None):
-        self.origins = set(origins)
-        self.station_limit = station_limit
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle):
-        self.handle = handle
-        self.header = handle.getValueState("header", HEADER_STATE)
-        self.published = handle.getValueState("published", PUBLISHED_STATE)
-        self.stations = handle.getMapState(
-            "stations",
-            T.StructType([T.StructField("record_key", _S)]),
-            T.StructType([T.StructField("value", _S), T.StructField("snapshot_at", _S), T.StructField("known", T.BooleanType())]),
-        )
-
-    def close(self):
-        pass
-
-    def handleInputRows(self, key, rows, timerValues):
-        feed, now = key[0], timerValues.getCurrentProcessingTimeInMs()
-        batch = pd.concat(list(rows)).sort_values(["feed_file", "position"], ignore_index=True)
-        batch = batch.astype(object).where(batch.notna(), None)
-        self._load()
-        out = []
-        self._expire(feed, now, out)
-        # A stretch of one snapshot ends where the id changes or after an end marker.
-        snapshot, is_end = batch["snapshot_id"].to_numpy(), (batch["record_type"] == "snapshot_end").to_numpy()
-        cut = np.ones(len(batch), bool)
-        cut[1:] = (snapshot[1:] != snapshot[:-1]) | is_end[:-1]
-        edges = [*np.flatnonzero(cut).tolist(), len(batch)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            self._stretch(feed, batch.iloc[a:b], bool(is_end[b - 1]), now, out)
-        self._store(now)
-        yield _output(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._load()
+OUTPUT = (
+    "feed", "snapshot_id", "metadata_version", "data_origin", "outcome", "reason", "received", "duplicates", "station_id", "value",
+    "snapshot_at", "ingested_at", "visit",
+)
+#: Consecutive positions of a file or partition that are put in order together.
+CHUNK = 4096
+_VISIT = ["feed", "visit"]
+_HEADER = ["metadata_version", "data_origin", "ingested_at"]
+_PLACE = "struct<trigger:bigint,feed_file:string,position:bigint>"
+_FEEDS = f"feed string, last_id string, last_at string, open {_PLACE}, started_ms bigint, closed boolean"
+_NUMBERS = {"received": "bigint", "duplicates": "bigint", "visit": _PLACE}
+
+
+def with_visits(records):
+    """The records with their place `at` (trigger, file, position), `ends`, and `visit`, the place of their visit's first record."""
+    rows = records.withColumns(
+        {
+            "at": F.struct("trigger", "feed_file", "position"),
+            "ends": F.col("record_type").eqNullSafe("snapshot_end"),
+            "chunk": F.floor(F.col("position") / CHUNK),
+        }
+    )
+    chunk = ["feed", "trigger", "feed_file", "chunk"]
+    inside, between = Window.partitionBy(*chunk).orderBy("position"), Window.partitionBy("feed").orderBy(*chunk[1:])
+    ends = F.struct("snapshot_id", "ends")
+    tails = rows.groupBy(*chunk).agg(F.max_by(ends, "position").alias("tail")).withColumn("tail", F.lag("tail").over(between))
+    before = F.when(F.row_number().over(inside) == 1, F.col("tail")).otherwise(F.lag(ends).over(inside))
+    begins = F.col("before").isNull() | F.col("before.ends") | ~F.col("snapshot_id").eqNullSafe(F.col("before.snapshot_id"))
+    flagged = rows.join(tails, chunk).withColumn("before", before).withColumn("start", F.when(begins, F.col("at"))).drop("tail", "before")
+    starts = flagged.groupBy(*chunk).agg(F.max("start").alias("latest"))
+    starts = starts.withColumn("latest", F.max("latest").over(between.rowsBetween(Window.unboundedPreceding, -1)))
+    visit = F.coalesce(F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("latest"))
+    return flagged.join(starts, chunk).withColumn("visit", visit).drop("chunk", "start", "latest")
+
+
+def stations_of(rows):
+    """The first record of every station of a visit, `first`, and where another value of it stands, `other`."""
+    values = rows.where("NOT ends").groupBy(*_VISIT, "record_key", "value").agg(F.min("at").alias("place"), F.min_by("snapshot_at", "at").alias("time"), F.min_by("known_station", "at").alias("known"))
+    ranked = values.withColumn("first", F.min("place").over(Window.partitionBy(*_VISIT, "record_key")))
+    is_first = F.col("place") == F.col("first")
+    row = [F.max(F.when(is_first, F.col(c))).alias(c) for c in ("value", "time", "known")]
+    return ranked.groupBy(*_VISIT, "record_key", "first").agg(*row, F.min(F.when(~is_first, F.col("place"))).alias("other"))
+
+
+def summaries(rows, stations, origins, station_limit=None):
+    """One row a visit: its header and end marker, counts, and the first place where each rule of its own breaks."""
+    station, foreign = ~F.col("ends"), ~F.coalesce(F.col("data_origin").isin(*origins), F.lit(False))
+    base = rows.groupBy(*_VISIT).agg(
+        F.min_by(F.struct("snapshot_id", *_HEADER), "at").alias("head"),
+        F.min(F.when(F.col("broken_rule").isNotNull(), F.struct("at", "broken_rule"))).alias("broken"),
+        F.min(F.when(foreign, F.col("at"))).alias("foreign_at"),
+        F.min(F.when(F.col("ends"), F.struct("at", "station_count", "snapshot_at"))).alias("ending"),
+        F.count_if(station).alias("received"),
+    )
+    headers = rows.groupBy(*_VISIT, *_HEADER).agg(F.min("at").alias("place")).withColumn("first", F.min("place").over(Window.partitionBy(*_VISIT)))
+    mixed = headers.groupBy(*_VISIT).agg(F.min(F.when(F.col("place") > F.col("first"), F.col("place"))).alias("mixed_at"))
+    # A repeat counts only in its station's first record.
+    counts = stations.groupBy(*_VISIT).agg(
+        F.count("*").alias("stations"), F.count_if(~F.coalesce("known", F.lit(False))).alias("unknown"), F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"), F.min("other").alias("conflict_at"),
+    )
+    out = base.join(mixed, _VISIT).join(counts, _VISIT, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("stations", "unknown")})
+    if station_limit is None:
+        return out.withColumn("limit_at", F.lit(None).cast(rows.schema["at"].dataType))
+    place = F.row_number().over(Window.partitionBy(*_VISIT).orderBy("first"))
+    over = stations.withColumn("place", place).where(F.col("place") == station_limit + 1).select(*_VISIT, F.col("first").alias("limit_at"))
+    return out.join(over, _VISIT, "left")
+
+
+def _published_before(visits):
+    """(feed, visit, last_id, last_at): what each feed had published before each visit; only summaries are walked."""
+    columns = ["trigger", "feed_file", "position"]
+
+    def walk(frame):
+        last_id = last_at = None
         out = []
-        self._expire(key[0], timerValues.getCurrentProcessingTimeInMs(), out)
-        self._store(None)
-        yield _output(out)
-
-    # State of the feed is read once per trigger, worked on here and written back once.
-
-    def _load(self):
-        names = HEADER_STATE.fieldNames()
-        self.now = dict(zip(names, self.header.get())) if self.header.exists() else None
-        self.last = tuple(self.published.get()) if self.published.exists() else (None, None)
-        self.buffer = {k[0]: tuple(v) for k, v in self.stations.iterator()} if self.now else {}
-        self.saved = dict(self.buffer)
-        self.armed = self.now["started_ms"] if self.now else None
-
-    def _store(self, now):
-        if self.now is None:
-            self.header.clear()
-        else:
-            self.header.update(tuple(self.now[name] for name in HEADER_STATE.fieldNames()))
-            if now is not None and not self.now["draining"] and self.now["started_ms"] != self.armed:
-                self.handle.registerTimer(self.now["started_ms"] + self.timeout_ms)
-        if self.last[0] is not None:
-            self.published.update(self.last)
-        for name in self.saved.keys() - self.buffer.keys():
-            self.stations.removeKey((name,))
-        for name, value in self.buffer.items():
-            if self.saved.get(name) != value:
-                self.stations.updateValue((name,), value)
-
-    def _reset(self):
-        self.now, self.buffer = None, {}
-
-    def _verdict(self, feed, outcome, reason, out, station=(None,), value=(None,), snapshot_at=(None,)):
-        """One output row for each station, all with the batch's header; one row without any for a verdict."""
-        h, n = self.now, len(station)
-        header = (feed, h["snapshot_id"], h["metadata_version"], h["data_origin"], outcome, reason, h["received"], h["duplicates"])
-        columns = [*([v] * n for v in header), station, value, snapshot_at, [h["ingested_at"]] * n]
-        out.append(pd.DataFrame(dict(zip(OUTPUT.fieldNames(), columns, strict=True)), dtype=object))
-
-    def _reject(self, feed, reason, out, outcome="REJECTED"):
-        self._verdict(feed, outcome, reason, out)
-        self.now["draining"] = True
-        self.buffer = {}
-
-    def _expire(self, feed, now, out):
-        h = self.now
-        if h and not h["draining"] and now >= h["started_ms"] + self.timeout_ms:
-            self._reject(feed, "BATCH_TIMEOUT", out)
-
-    def _stretch(self, feed, rows, ended, now, out):
-        """Consecutive records of one snapshot; only the last may be its end marker."""
-        first = rows.iloc[0]
-        if self.now and self.now["snapshot_id"] != first.snapshot_id:
-            if not self.now["draining"]:
-                self._reject(feed, "NEXT_BATCH_BEFORE_END", out)
-            self._reset()
-        if self.now is None:
-            self.now = {
-                "snapshot_id": first.snapshot_id, "metadata_version": first.metadata_version, "data_origin": first.data_origin,
-                "ingested_at": first.ingested_at, "started_ms": now, "received": 0, "duplicates": 0, "draining": False,
-            }
-            if first.snapshot_id is not None and first.snapshot_id == self.last[0]:
-                self._reject(feed, "ALREADY_PUBLISHED", out, "IGNORED")
-        if not self.now["draining"]:
-            reason = self._buffer(rows, len(rows) - ended)
-            if reason is None and ended:
-                reason = self._finish(feed, rows.iloc[-1], out)
-                if reason is None:
-                    return
-            if reason is not None:
-                self._reject(feed, reason, out)
-        if self.now["draining"] and ended:
-            self._reset()
-
-    def _buffer(self, rows, n):
-        """Buffer the ``n`` station records up to the first that is refused, and say why it is; the end marker is only checked."""
-        h = self.now
-        column = {name: rows[name].to_numpy() for name in INPUT}
-        broken = column["broken_rule"] != None  # noqa: E711
-        foreign = ~np.isin(column["data_origin"].astype(str), list(self.origins))
-        mixed = np.zeros(len(rows), bool)
-        for name in ("metadata_version", "data_origin", "ingested_at"):
-            mixed |= column[name] != h[name]
-        # A repeat must equal the station's first record, in the buffer or in this stretch.
-        names, value, at = column["record_key"][:n], column["value"][:n], column["snapshot_at"][:n]
-        code, unique = pd.factorize(names, use_na_sentinel=False)
-        _, start = np.unique(code, return_index=True)
-        buffered = np.array([name in self.buffer for name in unique], bool)
-        original = value[start]
-        original[buffered] = [self.buffer[name][0] for name in unique[buffered]]
-        repeat = buffered[code] | (start[code] != np.arange(n)) if n else np.zeros(0, bool)
-        checks = {
-            "STATION_CONFLICT": repeat & (value != original[code]),
-            "OLDER_THAN_PUBLISHED": ~repeat & np.array([self.last[1] is not None and t is not None and t <= self.last[1] for t in at], bool),
+        for r in frame.sort_values(columns).itertuples(index=False):
+            if last_at is None and pd.notna(r.known_at):
+                last_id, last_at = r.known_id, r.known_at
+            out.append((last_id, last_at))
+            if pd.notna(r.whole_at) and (last_at is None or r.whole_at > last_at) and r.snapshot_id != last_id:
+                last_id, last_at = r.snapshot_id, r.whole_at
+        made = frame.sort_values(columns)[["feed", *columns]].assign(last_id=[o[0] for o in out], last_at=[o[1] for o in out])
+        return made
+
+    flat = visits.select("feed", *(F.col(f"visit.{c}").alias(c) for c in columns), F.col("head.snapshot_id").alias("snapshot_id"), "whole_at", "known_id", "known_at")
+    schema = "feed string, trigger bigint, feed_file string, position bigint, last_id string, last_at string"
+    walked = flat.groupBy("feed").applyInPandas(walk, schema)
+    return walked.select("feed", F.struct(*columns).alias("visit"), "last_id", "last_at")
+
+
+def judged(rows, stations, feeds=None, mode="live", station_limit=None, now_ms=None, timeout_ms=BATCH_TIMEOUT_SECONDS * 1000, keep=staged):
+    """One row a visit: feed, visit, head, ending, received, duplicates, outcome and reason; these two are null while a visit is open.
+
+    `feeds` is what is known from before: the last published snapshot of each feed, and the visit that was open, with the time it
+    started and whether it has been refused already. `keep` writes a table that is read several times.
+    """
+    spark = rows.sparkSession
+    known = spark.createDataFrame([], _FEEDS) if feeds is None else feeds
+    known = known.select("feed", F.col("last_id").alias("known_id"), F.col("last_at").alias("known_at"), "open", "started_ms", "closed")
+    own = summaries(rows, stations, MODE_ORIGINS[mode], station_limit).join(known, "feed", "left")
+    was_open = F.col("visit").eqNullSafe(F.col("open"))
+    expired = was_open & ~F.coalesce("closed", F.lit(False)) & (F.lit(now_ms).cast("bigint") >= F.col("started_ms") + timeout_ms)
+    order = Window.partitionBy("feed").orderBy("visit")
+    # The first broken place; of rules that break at the same place the first one here.
+    names = ("broken", "foreign_at", "mixed_at", "conflict_at", "limit_at")
+    own = own.withColumns(
+        {
+            "closed": was_open & F.coalesce("closed", F.lit(False)),
+            "expired": F.coalesce(expired, F.lit(False)),
+            "followed": F.lead("visit").over(order).isNotNull(),
+            "stop": F.least(F.col("broken.at"), *names[1:]),
         }
-        if self.station_limit is not None:
-            checks["STATION_LIMIT"] = ~repeat & (len(self.buffer) + np.cumsum(~repeat) > self.station_limit)
-        bad = broken | foreign | mixed
-        for refused in checks.values():
-            bad[:n] |= refused
-        stop = int(bad.argmax()) if bad.any() else len(rows)
-        taken = min(stop, n)
-        h["received"] += taken
-        h["duplicates"] += int(repeat[:taken].sum())
-        if stop < len(rows):
-            if broken[stop]:
-                return "KEY_MISMATCH" if column["broken_rule"][stop] == "key_mismatch" else "INVALID_RECORD"
-            if foreign[stop]:
-                return "INVALID_ORIGIN_FOR_MODE"
-            return "MIXED_BATCH" if mixed[stop] else next(name for name, refused in checks.items() if refused[stop])
-        new = np.flatnonzero(~repeat)
-        known = column["known_station"][new].astype(bool)
-        self.buffer.update(zip(names[new], zip(value[new], at[new], known.tolist(), strict=True), strict=True))
-        return None
-
-    def _finish(self, feed, r, out):
-        """Publish the buffered batch, or say why it is not whole."""
-        values, times, known = zip(*self.buffer.values(), strict=True) if self.buffer else ((), (), ())
-        if int(r.station_count) != len(self.buffer) or not all(known):
-            return "COUNT_OR_METADATA_MISMATCH"
-        if set(times) - {r.snapshot_at}:
-            return "SNAPSHOT_TIME_MISMATCH"
-        if self.last[1] is not None and r.snapshot_at <= self.last[1]:
-            return "OLDER_THAN_PUBLISHED"
-        if self.buffer:
-            self._verdict(feed, "STATION", None, out, list(self.buffer), list(values), list(times))
-        self._verdict(feed, "PUBLISHED", None, out, snapshot_at=[r.snapshot_at])
-        self.last = (self.now["snapshot_id"], r.snapshot_at)
-        self._reset()
-        return None
-
-
-def _output(frames):
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=OUTPUT.fieldNames())
+    )
+    ended = F.col("ending").isNotNull()
+    counted = (F.col("ending.station_count") == F.col("stations")) & (F.col("unknown") == 0)
+    timed = (F.col("received") == 0) | (F.col("first_time").eqNullSafe(F.col("ending.snapshot_at")) & F.col("last_time").eqNullSafe(F.col("ending.snapshot_at")))
+    whole = ended & F.col("stop").isNull() & ~F.col("closed") & ~F.col("expired") & F.coalesce(counted, F.lit(False)) & timed
+    own = own.withColumns({"counted": F.coalesce(counted, F.lit(False)), "timed": timed, "whole_at": F.when(whole, F.col("ending.snapshot_at"))})
+    own = keep(own, "summaries")
+    own = own.join(_published_before(own), _VISIT)
+    late = own.where(F.col("first_time") <= F.col("last_at")).select(*_VISIT, "last_at")
+    older = stations.join(late, _VISIT).where(F.col("time") <= F.col("last_at")).groupBy(*_VISIT).agg(F.min("first").alias("older_at"))
+    own = own.join(older, _VISIT, "left")
+    stop = F.least("stop", "older_at")
+    at_stop = lambda place: place.isNotNull() & (place == stop)
+    broken = (
+        F.when(at_stop(F.col("broken.at")), F.when(F.col("broken.broken_rule") == "key_mismatch", "KEY_MISMATCH").otherwise("INVALID_RECORD"))
+        .when(at_stop(F.col("foreign_at")), "INVALID_ORIGIN_FOR_MODE")
+        .when(at_stop(F.col("mixed_at")), "MIXED_BATCH")
+        .when(at_stop(F.col("conflict_at")), "STATION_CONFLICT")
+        .when(at_stop(F.col("older_at")), "OLDER_THAN_PUBLISHED")
+        .when(at_stop(F.col("limit_at")), "STATION_LIMIT")
+    )
+    repeated = F.col("last_id").isNotNull() & (F.col("head.snapshot_id") == F.col("last_id"))
+    finish = (
+        F.when(~F.col("counted"), "COUNT_OR_METADATA_MISMATCH")
+        .when(~F.col("timed"), "SNAPSHOT_TIME_MISMATCH")
+        .when(F.col("last_at").isNotNull() & (F.col("ending.snapshot_at") <= F.col("last_at")), "OLDER_THAN_PUBLISHED")
+    )
+    reason = (
+        F.when(F.coalesce(repeated, F.lit(False)), "ALREADY_PUBLISHED")
+        .when(F.col("expired"), "BATCH_TIMEOUT")
+        .when(stop.isNotNull(), broken)
+        .when(ended, finish)
+        .when(F.col("followed"), "NEXT_BATCH_BEFORE_END")
+    )
+    decided = F.col("reason").isNotNull() | ended
+    outcome = F.when(~F.col("closed") & decided, F.when(F.col("reason").isNull(), "PUBLISHED").when(F.col("reason") == "ALREADY_PUBLISHED", "IGNORED").otherwise("REJECTED"))
+    said = own.withColumns({"stop": stop, "reason": reason}).withColumn("outcome", outcome).withColumn("reason", F.when(F.col("outcome").isNotNull(), F.col("reason")))
+    said = keep(said, "reasons")
+    # A refused visit counts what came before the place it was refused at.
+    refused = said.where("outcome = 'REJECTED' AND reason <> 'BATCH_TIMEOUT' AND stop IS NOT NULL").select(*_VISIT, "stop")
+    rows_before = rows.join(refused, _VISIT).groupBy(*_VISIT).agg(F.count_if(~F.col("ends") & (F.col("at") < F.col("stop"))).alias("rows_before"))
+    held_before = stations.join(refused, _VISIT).groupBy(*_VISIT).agg(F.count_if(F.col("first") < F.col("stop")).alias("held_before"))
+    said = said.join(rows_before, _VISIT, "left").join(held_before, _VISIT, "left")
+    ignored = F.col("reason") == "ALREADY_PUBLISHED"
+    received = F.when(ignored, 0).when(F.col("rows_before").isNotNull(), F.col("rows_before")).otherwise(F.col("received"))
+    held = F.when(ignored, 0).when(F.col("rows_before").isNotNull(), F.coalesce("held_before", F.lit(0))).otherwise(F.col("stations"))
+    return said.select(*_VISIT, "head", "ending", received.alias("received"), (received - held).alias("duplicates"), "outcome", "reason", "closed")
+
+
+def output(visits, stations):
+    """Verdict rows, and before them the station rows of published visits."""
+    header = ["feed", "head.snapshot_id", "head.metadata_version", "head.data_origin"]
+    counts = ["received", "duplicates"]
+    none = F.lit(None).cast("string")
+    time_ = F.when(F.col("outcome") == "PUBLISHED", F.col("ending.snapshot_at")).alias("snapshot_at")
+    said = visits.where("outcome IS NOT NULL").select(*header, "outcome", "reason", *counts, none.alias("station_id"), none.alias("value"), time_, "head.ingested_at", "visit")
+    held = visits.where("outcome = 'PUBLISHED'").join(stations.select(*_VISIT, "record_key", "value", "time"), _VISIT)
+    rows = held.select(*header, F.lit("STATION").alias("outcome"), none.alias("reason"), *counts, F.col("record_key").alias("station_id"), "value", F.col("time").alias("snapshot_at"), "head.ingested_at", "visit")
+    return rows.unionByName(said).select(*OUTPUT)
+
+
+def verdicts(records, mode="live", station_limit=None):
+    """The verdict of every visit of a complete set of `INPUT` records; the last visit of a feed has none while it is open."""
+    rows = staged(with_visits(records.withColumn("trigger", F.lit(0).cast("bigint"))), "rows")
+    return judged(rows, staged(stations_of(rows), "stations"), mode=mode, station_limit=station_limit)
+
+
+class Gate:
+    """The gate of one stream, for `foreachBatch`; its state lies in `path`, beside the stream's checkpoint."""
+
+    def __init__(self, path, mode="live", timeout_seconds=BATCH_TIMEOUT_SECONDS, station_limit=None):
+        self.path, self.mode, self.timeout_ms, self.station_limit = path, mode, timeout_seconds * 1000, station_limit
+
+    def _folder(self, trigger, name):
+        return f"{self.path}/trigger={trigger}/{name}"
+
+    def _before(self, spark, trigger):
+        """The newest state of an earlier trigger, or None; older ones are deleted."""
+        base = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = []
+        if fs.exists(base):
+            for status in fs.listStatus(base):
+                number = int(status.getPath().getName().partition("=")[2])
+                if number < trigger and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(self._folder(number, "feeds"), "_SUCCESS")):
+                    found.append(number)
+        found.sort()
+        for old in found[:-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/trigger={old}"), True)
+        return found[-1] if found else None
+
+    def __call__(self, batch, trigger, now_ms=None):
+        """Output rows of the records of one trigger; the new state is written before they are returned."""
+        spark = batch.sparkSession
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        new = batch.where("feed IS NOT NULL").select(*INPUT).withColumn("trigger", F.lit(trigger).cast("bigint"))
+        last, feeds = self._before(spark, trigger), None
+        if last is not None:
+            feeds = spark.read.schema(_FEEDS).parquet(self._folder(last, "feeds"))
+            new = new.unionByName(spark.read.schema(new.schema).parquet(self._folder(last, "open")))
+        if (feeds is None or feeds.where("open IS NOT NULL").isEmpty()) and new.isEmpty():
+            return spark.createDataFrame([], ", ".join(f"{c} {_NUMBERS.get(c, 'string')}" for c in OUTPUT))
+        # The records are worked on several times, so they are written once; a lost executor costs no second read of the source.
+        records = self._written(new, trigger, "records")
+        rows = self._written(with_visits(records), trigger, "rows")
+        stations = self._written(stations_of(rows), trigger, "stations")
+        keep = lambda df, name: self._written(df, trigger, name)
+        visits = self._written(judged(rows, stations, feeds, self.mode, self.station_limit, now_ms, self.timeout_ms, keep), trigger, "visits")
+        self._store(rows, visits, feeds, trigger, now_ms)
+        return output(visits, stations)
+
+    def _written(self, df, trigger, name):
+        df.write.mode("overwrite").parquet(self._folder(trigger, name))
+        return df.sparkSession.read.schema(df.schema).parquet(self._folder(trigger, name))
+
+    def _store(self, rows, visits, feeds, trigger, now_ms):
+        spark = rows.sparkSession
+        latest = F.max(F.struct("visit", "ending", F.coalesce("outcome", F.when(F.col("closed"), "CLOSED")).alias("said"))).alias("last")
+        published = F.max_by(F.when(F.col("outcome") == "PUBLISHED", F.struct(F.col("head.snapshot_id").alias("id"), F.col("ending.snapshot_at").alias("at"))), F.when(F.col("outcome") == "PUBLISHED", F.col("visit")))
+        seen = visits.groupBy("feed").agg(latest, published.alias("new"))
+        old = spark.createDataFrame([], _FEEDS) if feeds is None else feeds
+        was = old.select("feed", *(F.col(c).alias(f"old_{c}") for c in ("last_id", "last_at", "open", "started_ms")))
+        is_open = F.col("last.visit").isNotNull() & F.col("last.ending").isNull()
+        now = seen.join(was, "feed", "full").select(
+            "feed", F.coalesce("new.id", "old_last_id").alias("last_id"), F.coalesce("new.at", "old_last_at").alias("last_at"),
+            F.when(is_open, F.col("last.visit")).alias("open"),
+            F.when(is_open, F.when(F.col("last.visit") == F.col("old_open"), F.col("old_started_ms")).otherwise(F.lit(now_ms).cast("bigint"))).alias("started_ms"),
+            (is_open & F.col("last.said").isNotNull()).alias("closed"),
+        )
+        kept = self._written(now, trigger, "feeds-made")
+        # Of a refused visit only the first record stays, to know what belongs to it until its end marker comes.
+        waiting = rows.join(kept.where("open IS NOT NULL").select("feed", F.col("open").alias("visit"), F.col("closed").alias("refused")), _VISIT)
+        self._written(waiting.where("NOT refused OR at = visit").select(*INPUT, "trigger"), trigger, "open")
+        # Written last: a state without it does not count.
+        self._written(kept, trigger, "feeds")
+
+
+def ticks(spark, schema):
+    """A stream of empty rows, one a second, so that open batches time out while nothing arrives; `Gate` drops rows without a feed."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return rate.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
 def gate_input(flat, rules, metadata):
@@ -254,13 +307,5 @@ def _utc_text(name):
     return F.concat(F.substring(plain, 1, 19), F.lit("."), F.rpad(F.substring(plain, 21, 6), 6, "0"))
 
 
-def gated(records, mode="live", timeout_seconds=BATCH_TIMEOUT_SECONDS, station_limit=None):
-    """Verdicts and published station rows of a stream of `gate_input` records; no batch is refused for its size by default."""
-    gate = SnapshotGate(MODE_ORIGINS[mode], timeout_seconds * 1000, station_limit)
-    return records.groupBy("feed").transformWithStateInPandas(
-        statefulProcessor=gate, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
-    )
-
-
-# Tasks receive the gate by value, so executors need no copy of the package.
+# Tasks receive the walk by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -119,19 +119,20 @@ def live_snapshot(spark, root):
     return release, found, moves
 
 
-def publisher(root, metadata):
-    """A `foreachBatch` function: verdicts to the log, complete batches to the live tables.
-
-    A file-based `metadata` frame lists its files anew at the start and after every trigger, so
-    versions that land while the job runs are known from the next trigger on, here and in the
-    gate. A version therefore has to land one trigger before its records.
-    """
+def refresher(metadata):
+    """A function that lists the files of a file-based `metadata` frame anew."""
     catalog, view = metadata.sparkSession.catalog, f"live_metadata_{uuid.uuid4().hex}"
     metadata.createOrReplaceTempView(view)
-    catalog.refreshTable(view)
+    return lambda: catalog.refreshTable(view)
+
+
+def publisher(root, metadata):
+    """A `foreachBatch` function: verdicts to the log, complete batches to the live tables, with the metadata files of that moment."""
+    refresh = refresher(metadata)
 
     def run(batch, batch_id):
         spark = batch.sparkSession
+        refresh()
         rows = batch.persist()
         try:
             log = rows.where("outcome <> 'STATION'").drop("station_id", "value")
@@ -139,7 +140,6 @@ def publisher(root, metadata):
             publish(spark, root, rows, metadata)
         finally:
             rows.unpersist()
-            catalog.refreshTable(view)
 
     return run
 

@@ -150,6 +150,37 @@ def test_one_bad_record_refuses_the_batch(spark, folder, bad):
     assert not os.path.exists(f"{folder}/out/releases")
 
 
+def evidence_of(spark, folder):
+    return sorted((json.loads(r.value) for r in spark.read.text(f"{folder}/out/attempts/*/*-evidence").collect()), key=lambda e: e["status"])
+
+
+def test_every_attempt_leaves_evidence(spark, folder):
+    bad = trip("r90", "not a time", "2025-06-02 10:00:00")
+    blank = trip("", "2025-06-02 09:00:00", "2025-06-02 10:00:00")
+    with pytest.raises(GateError, match="unparsed_time"):
+        build(spark, folder, {"east.csv": [*EAST, bad, blank]})
+    release = build(spark, folder, {"east.csv": EAST})
+    failed, passed = evidence_of(spark, folder)
+    assert failed["status"] == "FAIL" and failed["source"] == {"rows": len(EAST) + 2, "malformed": 0, "bad_header": 0, "blank_required_field": 1, "unparsed_time": 1}
+    refused = {(r.refused, r.ride_id, r.source_file, r.source_row_number) for r in spark.read.parquet(failed["quarantine"]).collect()}
+    assert {(kind, name, n) for kind, _, name, n in refused} == {("UNPARSED_TIME", "east.csv", len(EAST) + 1), ("BLANK_REQUIRED_FIELD", "east.csv", len(EAST) + 2)}
+    assert passed["status"] == "PASS" and passed["counts"] == release["counts"] and "quarantine" not in passed
+
+
+def test_preflight_and_expected_count(spark, folder):
+    raw, manifest, metadata = write_source(folder, {"east.csv": EAST})
+    go = lambda **kw: build_release(spark, raw, manifest, metadata, "2025-06", f"{folder}/out", "2025-07-03 00:00:00", **kw)
+    with pytest.raises(GateError, match="given count"):
+        go(ods_count=len(EAST) + 1)
+    with open(f"{raw}/extra.csv", "w") as out:
+        out.write(HEADER + "\n")
+    with open(f"{raw}/east.csv", "a") as out:
+        out.write("\n")
+    with pytest.raises(GateError, match="east.csv.*DIFFERENT.*extra.csv.*EXTRA"):
+        go()
+    assert [e["status"] for e in evidence_of(spark, folder)] == ["FAIL", "FAIL"] and not os.path.exists(f"{folder}/out/releases")
+
+
 def test_wrong_header_and_counts_refuse_the_batch(spark, folder):
     with pytest.raises(GateError, match="bad_header"):
         build(spark, folder, {"east.csv": EAST}, header=HEADER.upper())

@@ -1,14 +1,17 @@
 """Risk, rebalancing, feed and lookup rules on small hand-computed inputs."""
 
 import datetime as dt
+import itertools
 import json
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from dockflow.functions.status import fill_class
+from dockflow.operators import greedy as greedy_moves
 from dockflow.operators import quality, rebalance, risk, serving, stations
 from dockflow.operators.trips import GateError, flag_first_seen
 from dockflow.sinks.tsv import null_token
@@ -155,6 +158,42 @@ def test_rebalance_equals_brute_force(spark):
     assert got == {s: m for s, m in want.items() if m} and sum(map(len, got.values())) > 100
 
 
+@pytest.mark.parametrize("shape", ["city", "globe", "line", "same place", "far targets"])
+def test_nearest_sources_by_rings(shape):
+    """The grid gives all open sources in the order of a full sort, whatever their shape, while sources run out."""
+    from types import SimpleNamespace
+
+    rng = random.Random(11)
+    place = {
+        "city": lambda: (40.6 + rng.random() / 5, -74 + rng.random() / 5), "globe": lambda: (rng.uniform(-89, 89), rng.uniform(-180, 180)),
+        "line": lambda: (40.7, -74 + rng.randrange(50) / 100), "same place": lambda: (40.7, -74.0),
+        "far targets": lambda: (40.6 + rng.random() / 50, -74 + rng.random() / 50),
+    }[shape]
+    ends = [SimpleNamespace(station_id=f"S{i:04d}", room=2, amount=2, lat=(p := place())[0], lon=p[1], expires_at=0) for i in range(700)]
+    sources, opened = greedy_moves.Sources(ends), set(range(700))
+    for _ in range(120):
+        lat, lon = place() if shape != "far targets" else (rng.uniform(39, 42), rng.uniform(-76, -72))
+        metres = greedy_moves._metres(lat, lon, sources.lats, sources.lons)
+        want = sorted(opened, key=lambda i: (metres[i], i))
+        got = list(itertools.islice(sources.nearest(lat, lon), 25))
+        assert [i for _, i in got] == want[:25]
+        for _, i in got[:4]:
+            sources.take(i, 2)
+            opened.discard(i)
+
+
+def test_snapshots_arrive_over_batches():
+    """A snapshot's targets may come in any number of batches after its sources."""
+    rows = []
+    for s in (1, 2, None):
+        rows += [(s, False, f"A{i}", 3, 3, 40.0, -74.0 + i / 100, 9) for i in range(3)]
+        rows += [(s, True, f"T{i}", 2, 2, 40.0, -74.0, 9) for i in range(6)]
+    frame = pd.DataFrame(rows, columns=["at", *greedy_moves.END], dtype=object)
+    whole = pd.concat(greedy_moves.assign_batches([frame], "at"), ignore_index=True)
+    parts = pd.concat(greedy_moves.assign_batches([frame.iloc[i : i + 2] for i in range(0, len(frame), 2)], "at"), ignore_index=True)
+    assert parts.fillna(-1).values.tolist() == whole.fillna(-1).values.tolist() and whole["move_bikes"].sum() == 27 and len(set(whole["priority"])) * 3 == len(whole)
+
+
 def test_invariants_report_a_broken_assignment(spark):
     rows = spark.createDataFrame([end("src", 34, 6, 40, 36.0), end("dst", 6, 34, 40, 4.0)], ENDS)
     ends = rebalance.rebalance_ends(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dockflow.sinks.release import pointer
 from dockflow.sources import records
-from dockflow.streaming import gate, publish
+from dockflow.streaming import gate, live, publish
 
 SNAP = {n: n * 64 for n in "abcdef0123456789"}
 META = "e" * 64
@@ -60,8 +60,8 @@ class Harness:
 
     def run(self, mode="recorded", timeout=120, publish_to=None):
         """Drain what was sent through the gate and return every verdict so far."""
-        flat = records.flat_records(records.stream_ndjson(self.spark, f"{self.folder}/in"))
-        verdicts = gate.gated(gate.gate_input(flat, records.event_rules(), self.metadata), mode, timeout)
+        lines = records.stream_ndjson(self.spark, f"{self.folder}/in")
+        judge = gate.Gate(f"{self.folder}/state", mode, timeout)
         out = f"{self.folder}/verdicts"
 
         def keep(df, batch_id):
@@ -69,10 +69,10 @@ class Harness:
             if publish_to:
                 publish.publisher(publish_to, self.metadata)(df, batch_id)
 
-        writer = verdicts.writeStream.outputMode("append").foreachBatch(keep)
+        writer = lines.writeStream.outputMode("append").foreachBatch(live.gated(self.metadata, judge, keep))
         query = writer.option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
         assert query.awaitTermination(60)
-        rows = self.spark.read.parquet(out).where("outcome <> 'STATION'").orderBy("batch").collect()
+        rows = self.spark.read.parquet(out).where("outcome <> 'STATION'").orderBy("batch", "visit").collect()
         return [(r.snapshot_id[0], r.outcome, r.reason) for r in rows]
 
 
@@ -205,15 +205,14 @@ def test_metadata_that_lands_while_the_job_runs(spark, folder, harness):
     harness.send(*batch("a", 1))
     harness.send(*batch("b", 2, meta=later))
     metadata = spark.read.parquet(path)
-    publisher = publish.publisher(root, metadata)
+    step = live.gated(metadata, gate.Gate(f"{folder}/state", "recorded"), publish.publisher(root, metadata))
 
     def keep(df, batch_id):
-        if batch_id == 0:
+        if batch_id == 1:  # it lands with the records that name it
             harness.metadata.withColumn("metadata_version", F.lit(later)).write.mode("append").parquet(path)
-        publisher(df, batch_id)
+        step(df, batch_id)
 
-    flat = records.flat_records(records.stream_ndjson(spark, f"{folder}/in"))
-    writer = gate.gated(gate.gate_input(flat, records.event_rules(), metadata), "recorded").writeStream.outputMode("append").foreachBatch(keep)
+    writer = records.stream_ndjson(spark, f"{folder}/in").writeStream.outputMode("append").foreachBatch(keep)
     query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     outcomes = spark.read.parquet(f"{root}/live/log").orderBy("trigger").collect()
@@ -221,39 +220,6 @@ def test_metadata_that_lands_while_the_job_runs(spark, folder, harness):
     assert publish.live_snapshot(spark, root)[0]["metadata_version"] == later
 
 
-class _State:
-    """Keyed state as the gate uses it, without a stream around it."""
-
-    def __init__(self):
-        self.value, self.map, self.timers = None, {}, []
-
-    def getValueState(self, *_):
-        return _State()
-
-    getMapState = getValueState
-    exists = lambda self: self.value is not None
-    get = lambda self: self.value
-    iterator = lambda self: iter(list(self.map.items()))
-
-    def clear(self):
-        self.value = None
-
-    def update(self, value):
-        self.value = value
-
-    def removeKey(self, key):
-        del self.map[key]
-
-    def updateValue(self, key, value):
-        self.map[key] = value
-
-    def registerTimer(self, at):
-        self.timers.append(at)
-
-    def getCurrentProcessingTimeInMs(self):
-        return 1000
-
-
 def _one_by_one(rows, origins, limit):
     """The verdicts of a feed by the rules read record after record."""
     out, now, last = [], None, (None, None)
@@ -306,56 +272,100 @@ def _one_by_one(rows, origins, limit):
     return out
 
 
-def test_stretches_give_the_verdicts_of_single_records():
+def _random_feed(rng):
+    """Records of one feed with breaches of every kind, several to a snapshot."""
+    rows, sid = [], 0
+    while len(rows) < 60:
+        sid = max(1, sid + rng.choice([0, 1, 1, 1, 1]))
+        at, n = f"t{sid + rng.choice([0, 0, 0, 0, -2]):03d}", rng.randint(0, 4)
+        base = {"snapshot_id": f"s{sid}", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "snapshot_at": at, "ingested_at": "i",
+                "broken_rule": None, "known_station": True, "station_count": None}
+        for i in range(n):
+            odd = {} if rng.random() < 0.85 else rng.choice([
+                {"broken_rule": "key_mismatch"}, {"broken_rule": "json"}, {"data_origin": "GBFS_LIVE"}, {"metadata_version": "x"},
+                {"known_station": False}, {"snapshot_at": "t999"}])
+            key = f"k{rng.randint(0, i)}" if rng.random() < 0.2 else f"k{i}"
+            rows.append({**base, "record_type": "station", "record_key": key, "value": f"{key}{rng.random() < 0.05}", **odd})
+        if rng.random() < 0.85:
+            whole = len({r["record_key"] for r in rows[len(rows) - n :]}) + (rng.random() < 0.1)
+            rows.append({**base, "record_type": "snapshot_end", "record_key": "end", "value": "e", "station_count": whole})
+    return rows
+
+
+_TYPES = {"position": "bigint", "station_count": "int", "known_station": "boolean"}
+
+
+def _frame(spark, feeds, part=lambda rows: rows):
+    rows = [{**r, "feed": f"{f:02d}", "feed_file": "f", "position": 3 * i} for f, of in enumerate(feeds) for i, r in part(list(enumerate(of)))]
+    return spark.createDataFrame([tuple(r[c] for c in gate.INPUT) for r in rows], ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in gate.INPUT)).repartition(5)
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_summaries_give_the_verdicts_of_single_records(spark, folder, monkeypatch, limit):
     import random
 
-    import pandas as pd
-
-    rng, seen = random.Random(3), set()
-    for trial in range(80):
-        limit = rng.choice([None, None, 3])
-        rows, sid = [], 0
-        while len(rows) < 60:
-            sid = max(1, sid + rng.choice([0, 1, 1, 1, 1]))
-            at, n = f"t{sid + rng.choice([0, 0, 0, 0, -2]):03d}", rng.randint(0, 4)
-            base = {"feed": "feed", "feed_file": "f", "snapshot_id": f"s{sid}", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "snapshot_at": at,
-                    "ingested_at": "i", "broken_rule": None, "known_station": True, "station_count": None}
-            for i in range(n):
-                odd = {} if rng.random() < 0.85 else rng.choice([
-                    {"broken_rule": "key_mismatch"}, {"broken_rule": "json"}, {"data_origin": "GBFS_LIVE"}, {"metadata_version": "x"},
-                    {"known_station": False}, {"snapshot_at": "t999"}])
-                key = f"k{rng.randint(0, i)}" if rng.random() < 0.2 else f"k{i}"
-                rows.append({**base, "record_type": "station", "record_key": key, "value": f"{key}{rng.random() < 0.05}", **odd})
-            if rng.random() < 0.85:
-                whole = len({r["record_key"] for r in rows[len(rows) - n :]}) + (rng.random() < 0.1)
-                rows.append({**base, "record_type": "snapshot_end", "record_key": "end", "value": "e", "station_count": whole})
-        for i, r in enumerate(rows):
-            r["position"] = i
-        machine = gate.SnapshotGate(["GBFS_REPLAY"], 10**9, limit)
-        machine.init(_State())
-        got, frame = [], pd.DataFrame(rows)[list(gate.INPUT)]
-        cut = sorted(rng.sample(range(1, len(rows)), 3))
-        for a, b in zip([0, *cut], [*cut, len(rows)]):
-            for out in machine.handleInputRows(("feed",), iter([frame[a:b]]), _State()):
-                got += [(r.snapshot_id, r.reason, r.received, r.duplicates) for r in out.itertuples() if r.outcome != "STATION"]
-        want = _one_by_one(rows, {"GBFS_REPLAY"}, limit)
-        assert got == want, trial
-        seen |= {w[1] for w in want}
-    assert len(seen) == 12  # eleven reasons, and none
-
-
-def test_a_large_batch_in_each_of_two_feeds(spark, harness):
-    import pandas as pd
-
-    n = 20_000
-    names = [f"k{i}" for i in range(n)]
-    frame = pd.DataFrame({"feed": "feed", "feed_file": "f", "position": range(n + 1), "record_key": [*names, "end"], "record_type": ["station"] * n + ["snapshot_end"],
-                          "snapshot_id": "s", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "value": "v", "snapshot_at": "t", "ingested_at": "i",
-                          "station_count": n, "broken_rule": None, "known_station": True})
-    machine = gate.SnapshotGate(["GBFS_REPLAY"], 10**9)
-    machine.init(_State())
-    out = pd.concat(machine.handleInputRows(("feed",), iter([frame[list(gate.INPUT)]]), _State()))
-    assert out["outcome"].value_counts().to_dict() == {"STATION": n, "PUBLISHED": 1}
+    monkeypatch.setattr(gate, "CHUNK", 16)  # visits go over many chunks
+    rng = random.Random(3)
+    feeds = [_random_feed(rng) for _ in range(60)]
+    want = {f"{f:02d}": _one_by_one(of, {"GBFS_REPLAY"}, limit) for f, of in enumerate(feeds)}
+    assert len({w[1] for of in want.values() for w in of}) == (11 if limit is None else 12)  # the reasons, and none
+    plain = lambda r: (r.snapshot_id, r.reason, r.received, r.duplicates)
+    # All at once.
+    got = {f: [] for f in want}
+    whole = gate.verdicts(_frame(spark, feeds), "recorded", limit).where("outcome IS NOT NULL").orderBy("feed", "visit")
+    for r in whole.selectExpr("feed", "head.snapshot_id", "reason", "received", "duplicates").collect():
+        got[r.feed].append(plain(r))
+    assert got == want
+    # Trigger by trigger, cut anywhere, one trigger repeated.
+    judge, got, cuts = gate.Gate(f"{folder}/state", "recorded", 10**6, limit), {f: [] for f in want}, [0, 13, 14, 41, 1000]
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        frame = _frame(spark, feeds, lambda rows: rows[a:b])
+        if number == 2:
+            judge(frame, number).count()
+        for r in judge(frame, number).where("outcome <> 'STATION'").collect():
+            got[r.feed].append(plain(r))
+    assert {f: sorted(v, key=repr) for f, v in got.items()} == {f: sorted(v, key=repr) for f, v in want.items()}
+
+
+def test_stations_of_published_visits_come_from_any_trigger(spark, folder):
+    base = {"snapshot_id": "s", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "snapshot_at": "t", "ingested_at": "i", "broken_rule": None, "known_station": True}
+    rows = [{**base, "record_type": "station", "record_key": f"k{i}", "value": f"v{i}", "station_count": None} for i in range(6)]
+    rows.append({**base, "record_type": "snapshot_end", "record_key": "end", "value": "e", "station_count": 6})
+    judge = gate.Gate(f"{folder}/state", "recorded")
+    assert judge(_frame(spark, [rows], lambda r: r[:4]), 0).count() == 0
+    assert judge(_frame(spark, [[]]), 1).count() == 0  # an idle trigger
+    last = judge(_frame(spark, [rows], lambda r: r[4:]), 2).collect()
+    assert sorted((r.station_id, r.value) for r in last if r.outcome == "STATION") == [(f"k{i}", f"v{i}") for i in range(6)]
+    assert [(r.outcome, r.received) for r in last if r.outcome != "STATION"] == [("PUBLISHED", 6)]
+    assert judge(_frame(spark, [rows]), 3).collect()[0].reason == "ALREADY_PUBLISHED"
+
+
+def test_a_batch_times_out_without_new_records(spark, folder):
+    base = {"snapshot_id": "s", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "snapshot_at": "t", "ingested_at": "i", "broken_rule": None, "known_station": True}
+    row = {**base, "record_type": "station", "record_key": "k", "value": "v", "station_count": None}
+    judge, none = gate.Gate(f"{folder}/state", "recorded", 120), _frame(spark, [[]])
+    judge(_frame(spark, [[row]]), 0, now_ms=1_000_000)
+    assert judge(none, 1, now_ms=1_119_999).count() == 0
+    assert [r.reason for r in judge(none, 2, now_ms=1_120_000).collect()] == ["BATCH_TIMEOUT"]
+    assert judge(none, 3, now_ms=2_000_000).count() == 0
+
+
+def test_a_file_of_many_splits(spark, harness):
+    """Order, duplicates and verdicts do not depend on how Spark cuts a file."""
+    names = [f"S{i % 5 + 1}" for i in range(40)]
+    harness.send(*batch("a", 1), *[station("b", n, 2) for n in names], end("b", 5, 2), station("c", "S1", 3), *batch("d", 4))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert harness.run() == [("a", "PUBLISHED", None), ("b", "PUBLISHED", None), ("c", "REJECTED", "NEXT_BATCH_BEFORE_END"), ("d", "PUBLISHED", None)]
+        lines = records.read_ndjson(spark, f"{harness.folder}/in")
+        assert lines.select("offset.feed_file").distinct().count() > 20 and lines.select("offset").distinct().count() == lines.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = spark.read.parquet(f"{harness.folder}/verdicts").where(F.col("snapshot_id") == SNAP["b"]).where("outcome = 'PUBLISHED'").first()
+    assert (rows.received, rows.duplicates) == (40, 35)
+
+
+def test_two_folders_are_two_feeds(spark, harness):
     for feed in ("one", "two"):
         os.makedirs(f"{harness.folder}/{feed}")
         with open(f"{harness.folder}/{feed}/0001.ndjson", "w") as lines:
