@@ -35,10 +35,6 @@ def pending_sends(log, order="attempt"):
     return ends.where(F.col("failed_at") > F.coalesce("resolved_at", F.lit(-1)))
 
 
-def latest_pending(log, order="attempt"):
-    """The newest unresolved failure; it must be sent before anything newer."""
-    return pending_sends(log, order).orderBy(F.desc("failed_at")).limit(1)
-
 
 def latest_live_metadata(log, order="attempt"):
     """Metadata version of the newest published live batch."""

@@ -135,9 +135,6 @@ def to_canonical(events, mapping, provider="provider_station_id"):
     return events.join(pairs, provider, "left").withColumn("mapped", F.col("station_id").isNotNull())
 
 
-def unmapped(events, mapping, provider="provider_station_id"):
-    return events.join(mapping, provider, "left_anti")
-
 
 def missing_metadata_rows(status, metadata, updated_at, provider="provider_station_id"):
     """Isolated placeholder rows for status stations that the metadata lacks."""

@@ -33,9 +33,6 @@ def rejected_rows(typed):
     return typed.withColumn("gate_reason", gate_reason()).where("gate_reason IS NOT NULL")
 
 
-def accepted_rows(typed):
-    return typed.where(gate_reason().isNull())
-
 
 def source_gate(typed):
     """Refuse the batch when any row fails; one scan that stops at the first failure."""

@@ -42,7 +42,15 @@ def canonical_metadata(information, status):
         F.lit("GBFS").alias("metadata_source"),
         F.col("seen_at").alias("metadata_updated_at"),
     )
-    return listed.unionByName(placeholders)
+    return _without_collisions(listed.unionByName(placeholders))
+
+
+def _without_collisions(metadata):
+    """The same rows; the plan fails where two stations of an attempt claim one canonical id."""
+    claimed = stations.canonical_collisions(metadata, scope=("feed",)).withColumn("claimed", F.lit(True)).drop("claims")
+    said = F.concat(F.lit("canonical station id claimed twice: "), "station_id", F.lit(" in "), F.col("feed").cast("string"))
+    own = F.when(F.col("claimed"), F.raise_error(said).cast("string")).otherwise(F.col("station_id"))
+    return metadata.join(claimed, ["feed", "station_id"], "left").withColumn("station_id", own).select(metadata.columns)
 
 
 def metadata_documents(metadata):
@@ -70,7 +78,10 @@ def snapshot_records(information, status, origin="GBFS_LIVE"):
     batch = ("feed", "snapshot_id", "metadata_version", "ingested_at")
     events = gbfs.status_events(gbfs.feed_rows(known, "stations", *batch), F.col("ingested_at"))
     mapping = metadata.select("feed", "provider_station_id", "station_id")
-    placed = events.join(mapping, ["feed", "provider_station_id"])
+    # An event must have an identity: one that the mapping lacks fails the plan instead of leaving the batch short.
+    said = F.concat(F.lit("no canonical id for provider station "), F.coalesce("provider_station_id", F.lit("(null)")))
+    placed = events.join(mapping, ["feed", "provider_station_id"], "left")
+    placed = placed.withColumn("station_id", F.coalesce("station_id", F.raise_error(said).cast("string")))
     placed = placed.withColumns(
         {
             "snapshot_at_utc": utc_text(placed, "snapshot_at"),

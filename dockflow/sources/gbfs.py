@@ -212,10 +212,3 @@ def status_warnings(rows):
         )
     station = string(item, "$.station_id").alias("provider_station_id")
     return rows.select(station, F.inline(F.array_compact(F.array(*entry))))
-
-
-def snapshot_versions(status_docs, metadata_docs):
-    """Snapshot id of every status document under its metadata document (joined on `feed`)."""
-    versions = metadata_docs.select("feed", metadata_version(F.col("raw")).alias("metadata_version"))
-    joined = status_docs.join(versions, "feed")
-    return joined.withColumn("snapshot_id", snapshot_id(F.col("raw"), F.col("metadata_version")))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from dockflow.operators import quality
@@ -27,6 +28,16 @@ def landed(spark, *documents):
     return spark.createDataFrame(rows, "feed string, raw string")
 
 
+def test_colliding_ids_fail_the_collection(spark):
+    """A short name that looks like an isolated station's id would give two stations one identity."""
+    stations = [dict(s) for s in INFO["data"]["stations"]]
+    stations[0]["short_name"] = "gbfs:u2"
+    information = landed(spark, INFO, {**INFO, "data": {"stations": stations}})
+    states = landed(spark, status(1736341200, "u1", "u2"), status(1736341200, "u1")).withColumn("ingested_at", F.timestamp_seconds(F.lit(1736341210)))
+    with pytest.raises(Exception, match="claimed twice: gbfs:u2 in f1"):
+        collect.snapshot_records(information, states).collect()
+
+
 def test_feeds_to_published_snapshot(spark, folder):
     winter, summer = 1736341200, 1751547600
     information = landed(spark, INFO, INFO, INFO)
@@ -59,6 +70,6 @@ def test_feeds_to_published_snapshot(spark, folder):
         records.stream_ndjson(spark, f"{folder}/in"), spark.read.parquet(f"{folder}/metadata"), f"{folder}/served",
         mode="recorded", trigger={"availableNow": True}, checkpoints=f"{folder}/checkpoints",
     )
-    assert query.awaitTermination(120)
+    assert query.awaitTermination(300)
     release, risk, moves = publish.live_snapshot(spark, f"{folder}/served")
     assert release["snapshot_at"] == "2025-07-03 13:01:00.000000" and risk.count() == 0 and moves.count() == 0
