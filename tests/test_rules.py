@@ -194,6 +194,18 @@ def test_snapshots_arrive_over_batches():
     assert parts.fillna(-1).values.tolist() == whole.fillna(-1).values.tolist() and whole["move_bikes"].sum() == 27 and len(set(whole["priority"])) * 3 == len(whole)
 
 
+def test_names_repeated_at_any_depth_are_no_document(spark):
+    """A repeated name makes a document unreadable as a whole, however deep it is: neither of its values may win."""
+    from dockflow.operators.quality import rule_violations
+
+    fine = '{"version": "2.3", "last_updated": 1, "ttl": 60, "data": {"stations": [{"station_id": "a", "vehicle_types_available": [{"count": 1}]}]}}'
+    rows = [("fine", fine), ("top", fine.replace('"ttl": 60', '"ttl": 60, "ttl": 60')), ("row", fine.replace('"station_id": "a"', '"station_id": "a", "station_id": "b"')),
+            ("deep", fine.replace('"count": 1', '"count": 1, "count": 2')), ("data", fine.replace('"data": {', '"data": {"stations": [], '))]
+    docs = gbfs.documents(spark.createDataFrame(rows, "feed string, raw string"))
+    broken = {r.feed for r in rule_violations(docs, gbfs.envelope_rules("stations"), "feed").where("rule = 'json'").collect()}
+    assert broken == {"top", "row", "deep", "data"}
+
+
 def test_invariants_report_a_broken_assignment(spark):
     rows = spark.createDataFrame([end("src", 34, 6, 40, 36.0), end("dst", 6, 34, 40, 4.0)], ENDS)
     ends = rebalance.rebalance_ends(rows)
