@@ -654,8 +654,8 @@ def record_rule_report(spark, sf):
 
 @query
 def gate_verdicts(spark, sf):
-    """What the stream gate says of every visit when it reads all records at once."""
-    visits = gate.verdicts(spark_view(spark, sf, "gate_v"))
+    """What the gate says of every visit when it has read all records: a visit that holds a time too old is refused from its first record on."""
+    visits = gate.verdicts(spark_view(spark, sf, "gate_v"), complete=True)
     return visits.select("feed", F.col("visit.position").alias("first_position"), "head.snapshot_id", "received", "duplicates", "outcome", "reason")
 
 

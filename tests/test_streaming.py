@@ -329,6 +329,30 @@ def test_summaries_give_the_verdicts_of_single_records(spark, folder, monkeypatc
     assert {f: sorted(v, key=repr) for f, v in got.items()} == {f: sorted(v, key=repr) for f, v in want.items()}
 
 
+def test_a_time_too_old_refuses_a_complete_visit_from_its_first_record(spark):
+    base = {"metadata_version": "m", "data_origin": "GBFS_REPLAY", "ingested_at": "i", "broken_rule": None, "known_station": True, "station_count": None}
+    row = lambda sid, at, key, value="v": {**base, "snapshot_id": sid, "snapshot_at": at, "record_type": "station", "record_key": key, "value": value}
+    end = lambda sid, at, n: {**row(sid, at, "end"), "record_type": "snapshot_end", "station_count": n}
+    first = [row("a", "t5", "k0"), end("a", "t5", 1)]
+    # A conflict before the old time, and an old repeat in a visit that is whole.
+    rows = [*first, row("b", "t6", "k0"), row("b", "t6", "k0", "w"), row("b", "t4", "k1"), end("b", "t6", 2), row("c", "t7", "k0"), row("c", "t3", "k0"), end("c", "t7", 1)]
+    said = lambda **kw: [tuple(r) for r in gate.verdicts(_frame(spark, [rows]), "recorded", **kw).orderBy("visit").selectExpr("head.snapshot_id", "reason", "received", "duplicates").collect()]
+    assert said(complete=True) == [("a", None, 1, 0), ("b", "OLDER_THAN_PUBLISHED", 0, 0), ("c", "OLDER_THAN_PUBLISHED", 0, 0)]
+    assert said() == [("a", None, 1, 0), ("b", "STATION_CONFLICT", 1, 0), ("c", None, 2, 1)]
+
+
+def test_gate_query_equals_its_sql_where_an_older_snapshot_shares_an_id(spark, folder):
+    import duckdb
+
+    import __spark_entry__ as driver
+    from compare import differences
+
+    spark.range(56_000, 60_000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    assert differences(spark, con, driver.queries()["gate_verdicts"], driver.oracle_sql()["gate_verdicts"], folder) is None
+
+
 def test_stations_of_published_visits_come_from_any_trigger(spark, folder):
     base = {"snapshot_id": "s", "metadata_version": "m", "data_origin": "GBFS_REPLAY", "snapshot_at": "t", "ingested_at": "i", "broken_rule": None, "known_station": True}
     rows = [{**base, "record_type": "station", "record_key": f"k{i}", "value": f"v{i}", "station_count": None} for i in range(6)]
