@@ -233,3 +233,17 @@ def test_a_passage_that_many_texts_share(spark, monkeypatch):
     docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, text string")
     kept = {r.doc_id for r in similar.without_similar(docs).select("doc_id").collect()}
     assert kept == set(range(3000)) and seen[-1] <= 20 and sum(seen) < 60 * len(rows)
+
+
+def test_fingerprint_links_join_near_copies_without_a_common_minhash_key(spark, make):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [[word() for _ in range(2000)] for _ in range(6)]
+    # Of each text one copy with a word replaced; the others have nothing in common.
+    rows = [(2 * i, " ".join(t)) for i, t in enumerate(texts)] + [(2 * i + 1, " ".join([*t[:500], "new", *t[501:]])) for i, t in enumerate(texts)]
+    keyed = similar.keyed_rows(make(rows, clash=False))
+    groups = similar.sketched(keyed, similar.ROW).selectExpr("set", "doc_id AS first", "n", "array() AS keys", "fp")
+    groups = groups.withColumn("keys", groups["keys"].cast("array<bigint>")).localCheckpoint()
+    of = {r["set"]: r["first"]["id"] // 2 for r in groups.collect()}
+    pairs = [(of[r["set"]], of[r["root"]]) for r in similar._roots(groups, keyed).collect()]
+    assert sorted(pairs) == [(i, i) for i in range(6)]
