@@ -76,6 +76,33 @@ def test_without_toxic_keeps_columns(spark, make):
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {0} and kept.count() == 200
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, make, monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(toxicity, "SHARE", 1500)  # several shares, whose values are averaged
+    n = 6000
+    docs = make([(i, f"some plain words {'awful' if i % 2 else 'fine'} {i % 50}", "en" if i % 3 else "de") for i in range(n)], clash=False)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(n)], LABELS)
+    model = toxicity.model_of(docs, labels)
+    learnt = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert model["langs"] == ["de", "en"]
+    assert np.round(np.exp(model["prior"]) - 1).tolist() == [sum(i % 3 == 0 for i in learnt), sum(i % 3 > 0 for i in learnt)]
+    assert toxicity.scores(model, *encoded(["some plain words awful 3", "some plain words fine 3"])).round().tolist() == [1, 0]
+
+
+def test_toxicity_thresholds_are_those_of_all_kept_rows(spark):
+    known, said = np.zeros(0, np.int64), np.zeros((0, 2))
+    model = toxicity.untrained(known, said, ["de", "en"], {"de": 5, "en": 500}, 0.3, 10)
+    rows = [(f"text {i}", "en" if i % 10 else "de", int(i % 4 == 0)) for i in range(400)]
+    model["bias"], model["v"] = np.float32(0.5), np.zeros_like(model["v"])
+    got = toxicity._calibrated(model, spark.createDataFrame(rows, "text string, lang string, label int"))
+    # Every logit is 0.5, so every row is said at each cut below it, and the one nearest to zero is taken.
+    assert got["cut"].tolist() == [0.0, 0.0]
+    model["bias"] = np.float32(-1.04)
+    got = toxicity._calibrated(model, spark.createDataFrame(rows, "text string, lang string, label int"))
+    assert np.allclose(got["cut"], -1.1)
+
+
 def words_of(text):
     data, at = encoded([text])
     return decontaminate._symbols(data, at)[0].tolist()
