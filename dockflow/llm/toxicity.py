@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import byte_array, held_out, in_slices, lowered, mixed, slices, span_hashes, staged, unstage, word_bytes, words
+from dockflow.llm.common import bloom_settings, byte_array, held_out, in_slices, lowered, mixed, settings, slices, span_hashes, staged, unstage, word_bytes, words
 from dockflow.llm.quality import score_documents
 
 #: Labelled texts that one task learns from between two averagings.
@@ -310,9 +310,15 @@ def model_of(docs: DataFrame, labels: DataFrame, bits: int = BITS, passes: int =
     """The network fitted to every labelled text outside the held-out fold, in at least ``least_steps`` steps; every fifth is kept for the thresholds."""
     marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("toxic").cast("int").alias("label"))
     text = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string"))
-    # A hash of text and id orders the rows and deals them, whatever the partitions are.
-    joined = text.join(marks, "doc_id").select(F.xxhash64("text", "doc_id", F.lit(3)).alias("place"), "text", "label", "lang")
-    rows = staged(joined, "labelled")
+    # Most documents have no label: a Bloom filter keeps their texts out of the shuffle. The others are shuffled once, as the join's partitions are
+    # the shares. The id deals the rows and a hash of text and id orders them, whatever the partitions of the tables are.
+    spark, dealt = docs.sparkSession, bloom_settings(marks.count())
+    with settings(spark, dealt):
+        parts = max(1, -(-text.select("doc_id").join(marks, "doc_id").count() * 4 // (5 * SHARE)))
+    with settings(spark, dealt | {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        place, part = F.xxhash64("text", "doc_id", F.lit(3)).alias("place"), F.pmod(F.hash("doc_id"), F.lit(parts)).alias("part")
+        joined = text.join(marks, "doc_id").select(part, place, "text", "label", "lang")
+        rows = staged(joined.sortWithinPartitions("part", "place", "label"), "labelled")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     texts_of = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     m = untrained(*vocabulary(rows, bits, max(MIN_TEXTS, n // RARE)), texts_of, toxic / n if n else 0.0, bits)
@@ -320,18 +326,15 @@ def model_of(docs: DataFrame, labels: DataFrame, bits: int = BITS, passes: int =
         unstage(rows)
         return with_rows(m | {"v": np.zeros_like(m["v"])})
     kept = F.pmod(F.col("place"), F.lit(5)) == 0
-    learn = rows.where(~kept)
-    count = learn.count()
-    parts = max(1, -(-count // SHARE))
-    dealt = learn.withColumn("part", F.pmod(F.shiftright("place", 8), F.lit(parts))).repartition(parts, "part").sortWithinPartitions("part", "place", "label")
-    shares = staged(dealt.select("part", "text", "label"), "shares")
+    shares = rows.where(~kept).select("part", "text", "label")
+    count = shares.count()
     passes = max(passes, -(-least_steps * batch // max(1, count)))
     turns = [(t, 0.01 if t + 1 <= 0.75 * passes else 0.003) for t in range(passes)]
     # One share takes all its passes at once; several meet after every pass.
     for some in [turns] if parts == 1 else [[t] for t in turns]:
         m = _averaged(m, shares, some)
     m = _calibrated(m, rows.where(kept))
-    unstage(rows, shares)
+    unstage(rows)
     return with_rows(m)
 
 

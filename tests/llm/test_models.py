@@ -90,6 +90,28 @@ def test_toxicity_learns_from_every_labelled_text(spark, make, monkeypatch):
     assert toxicity.scores(model, *encoded(["some plain words awful 3", "some plain words fine 3"])).round().tolist() == [1, 0]
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_toxicity_shuffles_no_text_without_label_and_others_once(spark, folder):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"plain words {'awful' if i % 2 else 'fine'} {rng.bytes(10_000).hex()}", "en", "web", 1) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(0, 1000, 7)], LABELS).write.parquet(f"{folder}/labels")
+    broadcast, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled_bytes(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many labels
+        toxicity.model_of(spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/labels"), least_steps=3)
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    text = sum(len(r[1]) for r in rows)
+    assert shuffled_bytes(spark) - before < 0.2 * text  # 115 of 1,000 texts are learnt from
+
+
 def test_toxicity_thresholds_are_those_of_all_kept_rows(spark):
     known, said = np.zeros(0, np.int64), np.zeros((0, 2))
     model = toxicity.untrained(known, said, ["de", "en"], {"de": 5, "en": 500}, 0.3, 10)
