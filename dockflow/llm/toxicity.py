@@ -18,12 +18,14 @@ are ignored (``scores``) or passed through (``without_toxic``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.common import bloom_settings, byte_array, held_out, in_slices, lowered, mixed, settings, slices, span_hashes, staged, unstage, word_bytes, words
+from dockflow.llm.common import bloom_settings, byte_array, held_out, lowered, mixed, settings, slices, span_hashes, staged, unstage, word_bytes, words
 from dockflow.llm.quality import score_documents
 
 #: Labelled texts that one task learns from between two averagings.
@@ -31,6 +33,8 @@ SHARE = 16000
 BITS = 22
 #: A bucket is known from so many texts on, and from one text in RARE.
 MIN_TEXTS, RARE = 4, 1000
+#: Text bytes whose words are worked on at once inside a task, each of which takes some hundred bytes then.
+SLICE = 1 << 18
 #: Values of the network that are averaged together.
 CHUNK = 1 << 14
 PREFIXES = (4, 6)
@@ -92,12 +96,17 @@ def _convolved(m: dict, rows: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.maximum(np.concatenate(parts, axis=1), 0) * inside[:, None]
 
 
+def texts_rows(m: dict, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, embedding rows, offsets by text) of consecutive texts, slice by slice."""
+    for a, b, part, offsets in slices(raw, at, SLICE):
+        bucket, first = buckets(part, offsets, m["bits"])
+        yield a, b, rows_of(m, bucket), first
+
+
 def _logits(m: dict, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Logit of every text less the threshold of the language that its words suggest."""
     out = np.empty(len(at) - 1)
-    for a, b, part, offsets in slices(raw, at):
-        bucket, first = buckets(part, offsets, m["bits"])
-        rows = rows_of(m, bucket)
+    for a, b, rows, first in texts_rows(m, raw, at):
         long, start, inside = padded(rows, first)
         top = np.maximum.reduceat(_convolved(m, long, inside), start, axis=0)
         sums = np.concatenate([np.zeros((1, m["tongue"].shape[1])), np.cumsum(m["tongue"][rows[:, 0]], axis=0, dtype=np.float64)])
@@ -159,11 +168,11 @@ def vocabulary(rows: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.n
             for a, b, part, offsets in slices(*byte_array(batch.column(0))):
                 bucket, first = buckets(part, offsets, bits)
                 text = np.repeat(np.arange(b - a), np.diff(first))
-                many = np.unique(np.stack([np.repeat(text, bucket.shape[1]), bucket.reshape(-1)]), axis=1)
-                many = many[:, many[1] >= 0]
+                many = np.unique(((text[:, None] << bits) + bucket)[bucket >= 0])
+                owner, many = many >> bits, many & ((1 << bits) - 1)
                 for lang in set(langs[a:b]):
                     own = langs[a:b] == lang if lang is not None else np.array([v is None for v in langs[a:b]])
-                    held, texts = np.unique(many[1, own[many[0]]], return_counts=True)
+                    held, texts = np.unique(many[own[owner]], return_counts=True)
                     word, times = np.unique(bucket[own[text], 0], return_counts=True)
                     said = np.zeros(len(held), np.int64)
                     said[np.searchsorted(held, word)] = times
@@ -214,19 +223,15 @@ LEARNT = ("e", "v", "bias", *(f"{c}{w}" for w in WIDTHS for c in "kc"))
 
 
 def trained(m: dict, texts: list, y: np.ndarray, turns: list, batch: int = 64) -> dict:
-    """The learnt values after a pass over the texts for each (number, rate) of ``turns``."""
-    own = {key: np.array(m[key]) for key in LEARNT}
-    m = with_rows(m) | own
-    bucket, first = in_slices(buckets, texts, m["bits"])
-    rows = rows_of(m, bucket.reshape(-1, 1 + len(PREFIXES)))
-    del bucket
+    """The learnt values after a pass over the texts, each an array of embedding rows, for each (number, rate) of ``turns``."""
+    m = m | {key: np.array(m[key]) for key in LEARNT}
     state, step, weight = {}, 0, np.ones(len(y), np.float32)
     for number, rate in turns:
         learn = np.random.default_rng([7, number]).permutation(len(y))
         for at in range(0, len(learn), batch):
             ids = learn[at : at + batch]
-            part = np.concatenate([rows[first[i] : first[i + 1]] for i in ids])
-            windows = padded(part, np.concatenate([[0], np.cumsum(first[ids + 1] - first[ids])]))
+            some = [texts[i] for i in ids]
+            windows = padded(np.concatenate(some), np.concatenate([[0], np.cumsum([len(rows) for rows in some])]))
             step += 1
             _adam(m, state, _gradients(m, *windows, y[ids], weight[ids]), step, rate)
     return {key: np.asarray(m[key], np.float32) for key in LEARNT}
@@ -236,23 +241,29 @@ def _averaged(m: dict, shares: DataFrame, turns: list) -> dict:
     """``m`` after ``turns`` in each share (part, text, label); their values are averaged by their texts, in Spark.
 
     A share lies together in one file, in order, and is learnt by the task that reads it. A share that is read in two parts counts as two.
+    Of a share only the embedding rows of its words stay in the task, not its texts.
     """
 
     def learn(batches):
+        full = with_rows(m)
         texts, labels, now, total, n = [], [], None, 0.0, 0
 
         def flat():
-            got = trained(m, texts, np.array(labels, np.float32), turns)
+            got = trained(m, texts, np.concatenate(labels), turns)
             return len(texts) * np.concatenate([got[key].reshape(-1) for key in LEARNT]).astype(np.float64)
 
         for batch in batches:
-            for part, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now and texts:
+            part, label = np.asarray(batch.column(0)), np.asarray(batch.column(2), np.float32)
+            raw, at = byte_array(batch.column(1))
+            start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
+            for a, b in zip(start, [*start[1:], len(part)], strict=False):  # no start in an empty batch
+                if part[a] != now and texts:
                     total, n = total + flat(), n + len(texts)
                     texts, labels = [], []
-                now = part
-                texts.append(text)
-                labels.append(label)
+                now = part[a]
+                labels.append(label[a:b])
+                for *_, rows, first in texts_rows(full, raw, at[a : b + 1]):
+                    texts += np.split(rows, first[1:-1])
         if texts:
             total, n = total + flat(), n + len(texts)
         if n:
@@ -349,6 +360,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(scores(model, *byte_array(batch.column("text"))) < THRESHOLD))
+            # Slice by slice, so that no second batch of texts is held.
+            for a, b, part, at in slices(*byte_array(batch.column("text"))):
+                yield batch.slice(a, b - a).filter(pa.array(scores(model, part, at) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,10 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dockflow.llm import decontaminate, langid, quality, registry, toxicity
@@ -112,6 +114,38 @@ def test_toxicity_shuffles_no_text_without_label_and_others_once(spark, folder):
     assert shuffled_bytes(spark) - before < 0.2 * text  # 115 of 1,000 texts are learnt from
 
 
+def traced_peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_tasks_hold_little_beside_their_texts():
+    class Shares:
+        def mapInArrow(self, run, schema):
+            self.learn = run
+            raise InterruptedError
+
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 5000, 300))
+    known = np.unique(toxicity.buckets(*encoded([f"w{k}" for k in range(5000)]), 22)[0][:, 0]).astype(np.int64)
+    model = toxicity.untrained(known, np.ones((len(known), 1)), ["en"], {"en": 1}, 0.5, 22)
+    raw, at = encoded([text() for _ in range(2000)])
+    full = toxicity.with_rows(model)
+    toxicity.scores(full, raw[: at[1]], at[:2])  # the tables of powers
+    assert traced_peak(lambda: toxicity.scores(full, raw, at)) < 50 << 20
+    shares = Shares()
+    with pytest.raises(InterruptedError):
+        toxicity._averaged(model, shares, [])
+    some = pa.RecordBatch.from_pydict({"part": [1] * 1000, "text": [text() for _ in range(1000)], "label": [0, 1] * 500})
+    assert traced_peak(lambda: list(shares.learn(iter([some] * 12)))) < 60 << 20
+    got = list(shares.learn(iter([some.slice(0, 0), some, some.slice(0, 0)])))
+    assert got[0].column("n")[0].as_py() == 1000 and list(shares.learn(iter([some.slice(0, 0)]))) == []
+
+
 def test_toxicity_thresholds_are_those_of_all_kept_rows(spark):
     known, said = np.zeros(0, np.int64), np.zeros((0, 2))
     model = toxicity.untrained(known, said, ["de", "en"], {"de": 5, "en": 500}, 0.3, 10)
