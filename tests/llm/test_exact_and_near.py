@@ -247,3 +247,18 @@ def test_fingerprint_links_join_near_copies_without_a_common_minhash_key(spark,
     of = {r["set"]: r["first"]["id"] // 2 for r in groups.collect()}
     pairs = [(of[r["set"]], of[r["root"]]) for r in similar._roots(groups, keyed).collect()]
     assert sorted(pairs) == [(i, i) for i in range(6)]
+
+
+def assert_merged(df):
+    """Every join of ``df``, as it ran, is a merge join."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_fingerprints_at_their_anchors_are_not_broadcast(spark):
+    # Spark sizes the replicated side as if every fingerprint came out once, far under its limit for a broadcast.
+    fps = spark.range(500).selectExpr("xxhash64(id) AS fp").union(spark.range(500).selectExpr("xxhash64(id) ^ 5 AS fp"))
+    found = simhash.links(fps)
+    assert_merged(found)
+    assert {frozenset(r) for r in found.collect()} == {frozenset(r) for r in spark.range(500).selectExpr("xxhash64(id)", "xxhash64(id) ^ 5").collect()}
