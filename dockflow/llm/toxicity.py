@@ -186,7 +186,8 @@ def vocabulary(rows: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.n
     known = np.sort(np.asarray(wide.toArrow().column("bucket"), np.int64))
     langs = sorted(r[0] for r in rows.select(F.col("lang").cast("string")).where("lang IS NOT NULL").distinct().collect())
     said = np.zeros((len(known), max(1, len(langs))))
-    own = counts.join(wide, "bucket").where("lang IS NOT NULL AND said > 0").select("bucket", "lang", "said").toArrow()
+    # A count takes a few bytes in the file and ten times that in a broadcast table.
+    own = counts.join(wide.hint("merge"), "bucket").where("lang IS NOT NULL AND said > 0").select("bucket", "lang", "said").toArrow()
     place = {v: i for i, v in enumerate(langs)}
     said[np.searchsorted(known, np.asarray(own.column("bucket"), np.int64)), [place[v] for v in own.column("lang").to_pylist()]] = own.column("said")
     unstage(counts)

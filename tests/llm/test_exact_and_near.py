@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from dockflow.llm import exact_dedup, simhash, similar, suffix_dedup
+from dockflow.llm import exact_dedup, simhash, similar, suffix_dedup, toxicity
 
 
 def odd_rows():
@@ -262,3 +262,26 @@ def test_fingerprints_at_their_anchors_are_not_broadcast(spark):
     found = simhash.links(fps)
     assert_merged(found)
     assert {frozenset(r) for r in found.collect()} == {frozenset(r) for r in spark.range(500).selectExpr("xxhash64(id)", "xxhash64(id) ^ 5").collect()}
+
+
+def test_keys_of_sets_are_not_broadcast(spark):
+    # Spark sizes an exploded list as one of its items, and staged rows whose values repeat by their few bytes in the file.
+    groups = spark.range(300).selectExpr("id AS set", "10L AS n", "transform(sequence(1, 45), b -> xxhash64(b, id div 3)) AS keys", "xxhash64(id div 3) AS fp")
+    members = similar._members(groups)
+    assert_merged(members)
+    assert sorted((r.set, r.n, r.least.set) for r in members.dropDuplicates(["set"]).collect()) == [(i, 10, i // 3 * 3) for i in range(300)] and members.count() == 300 * 45
+    named = members.selectExpr("key", "set", "n", "set AS root", "0L AS top", "3L AS sets")
+    pairs = similar._met(named, named, "key", True)
+    assert_merged(pairs)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((a, b) for i in range(0, 300, 3) for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)))
+    assert sorted(tuple(r) for r in similar._linked(groups).collect()) == sorted((i, i + j) for i in range(0, 300, 3) for j in (1, 2))
+
+
+def test_word_counts_are_not_broadcast(make, monkeypatch):
+    docs = make([(i, f"word{i % 5} other{i % 3}", "en") for i in range(100)], clash=False)
+    got, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: got.append((self, to_arrow(self))) or got[-1][1])
+    known, said, langs = toxicity.vocabulary(docs, 22, 4)
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df, _ in got]
+    assert langs == ["en"] and said.sum() == 200 and len(known) >= 8
+    assert "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
