@@ -149,13 +149,16 @@ def index_of(items: list, edits: float = EDITS) -> dict:
 
 
 def _starts(group: dict, marked: dict, h: np.ndarray) -> np.ndarray:
-    """Window starts that the pair filter leaves: enough known pairs or triples ahead, and a known first word."""
+    """Window starts that the pair filter leaves: enough known pairs or triples ahead. It drops no window within the edits, whatever its first word is."""
     one = (marked[group["q"]] >> group["bit"]) & np.uint64(1)
     hits = np.zeros(len(h) + group["reach"] + 1, np.int32)
     np.cumsum(one, out=hits[1 : len(h) + 1])
     hits[len(h) + 1 :] = hits[len(h)]
     # Runs that cross into the next text are not marked; those of the next text itself only weaken the filter.
     at = np.flatnonzero(hits[group["reach"] - group["q"] + 1 :][: len(h)] - hits[: len(h)] >= group["need"])
+    if group["hi"] >= 5:
+        return at
+    # Without edits a window begins with the item's first word.
     place = np.minimum(np.searchsorted(group["first"], h[at]), len(group["first"]) - 1)
     return at[group["first"][place] == h[at]]
 

@@ -235,6 +235,23 @@ def test_items_between_one_and_three_segments():
     assert all(a == b for a, b in got) and len(got) >= 0.99 * len(items)
 
 
+def test_every_window_within_the_edits_passes_the_filter():
+    """Also one whose first word no item has."""
+    items, rows, planted = corpus()
+    index, texts, met = decontaminate.index_of([(i, t) for i, t in items if t]), dict(rows), 0
+    for doc, item in sorted(planted)[::3]:
+        h, _ = decontaminate._symbols(*encoded([f"unheard {texts[doc]}"]))
+        marked = {q: np.append(held[decontaminate._grams(h, q)], np.zeros(q - 1, np.uint64)) for q, held in index["marks"].items()}
+        for group in index["groups"]:
+            left = set(decontaminate._starts(group, marked, h).tolist())
+            for own in (index["own"][p] for p in group["of"] if index["ids"][index["parts"][p][0]] == item):
+                allowed = int(0.2 * len(own)) if len(own) >= 5 else 0
+                within = {s for s in range(len(h)) if decontaminate.distance(own, h[s : s + len(own) + allowed]) <= allowed}
+                assert within <= left
+                met += len(within)
+    assert met > len(planted) // 3
+
+
 def test_distance_anywhere():
     rng = np.random.default_rng(4)
     for _ in range(200):
