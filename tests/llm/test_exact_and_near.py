@@ -285,3 +285,11 @@ def test_word_counts_are_not_broadcast(make, monkeypatch):
     plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df, _ in got]
     assert langs == ["en"] and said.sum() == 200 and len(known) >= 8
     assert "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
+
+
+def test_workers_get_few_texts_at_once(spark, make, monkeypatch):
+    sizes, array = spark.sparkContext.accumulator(0), similar.byte_array
+    monkeypatch.setattr(similar, "byte_array", lambda c: sizes.add(len(c) > 1000) or array(c))
+    docs = make([(i, f"text number {i}") for i in range(4500)], clash=False).coalesce(1)
+    assert similar.near_copies(simhash.keyed_rows(docs)).count() == 4500 and sizes.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
